@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm.batch_dedup import repeated_uploads
+from tallyforge.llm.name_variants import name_entities, name_pairs
 from tallyforge.storage import table
 
 
@@ -12,8 +13,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_uploads(table(spark, sf_dir, "receipt_uploads"), table(spark, sf_dir, "receipts"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_pairs(name_entities(table(spark, sf_dir, "receipts")))
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found}
+    return {"p2_found": p2_found, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
