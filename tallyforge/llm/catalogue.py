@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm.batch_dedup import repeated_uploads
+from tallyforge.llm.listing_match import listing_pairs, match_listings
 from tallyforge.llm.name_variants import name_entities, name_pairs
 from tallyforge.storage import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing_pairs(match_listings(table(spark, sf_dir, "line_items")))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_uploads(table(spark, sf_dir, "receipt_uploads"), table(spark, sf_dir, "receipts"))
 
@@ -18,7 +23,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,15 +27,19 @@ class LinkageWeights:
         return 1 / (1 + 2 ** -max(-500.0, min(500.0, odds)))
 
 
-def fit(counts: dict[tuple[int, ...], int], levels: Sequence[int], first: Sequence[Sequence[float]], rounds: int = 200) -> LinkageWeights:
+def fit(counts: dict[tuple[int, ...], int], levels: Sequence[int], first: Sequence[Sequence[float]], rounds: int = 200, fixed_u: Sequence[Sequence[float]] | None = None) -> LinkageWeights:
     """EM over the counts of comparison vectors.
 
     ``levels`` has the number of levels of each field, ``first`` the m-probabilities to start
-    from (they say which class is the match). Without any pair the start is returned.
+    from (they say which class is the match). ``fixed_u`` gives u-probabilities known from all
+    pairs, where those of the candidates are distorted by blocking. Without any pair the start is
+    returned.
     """
     n = sum(counts.values())
     m = [[max(1e-6, p) for p in ps] for ps in first]
     u = [[max(1e-6, (sum(c for v, c in counts.items() if v[f] == k) + 0.5) / (n + 0.5 * levels[f])) for k in range(levels[f])] for f in range(len(levels))]
+    if fixed_u:
+        u = [[max(1e-9, p) for p in ps] for ps in fixed_u]
     prior = 0.1
     for _ in range(rounds if n else 0):
         share = {}
@@ -51,6 +55,8 @@ def fit(counts: dict[tuple[int, ...], int], levels: Sequence[int], first: Sequen
             for k in range(levels[f]):
                 in_k = [(share[v], c) for v, c in counts.items() if v[f] == k]
                 m[f][k] = (sum(s * c for s, c in in_k) + 0.1) / (matched + 0.1 * levels[f])
+                if fixed_u:
+                    continue
                 u[f][k] = (sum((1 - s) * c for s, c in in_k) + 0.1) / (n - matched + 0.1 * levels[f])
         if abs(new - prior) < 1e-9:
             break
