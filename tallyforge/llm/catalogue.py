@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyforge.llm.batch_dedup import repeated_uploads
+from tallyforge.llm.eval_leaks import leaks
 from tallyforge.llm.listing_match import listing_pairs, match_listings
 from tallyforge.llm.name_variants import name_entities, name_pairs
 from tallyforge.storage import table
@@ -22,8 +24,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_pairs(name_entities(table(spark, sf_dir, "receipts")))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each test item the documents it leaked into and the longest passage."""
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("words").alias("longest_passage"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p8_found": p8_found, "p8_passages": p8_passages}
 
 
 def oracle_sql() -> dict[str, str]:
