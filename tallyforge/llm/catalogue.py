@@ -9,6 +9,8 @@ from tallyforge.llm.batch_dedup import repeated_uploads
 from tallyforge.llm.eval_leaks import leaks
 from tallyforge.llm.listing_match import listing_pairs, match_listings
 from tallyforge.llm.name_variants import name_entities, name_pairs
+from tallyforge.llm.reading_level import reading_levels
+from tallyforge.llm.window_packing import packed_windows, window_use
 from tallyforge.storage import table
 
 
@@ -24,6 +26,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_pairs(name_entities(table(spark, sf_dir, "receipts")))
 
 
+def p7_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_windows"))
+
+
+def p7_window_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_use(p7_assignment(spark, sf_dir), table(spark, sf_dir, "pack_windows"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -34,8 +44,21 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("words").alias("longest_passage"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p8_found": p8_found, "p8_passages": p8_passages}
+    return {
+        "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p4_found": p4_found,
+        "p7_assignment": p7_assignment,
+        "p7_window_use": p7_window_use,
+        "p8_found": p8_found,
+        "p8_passages": p8_passages,
+        "p9_found": p9_found,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -134,10 +134,20 @@ def features(sents: list[list[str]], items: list[list[str]], words: Words) -> np
     size = numbers[:, 0]
     by_words = (shares * size[:, None]).sum(0) / size.sum()
     grade = shares @ np.arange(LEVELS)
+    spoken = np.bincount(shares.argmax(1), minlength=LEVELS)
     distinct = len({w.lower() for ws in sents for w in ws}) / max(1.0, size.sum() ** 0.7)
     return np.concatenate(
-        [shares.mean(0), by_words, np.quantile(grade, QUANTILES), np.quantile(numbers, QUANTILES, axis=0).ravel(), [np.log1p(len(sents)), np.log1p(size.sum()), distinct]]
-    )
+        [
+            shares.mean(0), by_words, spoken / len(sents), [spoken.argmax(), by_words.argmax(), by_words.max()],
+            spread(grade[:, None]), spread(numbers), [np.log1p(len(sents)), np.log1p(size.sum()), distinct],
+        ]
+    )
+
+
+def spread(values: np.ndarray) -> np.ndarray:
+    """The quantiles of each column, by nearest rank."""
+    at = np.round(np.array(QUANTILES) * (len(values) - 1)).astype(int)
+    return np.sort(values, axis=0)[at].ravel()
 
 
 @dataclass
