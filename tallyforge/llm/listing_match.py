@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.linkage_weights import LinkageWeights, fit
 from tallyforge.llm.listing_parts import attributes
-from tallyforge.llm.minhash import band_keys, bands_for, padded_grams
+from tallyforge.llm.minhash import bands_for, with_bands
 from tallyforge.llm.name_variants import edit_similarity
 from tallyforge.llm.star_clusters import star_clusters
 from tallyforge.storage import materialize
@@ -56,8 +56,7 @@ def listing_attributes(lines: DataFrame) -> DataFrame:
 def maker_pairs(classes: DataFrame) -> DataFrame:
     """(a, b, edits) of makers at most two edits apart, each with itself too."""
     makers = materialize(classes.select("maker").distinct(), "makers")
-    keyed = makers.select("maker", F.explode(band_keys(padded_grams(F.col("maker"), GRAM), ROWS, bands_for(SIMILARITY, ROWS, RECALL))).alias("band"))
-    keyed = materialize(keyed, "maker-bands")
+    keyed = materialize(with_bands(makers, "maker", GRAM, ROWS, bands_for(SIMILARITY, ROWS, RECALL)), "maker-bands")
     a, b = keyed.alias("a"), keyed.alias("b")
     near = (
         a.join(b, F.col("a.band") == F.col("b.band"))

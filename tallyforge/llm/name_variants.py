@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.minhash import band_keys, bands_for, padded_grams
+from tallyforge.llm.minhash import bands_for, with_bands
 from tallyforge.llm.name_parts import parts, place_suffix
 from tallyforge.llm.star_clusters import star_clusters
 from tallyforge.storage import materialize
@@ -130,9 +130,7 @@ def name_entities(receipts: DataFrame) -> DataFrame:
     forms = split_names.groupBy("core", "form").agg(F.count("*").alias("n"))
     cores = materialize(forms.groupBy("core").agg(F.sum("n").alias("n"), F.collect_list("form").alias("forms")), "name-cores")
     bands = bands_for(SIMILARITY, ROWS, RECALL)
-    keyed = cores.where(F.length("core") > 3).select(
-        "core", "n", F.explode(band_keys(padded_grams(F.col("core"), GRAM), ROWS, bands)).alias("band")
-    )
+    keyed = with_bands(cores.where(F.length("core") > 3).select("core", "n"), "core", GRAM, ROWS, bands)
     keyed = materialize(keyed, "name-bands")
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = (
