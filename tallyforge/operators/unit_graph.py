@@ -187,7 +187,7 @@ def normalised_quantities(line_items: DataFrame) -> DataFrame:
     blank = F.coalesce(F.col("unit"), F.lit("")).rlike(r"^(?U)[\s\x{feff}]*$")
     products = (
         line_items.where(F.col("item_type") == "product")
-        .withColumnRenamed("id", "line_item_id")
+        .select(F.col("id").alias("line_item_id"), "amount", "price_per_unit", "total_price", "unit", "description")
         # a description without a digit or a fraction sign holds no measure
         .where(~blank | F.col("description").rlike(r"[0-9½¼¾]"))
         .select(*kept, once(text=plain(F.when(blank, F.col("description")).otherwise(F.col("unit")))))
