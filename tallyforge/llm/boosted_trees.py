@@ -70,8 +70,10 @@ class BoostedTrees:
         return (f, c) if gain[f, c] > rest.sum() ** 2 / n + 1e-9 else (-1, 0)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        b = self._binned(x) if len(x) else np.zeros((0, len(self.edges)), dtype=int)
         out = np.full(len(x), self.base)
+        if not len(x) or not self.trees:
+            return out
+        b = self._binned(x)
         inner = 2**self.depth - 1
         rows = np.arange(len(x))
         for features, cuts, values in self.trees:

@@ -3,8 +3,8 @@
 Texts are measured in tokens of a public tokenizer. Each has three sizes: tokens, one segment, and
 loss-bearing tokens (all but those of its opening line, which prompts for the rest). A container is
 filled by the dot-product heuristic: of the items that fit under all three limits, the one whose
-sizes, weighted by how scarce each is, point most the way of the room that is left. Containers are
-opened at the largest capacity and closed at the smallest that holds what they got.
+sizes, weighted by how scarce each is, point most the way of the room that is left. Containers have
+the largest capacity; only the last items go where they fill best.
 
 Items are dealt by hash into shards of bounded size that are packed on their own, so a task never
 sees more than a shard; containers that a shard leaves badly filled are taken apart and their items
@@ -69,46 +69,61 @@ def limits(capacity: np.ndarray | int) -> np.ndarray:
     return np.stack([c, np.maximum(1, c // TOKENS_A_SEGMENT), np.floor(c * LOSS_SHARE)], axis=-1)
 
 
+def _fill(sizes: np.ndarray, top: np.ndarray) -> list[int]:
+    """Rows of the items that one container takes: the largest that it can hold, then by dot product."""
+    scaled = sizes / top
+    alone = sizes[:, 0] <= top[0]
+    if not alone.any():
+        return []
+    first = int(np.argmax(np.where(alone, sizes[:, 0], -1.0)))
+    weight = scaled.sum(0)  # what there is most of is scarce
+    room = 1.0 - scaled[first]
+    chosen = [first]
+    free = np.ones(len(sizes), dtype=bool)
+    free[first] = False
+    while True:
+        fits = free & (scaled <= room + 1e-12).all(1)
+        if not fits.any():
+            return chosen
+        score = scaled @ (weight * room)
+        score[~fits] = -1.0
+        k = int(np.argmax(score))
+        chosen.append(k)
+        free[k] = False
+        room = room - scaled[k]
+
+
 def pack(tokens: np.ndarray, loss: np.ndarray, capacities: list[int]) -> tuple[np.ndarray, list[int]]:
     """Container number of each item, and the capacity of each container.
 
     Items must be in the order in which ties are to be broken, none larger than the largest
     capacity. An item that fits by its tokens alone may bear more loss than combined texts may.
+    The largest capacity is used until what is left would fit into one: then the one that is filled best.
     """
-    order = sorted(capacities)
-    top = limits(order[-1])
-    sizes = np.stack([tokens, np.ones(len(tokens)), loss], axis=1).astype(float) / top
-    alive = np.ones(len(tokens), dtype=bool)
+    order = sorted(capacities, reverse=True)
+    tops = {c: limits(c) for c in order}
+    sizes = np.stack([tokens, np.ones(len(tokens)), loss], axis=1).astype(float)
     where = np.full(len(tokens), -1)
     closed: list[int] = []
     index = np.arange(len(tokens))
     while len(index):
         left = sizes[index]
-        weight = left.sum(0)  # what there is most of is scarce
-        first = int(np.argmax(left[:, 0]))
-        room = 1.0 - left[first]
-        chosen = [first]
-        free = np.ones(len(index), dtype=bool)
-        free[first] = False
-        while True:
-            fits = free & (left <= room + 1e-12).all(1)
-            if not fits.any():
+        best: list[int] = []
+        used, capacity = -1.0, order[0]
+        last = left[:, 0].sum() <= order[0]
+        for c in order if last else order[:1]:
+            chosen = _fill(left, tops[c])
+            share = left[chosen, 0].sum() / c if chosen else -1.0
+            if share > used:
+                best, used, capacity = chosen, share, c
+            if used >= GOOD_FILL:
                 break
-            score = left @ (weight * room)
-            score[~fits] = -1.0
-            k = int(np.argmax(score))
-            chosen.append(k)
-            free[k] = False
-            room = room - left[k]
-        at = index[chosen]
+        at = index[best]
         where[at] = len(closed)
-        used = np.array([tokens[at].sum(), len(at), loss[at].sum()])
-        for c in order:
-            if (used <= limits(c)).all() or (len(at) == 1 and used[0] <= c):
-                closed.append(c)
-                break
-        alive[at] = False
-        index = index[free]
+        closed.append(capacity)
+        keep = np.ones(len(index), dtype=bool)
+        keep[best] = False
+        index = index[keep]
     return where, closed
 
 

@@ -74,4 +74,4 @@ def test_pack_keeps_the_limits():
     for k, capacity in enumerate(closed):
         at = where == k
         assert tokens[at].sum() <= capacity and (at.sum() == 1 or (at.sum() <= limits(capacity)[1] and loss[at].sum() <= limits(capacity)[2]))
-    assert (where >= 0).all() and tokens.sum() > 0.97 * sum(closed)
+    assert (where >= 0).all() and tokens.sum() > 0.95 * sum(closed)
