@@ -7,6 +7,8 @@ which a detector returns few.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,29 +92,39 @@ def suppressed(boxes: DataFrame, most: float = 0.5) -> DataFrame:
     return listed.select("image_id", F.inline(fold)).select("image_id", "box_no", "x", "y", "width", "height", (-F.col("c")).alias("confidence"))
 
 
+def _merge_in_order(rows: list[list[float]], more_than: float) -> list[tuple]:
+    """The boxes [box_no, x, y, width, height, rotation] of one image, merged."""
+    out = []
+    while rows:
+        number, x, y, w, h, turn = rows[0]
+        later = []
+        for r in rows[1:]:
+            _, x2, y2, w2, h2, turn2 = r
+            shared = max(0.0, min(x + w, x2 + w2) - max(x, x2)) * max(0.0, min(y + h, y2 + h2) - max(y, y2))
+            if shared and shared / (w * h + w2 * h2 - shared) > more_than:
+                right, low = max(x + w, x2 + w2), max(y + h, y2 + h2)
+                x, y = min(x, x2), min(y, y2)
+                w, h, turn = right - x, low - y, (turn + turn2) / 2
+            else:
+                later.append(r)
+        out.append((int(number), x, y, w, h, turn))
+        rows = later
+    return out
+
+
 def merged(boxes: DataFrame, more_than: float = 0.3) -> DataFrame:
     """Overlapping boxes of an image merged in order: each box takes later ones that overlap what it has become.
 
-    The result depends on the order (box_no), so the boxes of an image are folded in one call.
+    The result depends on the order (box_no), so the boxes of an image, which a detector returns few
+    of, are folded together; images go through Python in Arrow batches.
     """
+    listed = boxes.groupBy("image_id").agg(
+        F.array_sort(F.collect_list(F.array(F.col("box_no").cast("double"), "x", "y", "width", "height", F.coalesce("rotation", F.lit(0.0))))).alias("boxes")
+    )
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(image, *m) for image, of_image in zip(b["image_id"], b["boxes"]) for m in _merge_in_order([list(map(float, r)) for r in of_image], more_than)]
+            yield pd.DataFrame(rows, columns=["image_id", "box_no", "x", "y", "width", "height", "rotation"])
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("box_no")[["box_no", "x", "y", "width", "height", "rotation"]].to_numpy(dtype=float).tolist()
-        open_rows, out = rows, []
-        while open_rows:
-            number, x, y, w, h, turn = open_rows[0]
-            later = []
-            for r in open_rows[1:]:
-                _, x2, y2, w2, h2, turn2 = r
-                shared = max(0.0, min(x + w, x2 + w2) - max(x, x2)) * max(0.0, min(y + h, y2 + h2) - max(y, y2))
-                if shared and shared / (w * h + w2 * h2 - shared) > more_than:
-                    right, low = max(x + w, x2 + w2), max(y + h, y2 + h2)
-                    x, y = min(x, x2), min(y, y2)
-                    w, h, turn = right - x, low - y, (turn + turn2) / 2
-                else:
-                    later.append(r)
-            out.append((group["image_id"].iloc[0], int(number), x, y, w, h, turn))
-            open_rows = later
-        return pd.DataFrame(out, columns=["image_id", "box_no", "x", "y", "width", "height", "rotation"])
-
-    return boxes.groupBy("image_id").applyInPandas(fold, "image_id long, box_no int, x double, y double, width double, height double, rotation double")
+    return listed.mapInPandas(fold, "image_id long, box_no int, x double, y double, width double, height double, rotation double")

@@ -230,7 +230,7 @@ measured AS (
     round(abs(CAST(total_amount AS DOUBLE) - CAST(btotal AS DOUBLE)), 6) AS da, round(abs(CAST(tax_amount AS DOUBLE) - CAST(btax AS DOUBLE)), 6) AS dt,
     abs(floor((epoch_us(transaction_date) - epoch_us(bdate)) / 86400000000.0)) AS days, abs(epoch_us(transaction_date) - epoch_us(bdate)) / 60000000.0 AS mins, abs(n_items - bitems) AS di,
     (hour(transaction_date) <> 0 OR minute(transaction_date) <> 0) AS ta, (hour(bdate) <> 0 OR minute(bdate) <> 0) AS tb FROM pairs),
-similar AS (
+alike AS (
   SELECT *, CASE WHEN coalesce(length(store_name), 0) = 0 OR coalesce(length(bstore), 0) = 0 THEN 0.0 WHEN x = y THEN 100.0
      ELSE CAST(greatest(length(x), length(y)) - levenshtein(x, y) AS DOUBLE) / greatest(length(x), length(y), 1) * 100 END AS sim FROM measured),
 points AS (
@@ -241,7 +241,7 @@ points AS (
     CASE WHEN di = 0 THEN 15 WHEN di = 1 THEN 12 WHEN di = 2 THEN 8 WHEN di = 3 THEN 5 ELSE 0 END AS item_points,
     CASE WHEN dt <= 0 THEN 10 WHEN dt <= 0.01 THEN 8 WHEN dt <= 0.1 THEN 5 ELSE 0 END AS tax_points,
     floor(round(sim, 6) + 0.5) >= 90 AND coalesce(floor(da * 100 + 0.5), 0) <= 1 AND coalesce(days, 0) = 0
-      AND (NOT (coalesce(ta, true) AND coalesce(tb, true)) OR coalesce(days = 0 AND ta AND tb AND mins <= 5, false)) AND di = 0 AS outright FROM similar),
+      AND (NOT (coalesce(ta, true) AND coalesce(tb, true)) OR coalesce(days = 0 AND ta AND tb AND mins <= 5, false)) AND di = 0 AS outright FROM alike),
 scored AS (SELECT *, store_points + amount_points + date_points + item_points + tax_points AS score FROM points),
 best AS (
   SELECT id, candidate_id, CASE WHEN outright THEN 99 ELSE score END AS score FROM (
