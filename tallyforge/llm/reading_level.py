@@ -13,6 +13,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,37 +52,44 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
+@lru_cache(200_000)
+def word_numbers(w: str) -> tuple[str, tuple[float, ...]]:
+    """Lower case, and letters, syllables, whether long, connective, a number, in capitals. Kept for words that come often."""
+    low = w.lower()
+    return low, (len(w), len(_VOWELS.findall(low)), len(w) > 8, low in CONNECTIVES, w[0].isdigit(), len(w) > 1 and w.isupper())
+
+
 def vocabulary_items(ws: list[str]) -> list[str]:
     """What a sentence's level is read from: its words, their form, and its length."""
     items = []
     for w in ws:
-        if w[0].isdigit():
+        low, n = word_numbers(w)
+        if n[4]:
             items.append("#")
         else:
-            if len(w) > 1 and w.isupper():
+            if n[5]:
                 items.append("^")
-            items.append(w.lower())
+            items.append(low)
     items.append(f"len{min(len(ws) // 3, 12)}")
     items.append(f"long{min(9, round(10 * sum(len(w) > 8 for w in ws) / len(ws)))}")
     return items
 
 
-def sentence_numbers(ws: list[str], before: frozenset[str]) -> tuple[float, ...]:
-    """Length, word length, syllables, long words, connectives, digits, capitals, overlap with the sentence before."""
-    n = len(ws)
-    low = [w.lower() for w in ws]
-    letters = sum(map(len, ws))
-    return (
-        n,
-        letters / n,
-        sum(len(_VOWELS.findall(w)) for w in low) / n,
-        sum(len(w) > 8 for w in ws) / n,
-        max(map(len, ws)),
-        sum(w in CONNECTIVES for w in low) / n,
-        sum(w[0].isdigit() for w in ws) / n,
-        sum(len(w) > 1 and w.isupper() for w in ws) / n,
-        sum(w in before for w in low) / n,
-    )
+def text_numbers(sents: list[list[str]]) -> np.ndarray:
+    """For each sentence length, word length, syllables, long words, longest word, connectives, digits, capitals and
+    overlap with the sentence before."""
+    starts, rows, shared, before = [], [], [], frozenset()
+    for ws in sents:
+        starts.append(len(rows))
+        now = [word_numbers(w) for w in ws]
+        rows.extend(n for _, n in now)
+        shared.append(sum(low in before for low, _ in now))
+        before = frozenset(low for low, _ in now)
+    table = np.array(rows, dtype=float)
+    size = np.diff([*starts, len(rows)]).astype(float)
+    means = np.add.reduceat(table, starts, axis=0) / size[:, None]
+    longest = np.maximum.reduceat(table[:, 0], starts)
+    return np.column_stack([size, means[:, 0], means[:, 1], means[:, 2], longest, means[:, 3], means[:, 4], means[:, 5], np.array(shared) / size])
 
 
 @dataclass
@@ -124,18 +132,13 @@ class Words:
 
 
 def features(sents: list[list[str]], items: list[list[str]], words: Words) -> np.ndarray:
-    before: frozenset[str] = frozenset()
-    rows = []
-    for ws in sents:
-        rows.append(sentence_numbers(ws, before))
-        before = frozenset(w.lower() for w in ws)
-    numbers = np.array(rows)
+    numbers = text_numbers(sents)
     shares = words.levels_of(items)
     size = numbers[:, 0]
     by_words = (shares * size[:, None]).sum(0) / size.sum()
     grade = shares @ np.arange(LEVELS)
     spoken = np.bincount(shares.argmax(1), minlength=LEVELS)
-    distinct = len({w.lower() for ws in sents for w in ws}) / max(1.0, size.sum() ** 0.7)
+    distinct = len({word_numbers(w)[0] for ws in sents for w in ws}) / max(1.0, size.sum() ** 0.7)
     return np.concatenate(
         [
             shares.mean(0), by_words, spoken / len(sents), [spoken.argmax(), by_words.argmax(), by_words.max()],
