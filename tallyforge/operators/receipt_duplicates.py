@@ -110,7 +110,7 @@ def near_images(uploads: DataFrame, most: int = 8) -> DataFrame:
     """(upload_id, near_id, bits): pairs of different hashes of a user at most ``most`` bits apart, by their first uploads.
 
     Nine bands of the 64 bits: two hashes with at most eight different bits agree in one. Equal
-    hashes are taken together first (their members: ``equal_hashes``).
+    hashes of a user are taken together first, as the smallest id among them.
     """
     points = uploads.where("perceptual_hash IS NOT NULL AND user_id IS NOT NULL").select("id", "user_id", hash_bits(F.col("perceptual_hash")).alias("h"))
     points = points.groupBy("user_id", "h").agg(F.min("id").alias("id"))

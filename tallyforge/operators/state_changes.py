@@ -57,3 +57,33 @@ def either_end(rows: DataFrame, key: str, links: DataFrame, left: str, right: st
 def merged_settings(stored: Column, defaults: dict[str, object]) -> list[Column]:
     """Each field of a settings struct, or its default where it is null."""
     return [F.coalesce(stored[name], F.lit(value)).alias(name) for name, value in defaults.items()]
+
+
+def marked_duplicates(receipts: DataFrame, links: DataFrame) -> DataFrame:
+    """Receipts with the duplicate columns set from ``links`` (id, candidate_id, score); others as they are."""
+    found = links.select(F.col("id").alias("marked"), F.col("candidate_id").alias("of"), F.col("score").cast("decimal(5,2)").alias("points"))
+    joined = receipts.join(found, F.col("id") == F.col("marked"), "left")
+    hit = F.col("marked").isNotNull()
+    return (
+        joined.withColumn("is_duplicate", F.when(hit, F.lit(True)).otherwise(F.col("is_duplicate")))
+        .withColumn("duplicate_of_receipt_id", F.when(hit, F.col("of")).otherwise(F.col("duplicate_of_receipt_id")))
+        .withColumn("duplicate_confidence_score", F.when(hit, F.col("points")).otherwise(F.col("duplicate_confidence_score")))
+        .drop("marked", "of", "points")
+    )
+
+
+def with_edits(rows: DataFrame, edits: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """Rows with the newest value of each edited field: ``edits`` (entity_id, field_name, new_value, changed_at, id).
+
+    ``columns`` maps field names to columns. Text that does not fit a column's type becomes null.
+    """
+    newest = edits.where(F.col("field_name").isin(*columns)).groupBy("entity_id", "field_name").agg(F.max_by(F.struct("new_value"), F.struct("changed_at", "id")).alias("n"))
+    wide = newest.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", F.col("n.new_value").alias("v")))).alias("now"))
+    joined = rows.join(wide, F.col(key) == F.col("entity_id"), "left")
+    for field, column in columns.items():
+        kind = joined.schema[column].dataType.simpleString()
+        text = F.col("now")[field]
+        text = text if kind == "string" else F.trim(F.regexp_replace(F.regexp_replace(text, "T", " "), "Z$", "")).try_cast(kind)
+        edited = F.coalesce(F.array_contains(F.map_keys("now"), field), F.lit(False))
+        joined = joined.withColumn(column, F.when(edited, text).otherwise(F.col(column)))
+    return joined.drop("entity_id", "now")

@@ -217,7 +217,7 @@ def normalised_quantities(line_items: DataFrame) -> DataFrame:
     due = F.col("amount") * F.col("price_per_unit")
     off = lambda x: F.abs(x - F.col("total_price"))
     thousandth = F.coalesce(
-        (off(due / 1000) < off(due)) & (off(due / 1000) <= F.lit(Decimal("0.01"))), F.lit(False)
+        (off(due) > F.lit(Decimal("0.01"))) & (off(due / 1000) <= F.lit(Decimal("0.01"))), F.lit(False)
     )
     count = F.coalesce(F.col("amount"), F.when(F.col("measured"), F.lit(1).cast("decimal(10,3)")))
     return (

@@ -93,10 +93,31 @@ def export_statistics(uploads: DataFrame, receipts: DataFrame) -> DataFrame:
     )
 
 
+#: Ids of a bucket in which rows are numbered together.
+NUMBER_SPAN = 50_000
+
+
+def numbered(rows: DataFrame, group: str, order: str, span: int = NUMBER_SPAN) -> DataFrame:
+    """``rows`` with ``number``: 1, 2, ... within each group in order of the id ``order``.
+
+    In two steps: rows are numbered within buckets of ids, and the counts of a group's buckets are
+    summed up before each; so the rows of one group are never in one task, however many they are.
+    """
+    bucket = F.floor(F.col(order) / span)
+    placed = rows.withColumn("bucket", bucket).withColumn("local", F.row_number().over(Window.partitionBy(group, "bucket").orderBy(order)))
+    counts = rows.groupBy(F.col(group).alias("g"), bucket.alias("b")).agg(F.count("*").alias("n"))
+    counts = counts.select("g", "b", F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return (
+        placed.join(counts, F.col(group).eqNullSafe(F.col("g")) & F.col("bucket").eqNullSafe(F.col("b")))
+        .withColumn("number", (F.col("before") + F.col("local")).cast("int"))
+        .drop("g", "b", "before", "local", "bucket")
+    )
+
+
 def receipt_numbers(uploads: DataFrame, receipts: DataFrame) -> DataFrame:
     """(receipt_id, user_id, number): receipts of each user numbered by id."""
     owned = receipts.select(F.col("id").alias("receipt_id"), "upload_id").join(uploads.select(F.col("id").alias("upload_id"), "user_id"), "upload_id")
-    return owned.select("receipt_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("receipt_id")).alias("number"))
+    return numbered(owned.select("receipt_id", "user_id"), "user_id", "receipt_id")
 
 
 def next_numbers(users: DataFrame, uploads: DataFrame) -> DataFrame:
@@ -110,9 +131,8 @@ def next_numbers(users: DataFrame, uploads: DataFrame) -> DataFrame:
 def numbered_inserts(new_rows: DataFrame, existing: DataFrame) -> DataFrame:
     """``new_rows`` (user_id, id) with upload_number going on from each user's largest, in order of id."""
     largest = existing.groupBy(F.col("user_id").alias("owner")).agg(F.max("upload_number").alias("n"))
-    running = F.row_number().over(Window.partitionBy("user_id").orderBy("id"))
-    return new_rows.withColumn("running", running).join(largest, F.col("user_id") == F.col("owner"), "left").select(
-        "id", "user_id", (F.coalesce("n", F.lit(0)) + F.col("running")).alias("upload_number")
+    return numbered(new_rows.select("id", "user_id"), "user_id", "id").join(largest, F.col("user_id") == F.col("owner"), "left").select(
+        "id", "user_id", (F.coalesce("n", F.lit(0)) + F.col("number")).alias("upload_number")
     )
 
 
@@ -147,3 +167,30 @@ def all_states(receipts: DataFrame) -> DataFrame:
     return receipts.where("upload_id IS NOT NULL").groupBy("upload_id").agg(
         F.bool_and(done).alias("all_processed"), F.coalesce(F.bool_and(F.when(live, done)), F.lit(True)).alias("all_live_processed")
     )
+
+
+def line_flags(line_items: DataFrame, flag: str = "ocr_mismatch", least: int = 3) -> DataFrame:
+    """(receipt_id, n_products, n_flagged, ratio, unreliable, has_discount): flagged products of each receipt.
+
+    ``unreliable``: with ``least`` products or more, four fifths or more are flagged.
+    """
+    product = F.col("item_type") == "product"
+    counted = line_items.where("receipt_id IS NOT NULL").groupBy("receipt_id").agg(
+        F.count_if(product).alias("n_products"),
+        F.count_if(product & (F.col("extraction_flag") == flag)).alias("n_flagged"),
+        F.bool_or(F.coalesce(F.col("item_type").isin("discount", "refund"), F.lit(False))).alias("has_discount"),
+    )
+    ratio = F.when(F.col("n_products") > 0, F.round(F.col("n_flagged") / F.col("n_products"), 6)).otherwise(0.0)
+    return counted.withColumn("ratio", ratio).withColumn("unreliable", (F.col("n_products") >= least) & (F.col("ratio") >= 0.8))
+
+
+def lines_with_parents(line_items: DataFrame) -> DataFrame:
+    """(id, parent_id, parent_description, parent_price): lines that name a parent, and the parent where it exists."""
+    child = line_items.where("parent_line_item_id IS NOT NULL").select("id", "parent_line_item_id")
+    parent = line_items.select(F.col("id").alias("parent_id"), F.col("description").alias("parent_description"), F.col("total_price").alias("parent_price"))
+    return child.join(parent, child.parent_line_item_id == F.col("parent_id"), "left").drop("parent_line_item_id")
+
+
+def staggered(rows: DataFrame, group: str, order: str, delay_seconds: int) -> DataFrame:
+    """``rows`` with ``delay``: the first of each group at once, each later one ``delay_seconds`` after the one before."""
+    return numbered(rows, group, order).withColumn("delay", (F.col("number") - 1) * delay_seconds).drop("number")

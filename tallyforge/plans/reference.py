@@ -141,6 +141,27 @@ def receipt_sum_check(spark: SparkSession, d: str) -> DataFrame:
     return upload_stats.sum_check(*_t(spark, d, "receipts", "line_items")).withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
+@query("""SELECT receipt_id, count(*) FILTER (item_type = 'product') AS n_products, count(*) FILTER (item_type = 'product' AND extraction_flag = 'ocr_mismatch') AS n_flagged,
+  bool_or(coalesce(item_type IN ('discount', 'refund'), false)) AS has_discount,
+  coalesce(round(count(*) FILTER (item_type = 'product' AND extraction_flag = 'ocr_mismatch') / CAST(nullif(count(*) FILTER (item_type = 'product'), 0) AS DOUBLE), 6), 0) AS ratio,
+  count(*) FILTER (item_type = 'product') >= 3 AND coalesce(round(count(*) FILTER (item_type = 'product' AND extraction_flag = 'ocr_mismatch') / CAST(nullif(count(*) FILTER (item_type = 'product'), 0) AS DOUBLE), 6), 0) >= 0.8 AS unreliable
+  FROM line_items WHERE receipt_id IS NOT NULL GROUP BY 1""")
+def receipt_line_flags(spark: SparkSession, d: str) -> DataFrame:
+    return upload_stats.line_flags(table(spark, d, "line_items"))
+
+
+@query("""SELECT c.id, p.id AS parent_id, p.description AS parent_description, p.total_price AS parent_price FROM line_items c LEFT JOIN line_items p ON p.id = c.parent_line_item_id
+  WHERE c.parent_line_item_id IS NOT NULL""")
+def lines_with_parents(spark: SparkSession, d: str) -> DataFrame:
+    return upload_stats.lines_with_parents(table(spark, d, "line_items"))
+
+
+@query("""SELECT id, upload_id, CAST((row_number() OVER (PARTITION BY upload_id ORDER BY id) - 1) * 12 AS INTEGER) AS delay FROM receipts WHERE status = 'rate_limited'""")
+def staggered_retries(spark: SparkSession, d: str) -> DataFrame:
+    waiting = table(spark, d, "receipts").where("status = 'rate_limited'").select("id", "upload_id")
+    return upload_stats.staggered(waiting, "upload_id", "id", 12)
+
+
 # --- exports ------------------------------------------------------------------------------------
 
 SETTINGS = """
@@ -438,6 +459,24 @@ def edit_changes(spark: SparkSession, d: str) -> DataFrame:
     return edits.real_changes(table(spark, d, "receipt_edit_history")).groupBy("entity_type", "field_name").agg(F.count("*").alias("n"))
 
 
+@query("""WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY changed_at DESC, id DESC) AS p FROM receipt_edit_history WHERE entity_type = 'line_item') WHERE p = 1)
+  SELECT l.id, CASE WHEN d.id IS NOT NULL THEN d.new_value ELSE l.description END AS description, CASE WHEN u.id IS NOT NULL THEN u.new_value ELSE l.unit END AS unit,
+    CASE WHEN a.id IS NOT NULL THEN TRY_CAST(trim(a.new_value) AS DECIMAL(10, 3)) ELSE l.amount END AS amount
+  FROM line_items l LEFT JOIN n d ON d.entity_id = l.id AND d.field_name = 'description' LEFT JOIN n u ON u.entity_id = l.id AND u.field_name = 'unit'
+  LEFT JOIN n a ON a.entity_id = l.id AND a.field_name = 'amount'""")
+def edit_applied(spark: SparkSession, d: str) -> DataFrame:
+    li, h = _t(spark, d, "line_items", "receipt_edit_history")
+    columns = {"description": "description", "unit": "unit", "amount": "amount"}
+    return state_changes.with_edits(li.select("id", *columns), h.where("entity_type = 'line_item'"), "id", columns)
+
+
+@query(f"""WITH {OWNED} SELECT r.id, coalesce(c.id IS NOT NULL, false) OR coalesce(r.is_duplicate, false) AS is_duplicate, coalesce(c.candidate_id, r.duplicate_of_receipt_id) AS duplicate_of_receipt_id,
+  coalesce(CAST(c.score AS DECIMAL(5, 2)), r.duplicate_confidence_score) AS duplicate_confidence_score FROM receipts r LEFT JOIN (SELECT * FROM classed WHERE score >= 85) c ON c.id = r.id""")
+def after_marking_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    marked = state_changes.marked_duplicates(table(spark, d, "receipts"), dup_best_match(spark, d).where("score >= 85"))
+    return marked.select("id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"), "duplicate_of_receipt_id", "duplicate_confidence_score")
+
+
 # --- state changes ----------------------------------------------------------------------------------
 
 GONE = "gone AS (SELECT id FROM receipt_uploads WHERE status = 'failed'), rgone AS (SELECT id FROM receipts WHERE upload_id IN (SELECT id FROM gone))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,9 +21,13 @@ def first_of_each(jobs: DataFrame, job_id: str, time: str, late: str | None = No
 
 
 def after_limit(steps: DataFrame, group: str, order: str, limited: str) -> DataFrame:
-    """Adds ``skipped``: whether an earlier step of the group hit the limit."""
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return steps.withColumn("skipped", F.coalesce(F.max(F.col(limited).cast("int")).over(before) == 1, F.lit(False)))
+    """Adds ``skipped``: whether an earlier step of the group hit the limit.
+
+    All that matters of a group is its first such step, so one aggregated row a group is joined back.
+    """
+    first = steps.where(F.col(limited)).groupBy(F.col(group).alias("hit_group")).agg(F.min(order).alias("first_hit"))
+    joined = steps.join(first, F.col(group).eqNullSafe(F.col("hit_group")), "left")
+    return joined.withColumn("skipped", F.coalesce(F.col(order) > F.col("first_hit"), F.lit(False))).drop("hit_group", "first_hit")
 
 
 def per_minute(events: DataFrame, key: str, time: str, most: int) -> DataFrame:

@@ -58,7 +58,7 @@ def brute(rows):
         p = None if price is None else Fraction(price)
         if p and total is not None and amount is not None:
             due = n * p
-            if abs(due / 1000 - Fraction(total)) < abs(due - Fraction(total)) and abs(due / 1000 - Fraction(total)) <= Fraction(1, 100):
+            if abs(due - Fraction(total)) > Fraction(1, 100) >= abs(due / 1000 - Fraction(total)):
                 yield r["id"], base, half_up(n), half_up(p * 100)
                 continue
         yield r["id"], base, half_up(n * content * 1000), -1 if p is None else half_up(p / content * 100)
@@ -96,6 +96,7 @@ def test_cases(spark):
         row(15, "Nails", "1", "col3", "1", "1"),
         row(16, "Tape", "2", '"', "1", "2"),
         row(17, "x " * 20000 + "0,5 l", None, None),
+        row(19, "Penny", "1", "kg", "0.005", "0"),
         row(18, "Zero", "1", "0 g", "1", "1"),
         row(18, "Zero", "1", "kg", "1", "1"),
         row(18, "Zero", "1", "kg", "1", "1"),
@@ -104,7 +105,7 @@ def test_cases(spark):
     assert got == {
         (1, "kg", 703, 200), (2, "kg", 743, 204), (3, "m", 9000, 587), (4, "kg", 500, 600), (5, "kg", 1559, -1),
         (6, "l", 1000, -1), (8, "m", 1500, -1), (10, "l", 59, 3381), (14, "kg", 750, -1), (16, "m", 51, 3937),
-        (17, "l", 500, -1), (18, "kg", 0, -1), (18, "kg", 1000, 100),
+        (17, "l", 500, -1), (18, "kg", 0, -1), (18, "kg", 1000, 100), (19, "kg", 1000, 1),
     }
     assert run(spark, []) == set()
 
