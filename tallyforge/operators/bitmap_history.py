@@ -16,7 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.storage import materialize
+
 GROUP = ["entity_type", "entity_id", "field_name"]
+#: The same with the number first, by which sorting is quickest, and the day.
+DAY = ["entity_id", "field_name", "entity_type", "day"]
 #: Fields compared as numbers and as instants; all others are compared as text.
 NUMBER_FIELDS = ("totalAmount", "taxAmount", "totalPrice", "amount", "pricePerUnit")
 INSTANT_FIELDS = ("transactionDate",)
@@ -41,66 +45,61 @@ def value_meaning(field: Column, value: Column) -> Column:
         .when(field.isin(*INSTANT_FIELDS), F.coalesce(instant, as_text))
         .otherwise(as_text)
     )
-    return F.md5(F.coalesce(meant, F.lit("0")).cast("binary"))
+    return F.xxhash64(F.coalesce(meant, F.lit("0")))
 
 
 def snapshots(changes: DataFrame) -> DataFrame:
-    """One row for each second in which an attribute changed, with the value before and after.
+    """One row for each second in which an attribute changed: fingerprints of the value before and
+    after it (``before``, ``after``), and the ids of the changes that name them.
 
     Equal changes of one second count once. The changes of a second form a chain old -> new, so
     the value after it is the one that is reached but not left, the value before it the one that
     is left but not reached: found by in- and out-degrees, in whatever order the rows came. A
     chain that closes (A -> B -> A) leaves the value as it was. Where rows of a second do not fit
-    together, the newest id decides. Rows without changed_at are ignored.
+    together, the newest id decides. Rows without changed_at are ignored. All that is aggregated
+    here is of fixed width; texts stay behind.
     """
-    day = [*GROUP, "day"]
     edges = (
         changes.where(F.col("changed_at").isNotNull())
         .select(
             *GROUP,
             F.to_date("changed_at").alias("day"),
-            F.date_trunc("second", "changed_at").alias("sec"),
+            F.date_trunc("second", "changed_at").cast("timestamp_ntz").alias("sec"),
             "id",
-            "old_value",
-            "new_value",
             value_meaning(F.col("field_name"), F.col("old_value")).alias("old_v"),
             value_meaning(F.col("field_name"), F.col("new_value")).alias("new_v"),
         )
-        .repartition(*day)
-        .groupBy(*day, "sec", "old_v", "new_v")
-        .agg(
-            F.min("id").alias("id_min"),
-            F.max("id").alias("id_max"),
-            F.min_by("old_value", "id").alias("old_raw"),
-            F.min_by("new_value", "id").alias("new_raw"),
-        )
+        .repartition(*DAY)
+        .groupBy(*DAY, "sec", "old_v", "new_v")
+        .agg(F.min("id").alias("first"), F.max("id").alias("last"))
     )
-    never = F.lit(-(2**62))
     ends = F.array(
-        F.struct(
-            F.col("new_v").alias("v"), F.col("new_raw").alias("raw"), F.lit(1).alias("d"),
-            never.alias("first"), F.col("id_max").alias("last"),
-        ),
-        F.struct(
-            F.col("old_v").alias("v"), F.col("old_raw").alias("raw"), F.lit(-1).alias("d"),
-            (-F.col("id_min")).alias("first"), never.alias("last"),
-        ),
-    )
+        F.struct(F.col("new_v").alias("v"), F.lit(1).alias("d"), F.lit(None).cast("long").alias("left_by"), F.col("last").alias("reached_by")),
+        F.struct(F.col("old_v").alias("v"), F.lit(-1).alias("d"), F.col("first").alias("left_by"), F.lit(None).cast("long").alias("reached_by")),
+    )
     degrees = (
-        edges.select(*day, "sec", F.inline(ends))
-        .groupBy(*day, "sec", "v")
-        .agg(
-            F.sum("d").alias("d"),
-            F.max("first").alias("first"),
-            F.max("last").alias("last"),
-            # the spelling the value was first written with in this second
-            F.max_by("raw", F.struct("d", "last")).alias("raw"),
-        )
+        edges.select(*DAY, "sec", F.inline(ends))
+        .groupBy(*DAY, "sec", "v")
+        .agg(F.sum("d").alias("d"), F.min("left_by").alias("left_by"), F.max("reached_by").alias("reached_by"))
+    )
+    at_end, at_start = F.col("d") > 0, F.col("d") < 0
+    ended = degrees.groupBy(*DAY, "sec").agg(
+        F.max_by(F.when(at_end, F.col("v")), F.when(at_end, F.col("reached_by"))).alias("end_v"),
+        F.max(F.when(at_end, F.col("reached_by"))).alias("end_id"),
+        F.min_by(F.when(at_start, F.col("v")), F.when(at_start, F.col("left_by"))).alias("start_v"),
+        F.min(F.when(at_start, F.col("left_by"))).alias("start_id"),
+        # a circle: where its first change began
+        F.min_by("v", "left_by").alias("circle_v"),
+        F.min("left_by").alias("circle_id"),
+        F.max("reached_by").alias("newest_id"),
     )
-    node = F.struct("v", "raw")
-    return degrees.groupBy(*day, "sec").agg(
-        F.max_by(node, F.struct("d", "first", "last")).alias("after"),
-        F.min_by(node, F.struct("d", -F.col("first"))).alias("before"),
+    return ended.select(
+        *DAY,
+        "sec",
+        F.coalesce("end_v", "circle_v").alias("after"),
+        F.coalesce("end_id", "newest_id").alias("after_id"),
+        F.coalesce("start_v", "circle_v").alias("before"),
+        F.coalesce("start_id", "circle_id").alias("before_id"),
     )
 
 
@@ -109,64 +108,50 @@ def value_runs(snaps: DataFrame) -> DataFrame:
 
     Adds ``rn`` (place of the run in its day) and ``next_sec`` (begin of the next run of the day).
     """
-    day = [*GROUP, "day"]
-    in_day = Window.partitionBy(*day).orderBy("sec")
+    in_day = Window.partitionBy(*DAY).orderBy("sec")
     placed = snaps.select(
-        *day, "sec", "after", "before",
-        (F.row_number().over(in_day) - 1).alias("pos"),
-        F.lag("after.v").over(in_day).alias("prev_v"),
-    )
-    bit = (F.col("pos") % WORD).cast("int")
-    words = (
-        placed.select(*day, "sec", "after", "before", "pos", "prev_v", F.floor(F.col("pos") / WORD).alias("word"), bit.alias("bit"))
-        .groupBy(*day, "word", F.col("after.v").alias("v"))
-        .agg(
-            # shift by a column: 1 << bit
-            F.bit_or(F.expr("shiftleft(1L, bit)")).alias("presence"),
-            # the run may go on from the word before
-            F.bit_or(F.when((F.col("bit") == 0) & (F.col("prev_v") == F.col("after.v")), 1).otherwise(0).cast("long")).alias("carried"),
-            # at most 64 entries
-            F.collect_list(
-                F.struct("bit", "sec", F.col("after.raw").alias("raw"), F.col("before").alias("before"))
-            ).alias("bits"),
-        )
-    )
-    starts = F.expr("presence & ~shiftleft(presence, 1) & ~carried")
-    runs = words.withColumn("starts", starts).select(
-        *day, "v", F.inline(F.expr("filter(bits, b -> getbit(starts, b.bit) = 1)"))
+        "*", (F.row_number().over(in_day) - 1).alias("pos"), F.lag("after").over(in_day).alias("before_it")
+    )
+    placed = placed.select("*", F.floor(F.col("pos") / WORD).alias("word"), (F.col("pos") % WORD).cast("int").alias("bit"))
+    # the snapshots of a word that show the value, one bit each
+    of_value = Window.partitionBy(*DAY, "word", "after")
+    presence = F.bit_or(F.expr("shiftleft(1L, bit)")).over(of_value)
+    # the run may go on from the word before
+    carried = F.bit_or(F.when((F.col("bit") == 0) & (F.col("before_it") == F.col("after")), 1).otherwise(0).cast("long")).over(of_value)
+    words = placed.withColumn("presence", presence).withColumn("carried", carried)
+    starts = words.where(F.expr("getbit(presence & ~shiftleft(presence, 1) & ~carried, bit) = 1"))
+    return starts.select(
+        *DAY, "sec", "after", "after_id", "before", "before_id", F.row_number().over(in_day).alias("rn"), F.lead("sec").over(in_day).alias("next_sec")
     )
-    return runs.select(
-        *day, "sec", "v", "raw", "before",
-        F.row_number().over(in_day).alias("rn"),
-        F.lead("sec").over(in_day).alias("next_sec"),
-    )
 
 
 def attribute_history(changes: DataFrame) -> DataFrame:
-    """Every version of every attribute: (entity_type, entity_id, field_name, version_no, value,
+    """Every version of every attribute: (entity_type, entity_id, field_name, version_no, change_id,
     valid_from, valid_to), the bounds null where open.
 
-    ``changes`` is receipt_edit_history; extra columns are not looked at. Version 1 holds the
-    value before the first change. A null entity or field is a group of its own; a null value is
-    a value. An empty log gives no rows.
+    ``changes`` is receipt_edit_history; extra columns are not looked at. ``change_id`` is the change
+    that set the value; version 1 holds the value before the first change, which is the old value of
+    that change (``with_values`` adds the texts). A null entity or field is a group of its own; a
+    null value is a value. An empty log gives no rows.
     """
-    day = [*GROUP, "day"]
-    runs = value_runs(snapshots(changes))
-    days = runs.groupBy(*day).agg(
-        F.min_by("v", "sec").alias("first_v"),
-        F.max_by("v", "sec").alias("last_v"),
-        F.min_by("before", "sec").alias("before"),
+    # read three times below; written once, it is also safe from the loss of an executor
+    runs = materialize(value_runs(snapshots(changes)), "value-runs")
+    days = runs.groupBy(*DAY).agg(
+        F.max(F.when(F.col("rn") == 1, F.col("after"))).alias("first_v"),
+        F.max_by("after", "rn").alias("last_v"),
+        F.max(F.when(F.col("rn") == 1, F.col("before"))).alias("before"),
+        F.max(F.when(F.col("rn") == 1, F.col("before_id"))).alias("before_id"),
         F.count("*").alias("n"),
         F.min("sec").alias("sec_1"),
         F.min("next_sec").alias("sec_2"),
     )
-    onward = Window.partitionBy(*GROUP).orderBy("day")
-    backward = Window.partitionBy(*GROUP).orderBy(F.col("day").desc())
+    onward = Window.partitionBy(*DAY[:3]).orderBy("day")
+    backward = Window.partitionBy(*DAY[:3]).orderBy(F.col("day").desc())
     earlier = onward.rowsBetween(Window.unboundedPreceding, -1)
     later = backward.rowsBetween(Window.unboundedPreceding, -1)
     days = (
         days.withColumn("prev_v", F.lag("last_v").over(onward))
-        .withColumn("same", F.coalesce("prev_v", "before.v") == F.col("first_v"))
+        .withColumn("same", F.coalesce("prev_v", "before") == F.col("first_v"))
         .withColumn("new", F.col("n") - F.col("same").cast("int"))
         .withColumn("start", F.when(F.col("same"), F.col("sec_2")).otherwise(F.col("sec_1")))
         .withColumn("offset", F.coalesce(F.sum("new").over(earlier), F.lit(0)) + 1)
@@ -175,19 +160,19 @@ def attribute_history(changes: DataFrame) -> DataFrame:
     first = days.where(F.col("prev_v").isNull()).select(
         *GROUP,
         F.lit(1).alias("version_no"),
-        F.col("before.raw").alias("value"),
+        F.col("before_id").alias("change_id"),
         F.lit(None).cast("timestamp_ntz").alias("valid_from"),
         F.coalesce("start", "next_start").alias("valid_to"),
     )
-    r, d = runs.alias("r"), days.select(*day, "same", "offset", "next_start").repartition(*day).alias("d")
-    same_day = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in day]
+    r, d = runs.alias("r"), days.select(*DAY, "same", "offset", "next_start").repartition(*DAY).alias("d")
+    same_day = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in DAY]
     rest = (
         r.join(d, same_day)
         .where((F.col("rn") > 1) | ~F.col("same"))
         .select(
             *(F.col(f"r.{c}").alias(c) for c in GROUP),
             (F.col("offset") + F.col("rn") - F.col("same").cast("int")).cast("int").alias("version_no"),
-            F.col("raw").alias("value"),
+            F.col("after_id").alias("change_id"),
             F.col("sec").alias("valid_from"),
             F.coalesce("next_sec", "next_start").alias("valid_to"),
         )
@@ -195,8 +180,15 @@ def attribute_history(changes: DataFrame) -> DataFrame:
     return first.unionAll(rest)
 
 
+def with_values(history: DataFrame, changes: DataFrame) -> DataFrame:
+    """The versions with ``value``, the text as the change that set it spells it."""
+    texts = changes.select(F.col("id").alias("change_id"), "old_value", "new_value").dropDuplicates(["change_id"])
+    value = F.when(F.col("version_no") == 1, F.col("old_value")).otherwise(F.col("new_value")).alias("value")
+    return history.join(texts, "change_id").select(*GROUP, "version_no", value, "valid_from", "valid_to")
+
+
 def valid_at(history: DataFrame, moment: str) -> DataFrame:
-    """The versions in force at ``moment`` (a timestamp string)."""
+    """The versions (with their values) in force at ``moment`` (a timestamp string)."""
     at = F.lit(moment).cast("timestamp_ntz")
     return history.where(
         (F.col("valid_from").isNull() | (F.col("valid_from") <= at))

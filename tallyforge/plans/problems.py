@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators.bitmap_history import attribute_history, valid_at
+from tallyforge.operators.bitmap_history import attribute_history, valid_at, with_values
 from tallyforge.operators.orphans import orphan_report, orphans_of_receipts
 from tallyforge.operators.unit_graph import in_thousandths, normalised_quantities
 from tallyforge.storage import table
@@ -20,7 +20,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values in force at the end of 2023."""
-    return valid_at(attribute_history(table(spark, sf_dir, "receipt_edit_history")), "2023-12-31 23:59:59")
+    changes = table(spark, sf_dir, "receipt_edit_history")
+    return valid_at(with_values(attribute_history(changes), changes), "2023-12-31 23:59:59")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 from decimal import Decimal, InvalidOperation
 
-from tallyforge.operators.bitmap_history import NUMBER_FIELDS, attribute_history
+from tallyforge.operators.bitmap_history import NUMBER_FIELDS, attribute_history, with_values
 
 SCHEMA = "id long, entity_type string, entity_id long, field_name string, old_value string, new_value string, changed_at timestamp_ntz, day string, v string"
 
@@ -10,7 +10,7 @@ SCHEMA = "id long, entity_type string, entity_id long, field_name string, old_va
 def run(spark, rows):
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
     return sorted(
-        ((r.entity_type or "", r.entity_id or 0, r.field_name or "", r.version_no, r.value, str(r.valid_from or ""), str(r.valid_to or "")) for r in attribute_history(df).collect()),
+        ((r.entity_type or "", r.entity_id or 0, r.field_name or "", r.version_no, r.value, str(r.valid_from or ""), str(r.valid_to or "")) for r in with_values(attribute_history(df), df).collect()),
         key=str,
     )
 
@@ -85,6 +85,8 @@ def test_cases(spark):
         ],
         key=str,
     )
+    values = {(r[1], r[2], r[3]): r[4] for r in run(spark, rows)}
+    assert [values[1, "totalAmount", n] for n in (1, 2, 3, 4)] == ["1.0", "+2", None, "2"] and values[2, "unit", 1] == "a" and values[2, "unit", 2] == "c"
     assert run(spark, []) == []
 
 
