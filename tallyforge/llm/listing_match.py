@@ -144,8 +144,7 @@ def match_listings(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # that several lines spell alike is no typing error, and two errors apart are both errors.
     errors = F.col("v0") - (F.col("maker_n_a") <= ERROR_LINES).cast("int") - (F.col("maker_n_b") <= ERROR_LINES).cast("int") <= 0
     links = pairs.where((p >= threshold) & (F.col("v1") != 1) & (F.col("v2") != 1) & errors)
-    rank = lambda s: F.struct(F.col(f"n_{s}").alias("n"), F.col(s).alias("w")).alias(f"rank_{s}")
-    stars = star_clusters(links.select("a", "b", rank("a"), rank("b")))
+    stars = star_clusters(links)
     with_class = parsed.join(classes.select(*FIELDS, "class_id"), FIELDS)
     return with_class.join(stars, F.col("class_id") == F.col("vertex"), "left").select(
         "id", F.coalesce(F.col("centre").cast("long"), F.col("class_id")).alias("article")

@@ -94,9 +94,9 @@ def verified(pairs: DataFrame) -> DataFrame:
                 if len(named_x) == len(fx) and len(named_y) == len(fy):  # each use names its kind
                     best = max(0.0 if not agree(p, q) else monge_elkan([x, p], [y, q]) for p in named_x for q in named_y)
                 keep.append(best)
-            yield b.assign(similarity=keep)[["a", "b", "rank_a", "rank_b", "similarity"]]
+            yield b.assign(similarity=keep)[["a", "b", "n_a", "n_b", "similarity"]]
 
-    return pairs.mapInPandas(check, "a string, b string, rank_a struct<n:long,w:string>, rank_b struct<n:long,w:string>, similarity double").where(
+    return pairs.mapInPandas(check, "a string, b string, n_a long, n_b long, similarity double").where(
         F.col("similarity") >= MONGE_ELKAN
     )
 
@@ -144,10 +144,9 @@ def name_entities(receipts: DataFrame) -> DataFrame:
         .select(F.col("a.core").alias("a"), F.col("b.core").alias("b"))
         .distinct()
     )
-    rank = F.struct(F.col("n"), F.col("core").alias("w"))
-    side = lambda s: cores.select(F.col("core").alias(s), rank.alias(f"rank_{s}"), F.col("forms").alias(f"forms_{s}"))
+    side = lambda s: cores.select(F.col("core").alias(s), F.col("n").alias(f"n_{s}"), F.col("forms").alias(f"forms_{s}"))
     edges = verified(pairs.join(side("a"), "a").join(side("b"), "b"))
-    centres = star_clusters(edges.select("a", "b", "rank_a", "rank_b"))
+    centres = star_clusters(edges)
     starred = split_names.join(centres.withColumnRenamed("vertex", "core"), "core", "left").withColumn("centre", F.coalesce("centre", "core"))
     return resolved(starred)
 

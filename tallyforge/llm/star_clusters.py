@@ -15,17 +15,24 @@ from tallyforge.storage import materialize
 
 
 def star_clusters(edges: DataFrame) -> DataFrame:
-    """(vertex, centre) for the vertices of ``edges`` (a, b, rank_a, rank_b).
+    """(vertex, centre) for the vertices of ``edges`` (a, b, n_a, n_b); each edge once, in either direction.
 
-    Ranks are values that compare (larger first) and differ between neighbours; each edge is given once,
-    in either direction. A satellite goes to its highest centre.
+    Vertices rank by weight (n_a, n_b), then by number of neighbours, then by themselves, larger
+    first. A satellite goes to its highest centre.
     """
-    up = edges.select(
+    edges = materialize(edges.select("a", "b", "n_a", "n_b").distinct(), "star-pairs")
+    ends = edges.select(F.col("a").alias("v"), F.col("n_a").alias("n")).unionAll(edges.select("b", "n_b"))
+    ranks = ends.groupBy("v").agg(F.struct(F.max("n").alias("n"), F.count("*").alias("neighbours"), F.first("v").alias("itself")).alias("rank"))
+    ranked = (
+        edges.join(ranks.select(F.col("v").alias("a"), F.col("rank").alias("rank_a")), "a")
+        .join(ranks.select(F.col("v").alias("b"), F.col("rank").alias("rank_b")), "b")
+    )
+    up = ranked.select(
         F.when(F.col("rank_a") < F.col("rank_b"), F.col("a")).otherwise(F.col("b")).alias("low"),
         F.when(F.col("rank_a") < F.col("rank_b"), F.col("b")).otherwise(F.col("a")).alias("high"),
         F.greatest("rank_a", "rank_b").alias("rank"),
     )
-    up = materialize(up.distinct(), "star-edges")
+    up = materialize(up, "star-edges")
     vertices = up.select(F.col("low").alias("v")).unionAll(up.select("high")).distinct()
     below = up.select(F.col("low").alias("v")).distinct().withColumn("waits", F.lit(True))
     # those with no higher neighbour are centres at once

@@ -58,5 +58,9 @@ def test_collision_curve():
 def test_stars_do_not_chain(spark):
     # c - b - a: b is the highest, d hangs on c only and must not join b's star
     rows = [("a", "b", 1, 9), ("c", "b", 5, 9), ("d", "c", 2, 5)]
-    got = {tuple(r) for r in star_clusters(spark.createDataFrame(rows, "a string, b string, rank_a int, rank_b int")).collect()}
+    got = {tuple(r) for r in star_clusters(spark.createDataFrame(rows, "a string, b string, n_a int, n_b int")).collect()}
     assert got == {("a", "b"), ("b", "b"), ("c", "b"), ("d", "d")}
+    # of equal weight, the one with most neighbours is the centre
+    rows = [("m", "z", 1, 1), ("m", "a", 1, 1), ("b", "m", 1, 1)]
+    got = {tuple(r) for r in star_clusters(spark.createDataFrame(rows, "a string, b string, n_a int, n_b int")).collect()}
+    assert got == {(v, "m") for v in "mzab"}
