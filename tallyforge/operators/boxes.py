@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.numbers import area, coverage, intersection_over_union
 
+# fixed values: smallest area in thousandths squared; covered share and number of boxes that make a
+# container; covered share and relative size that make a part of another box
 MIN_AREA, CONTAINS, CONTAINED, INSIDE, SMALLER = 10_000, 0.60, 2, 0.80, 0.70
 
 

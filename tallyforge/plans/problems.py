@@ -54,7 +54,7 @@ found AS (
   FROM refs)
 """
 
-P3_SQL = r"""
+P3_CTES = r"""
 WITH typed AS (
   SELECT *, CASE WHEN v IS NULL THEN '0'
       WHEN field_name IN ('totalAmount', 'taxAmount', 'totalPrice', 'amount', 'pricePerUnit')
@@ -64,11 +64,10 @@ WITH typed AS (
       ELSE 't' || trim(regexp_replace(v, '\s+', ' ', 'g')) END AS k
   FROM (SELECT entity_type, entity_id, field_name, id, changed_at, old_value AS v, -1 AS d FROM receipt_edit_history
         UNION ALL SELECT entity_type, entity_id, field_name, id, changed_at, new_value, 1 FROM receipt_edit_history)),
-edges AS (
-  SELECT entity_type, entity_id, field_name, changed_at, old_k, new_k, any_value(old_v) AS old_v, any_value(new_v) AS new_v
-  FROM (SELECT entity_type, entity_id, field_name, changed_at, id, max(k) FILTER (d = -1) AS old_k, max(k) FILTER (d = 1) AS new_k,
-               max(v) FILTER (d = -1) AS old_v, max(v) FILTER (d = 1) AS new_v
-        FROM typed GROUP BY ALL) GROUP BY entity_type, entity_id, field_name, changed_at, old_k, new_k),
+paired AS (
+  SELECT entity_type, entity_id, field_name, changed_at, id, max(k) FILTER (d = -1) AS old_k, max(k) FILTER (d = 1) AS new_k,
+         max(v) FILTER (d = -1) AS old_v, max(v) FILTER (d = 1) AS new_v FROM typed GROUP BY ALL),
+edges AS (SELECT DISTINCT entity_type, entity_id, field_name, changed_at, old_k, new_k FROM paired),
 ends AS (
   SELECT entity_type, entity_id, field_name, changed_at, k, sum(d) AS d FROM (
     SELECT entity_type, entity_id, field_name, changed_at, old_k AS k, -1 AS d FROM edges
@@ -80,14 +79,28 @@ marked AS (
   SELECT *, lag(after_k) OVER g AS prev_k FROM seconds
   WINDOW g AS (PARTITION BY entity_type, entity_id, field_name ORDER BY changed_at)),
 starts AS (
-  SELECT entity_type, entity_id, field_name, changed_at FROM marked WHERE after_k <> coalesce(prev_k, before_k)
-  UNION ALL SELECT DISTINCT entity_type, entity_id, field_name, TIMESTAMP '0001-01-01 00:00:00' FROM seconds)
+  SELECT entity_type, entity_id, field_name, changed_at, after_k AS k, changed_at AS since FROM marked WHERE after_k <> coalesce(prev_k, before_k)
+  UNION ALL SELECT entity_type, entity_id, field_name, TIMESTAMP '0001-01-01 00:00:00', arg_min(before_k, changed_at), min(changed_at) FROM seconds GROUP BY ALL)
+"""
+
+P3_SQL = P3_CTES + """
 SELECT entity_type, entity_id, field_name, CAST(row_number() OVER g AS INTEGER) AS version_no,
        CASE WHEN changed_at > TIMESTAMP '0001-01-01 00:00:00' THEN strftime(changed_at, '%Y-%m-%d %H:%M:%S') ELSE '' END AS valid_from,
        coalesce(strftime(lead(changed_at) OVER g, '%Y-%m-%d %H:%M:%S'), '') AS valid_to
 FROM starts WINDOW g AS (PARTITION BY entity_type, entity_id, field_name ORDER BY changed_at)
 """
 
+P3_AS_OF_SQL = P3_CTES + """,
+versions AS (
+  SELECT *, CAST(row_number() OVER g AS INTEGER) AS version_no, lead(changed_at) OVER g AS ends FROM starts
+  WINDOW g AS (PARTITION BY entity_type, entity_id, field_name ORDER BY changed_at)),
+news AS (SELECT entity_type, entity_id, field_name, changed_at AS since, new_k AS k, arg_max(new_v, id) AS t FROM paired GROUP BY ALL),
+olds AS (SELECT entity_type, entity_id, field_name, changed_at AS since, old_k AS k, arg_min(old_v, id) AS t FROM paired GROUP BY ALL)
+SELECT v.entity_type, v.entity_id, v.field_name, v.version_no, CASE WHEN v.version_no = 1 THEN o.t ELSE n.t END AS value
+FROM versions v LEFT JOIN news n USING (entity_type, entity_id, field_name, since, k) LEFT JOIN olds o USING (entity_type, entity_id, field_name, since, k)
+WHERE v.changed_at <= TIMESTAMP '2023-12-31 23:59:59' AND (v.ends IS NULL OR v.ends > TIMESTAMP '2023-12-31 23:59:59')
+"""
+
 
 def queries() -> dict:
     return {"p3_found": p3_found, "p3_as_of": p3_as_of, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found}
@@ -96,6 +109,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": P3_SQL,
+        "p3_as_of": P3_AS_OF_SQL,
         "p5_found": P5_SQL + "SELECT * FROM found WHERE ref_kind IS NOT NULL",
         "p5_report": P5_SQL
         + """SELECT ref_table, ref_field, ref_month, ref_kind, count(*) AS n_refs FROM found
