@@ -9,13 +9,18 @@ import numpy as np
 
 @dataclass
 class BoostedTrees:
-    """Least-squares boosting; a full binary tree of ``depth`` levels a round."""
+    """Least-squares boosting; a full binary tree of ``depth`` levels a round.
+
+    With ``start`` the first guess is that column of the features, not the mean, and the trees learn what it
+    misses.
+    """
 
     rounds: int = 120
     depth: int = 3
     rate: float = 0.1
     bins: int = 32
     min_leaf: int = 4
+    start: int | None = None
     edges: list[np.ndarray] = field(default_factory=list)
     base: float = 0.0
     #: For each round: feature and bin at each inner node (level order), value of each leaf.
@@ -24,13 +29,16 @@ class BoostedTrees:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], side="right") for f, e in enumerate(self.edges)], axis=1)
 
+    def _first(self, x: np.ndarray) -> np.ndarray:
+        return np.full(len(x), self.base) if self.start is None else x[:, self.start].astype(float)
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         quantiles = np.linspace(0, 1, self.bins + 1)[1:-1]
         self.edges = [np.unique(np.quantile(x[:, f], quantiles)) for f in range(x.shape[1])]
         b = self._binned(x)
-        self.base = float(np.mean(y)) if len(y) else 0.0
+        self.base = float(np.mean(y)) if len(y) and self.start is None else 0.0
         self.trees = []
-        at = np.full(len(y), self.base)
+        at = self._first(x)
         inner = 2**self.depth - 1
         n_features = x.shape[1]
         flat = b + np.arange(n_features) * self.bins
@@ -70,7 +78,7 @@ class BoostedTrees:
         return (f, c) if gain[f, c] > rest.sum() ** 2 / n + 1e-9 else (-1, 0)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
+        out = self._first(x)
         if not len(x) or not self.trees:
             return out
         b = self._binned(x)
