@@ -33,6 +33,9 @@ from tallyforge.storage import materialize
 TOTAL_APART, BITS, BITS_NO_TOTAL = 500, 10, 3
 #: A key with more rows, and with more than this share of all, is hot; so at most 1,000 keys are.
 HOT, HOT_SHARE = 2000, 1 / 1000
+#: A batch with no more points (each with seven keys of about 60 bytes) is sent to the history, which then is
+#: read where it lies; a larger one meets it in a shuffle.
+SMALL_BATCH = 20_000
 
 
 def hex_text(value: Column) -> Column:
@@ -158,15 +161,14 @@ class LinkageState:
         self.images = images if self.images is None else self.images.unionAll(images)
         self.points = points if self.points is None else self.points.unionAll(points)
 
-    def hot_keys(self, points: DataFrame) -> dict[str, list[int]]:
-        """At most ``1 / HOT_SHARE`` keys of each kind that hold very many points."""
-        n = points.count()
+    def hot_keys(self, known: DataFrame, new: DataFrame, small: bool) -> dict[str, list[int]]:
+        """At most ``1 / HOT_SHARE`` keys of each kind that hold very many points, of those the batch asks for."""
         none: dict[str, list[int]] = {"t": [], "b": []}
-        rows = (
-            block_keys(points, False, none).groupBy("kind", "key").agg(F.count("*").alias("n"))
-            .where(F.col("n") > max(HOT, n * HOT_SHARE)).select("kind", "key").collect()
-        )
-        for r in rows:
+        keys = block_keys(known, False, none).select("kind", "key")
+        if small:
+            keys = keys.join(F.broadcast(block_keys(new, True, none).select("kind", "key").distinct()), ["kind", "key"], "left_semi")
+        counts = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT, known.count() * HOT_SHARE))
+        for r in counts.select("kind", "key").collect():
             none[r.kind].append(r.key)
         return none
 
@@ -175,8 +177,10 @@ class LinkageState:
         new = batch_points.select(F.col("p").alias("id"), "user_id", "hash", "total").withColumn("old", F.lit(False))
         old = self.points.select("id", "user_id", "hash", "total").withColumn("old", F.lit(True))
         known = old.unionAll(new)
-        hot = self.hot_keys(known)
-        left = block_keys(new, True, hot).alias("l")
+        small = new.count() <= SMALL_BATCH
+        hot = self.hot_keys(known, new, small)
+        left = block_keys(new, True, hot)
+        left = (F.broadcast(left) if small and not (hot["t"] or hot["b"]) else left).alias("l")
         right = block_keys(known, False, hot).alias("r")
         x = F.col("l.hash").bitwiseXOR(F.col("r.hash"))
         both = F.col("l.total").isNotNull() & F.col("r.total").isNotNull()

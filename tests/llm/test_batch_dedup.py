@@ -51,9 +51,10 @@ def brute(uploads, receipts):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "small"), [(2000, 20_000), (3, 20_000), (2000, 0), (3, 0)])
+def test_against_brute_force(spark, monkeypatch, hot, small):
     monkeypatch.setattr(batch_dedup, "HOT", hot)
+    monkeypatch.setattr(batch_dedup, "SMALL_BATCH", small)
     uploads, receipts = world(3)
     u, r = spark.createDataFrame(uploads, UPLOADS), spark.createDataFrame(receipts, RECEIPTS)
     assert {tuple(x) for x in repeated_uploads(u, r).collect()} == brute(uploads, receipts)
