@@ -14,7 +14,6 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -55,46 +54,35 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
-@lru_cache(200_000)
 def word_numbers(w: str) -> tuple[str, tuple[float, ...]]:
-    """Lower case, and letters, syllables, whether long, connective, a number, in capitals. Kept for words that come often."""
+    """Lower case, and letters, syllables, whether long, connective, a number, in capitals."""
     low = w.lower()
     return low, (len(w), len(_VOWELS.findall(low)), len(w) > 8, low in CONNECTIVES, w[0].isdigit(), len(w) > 1 and w.isupper())
 
 
+def word_items(low: str, n: tuple[float, ...]) -> list[str]:
+    """What a word says about the level: itself and whether in capitals, or that it is a number."""
+    return ["#"] if n[4] else (["^", low] if n[5] else [low])
+
+
+def length_item(words: int) -> str:
+    return f"len{min(words // 3, 12)}"
+
+
+def long_item(long: int, words: int) -> str:
+    return f"long{min(9, round(10 * long / words))}"
+
+
 def vocabulary_items(ws: list[str]) -> list[str]:
-    """What a sentence's level is read from: its words, their form, and its length."""
+    """What a sentence's level is read from: its words, their form, its length and share of long words."""
     items = []
     for w in ws:
-        low, n = word_numbers(w)
-        if n[4]:
-            items.append("#")
-        else:
-            if n[5]:
-                items.append("^")
-            items.append(low)
-    items.append(f"len{min(len(ws) // 3, 12)}")
-    items.append(f"long{min(9, round(10 * sum(len(w) > 8 for w in ws) / len(ws)))}")
+        items.extend(word_items(*word_numbers(w)))
+    items.append(length_item(len(ws)))
+    items.append(long_item(sum(len(w) > 8 for w in ws), len(ws)))
     return items
 
 
-def text_numbers(sents: list[list[str]]) -> np.ndarray:
-    """For each sentence length, word length, syllables, long words, longest word, connectives, digits, capitals and
-    overlap with the sentence before."""
-    starts, rows, shared, before = [], [], [], frozenset()
-    for ws in sents:
-        starts.append(len(rows))
-        now = [word_numbers(w) for w in ws]
-        rows.extend(n for _, n in now)
-        shared.append(sum(low in before for low, _ in now))
-        before = frozenset(low for low, _ in now)
-    table = np.array(rows, dtype=float)
-    size = np.diff([*starts, len(rows)]).astype(float)
-    means = np.add.reduceat(table, starts, axis=0) / size[:, None]
-    longest = np.maximum.reduceat(table[:, 0], starts)
-    return np.column_stack([size, means[:, 0], means[:, 1], means[:, 2], longest, means[:, 3], means[:, 4], means[:, 5], np.array(shared) / size])
-
-
 @dataclass
 class Words:
     """log P(level | word) up to smoothing, by word."""
@@ -119,33 +107,87 @@ class Words:
         scores = np.log(rate / rate.mean(1, keepdims=True))
         return cls(index, scores)
 
-    def levels_of(self, items: list[list[str]]) -> np.ndarray:
-        """For each sentence the share of each level."""
-        get = self.index.get
-        ids, starts = [], []
-        for s in items:
-            starts.append(len(ids))
-            ids.extend(i for w in s if (i := get(w, -1)) >= 0)
-            if len(ids) == starts[-1]:
-                ids.append(-1)
-        table = np.vstack([self.scores, np.zeros((1, LEVELS))])
-        logs = np.add.reduceat(table[np.array(ids)], np.array(starts), axis=0)
+    def scores_of(self, items: list[str]) -> np.ndarray:
+        """Sum of the scores of those items that are known."""
+        known = [i for w in items if (i := self.index.get(w, -1)) >= 0]
+        return self.scores[known].sum(0) if known else np.zeros(LEVELS)
+
+
+class Lexicon:
+    """Numbers and level scores of words by their spelling, worked out once for each spelling met."""
+
+    #: Spellings kept between calls.
+    MOST = 300_000
+
+    def __init__(self, words: Words) -> None:
+        self.words = words
+        self.by_length = np.array([words.scores_of([f"len{k}"]) for k in range(13)])
+        self.by_long = np.array([words.scores_of([f"long{k}"]) for k in range(10)])
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.low_ids: dict[str, int] = {}
+        self.low: list[int] = []
+        self.rows: list[tuple[float, ...]] = []
+        self.table = np.zeros((0, 6 + LEVELS))
+
+    def _add(self, w: str) -> int:
+        low, n = word_numbers(w)
+        self.low.append(self.low_ids.setdefault(low, len(self.low_ids)))
+        self.rows.append((*map(float, n), *self.words.scores_of(word_items(low, n))))
+        return self.ids.setdefault(w, len(self.ids))
+
+    def features(self, docs: list[list[list[str]]]) -> np.ndarray:
+        """One row of features for each document (a list of sentences, none of them empty)."""
+        if len(self.ids) > self.MOST:
+            self._clear()
+        get, add, low = self.ids.get, self._add, self.low
+        ids: list[int] = []
+        starts: list[int] = []
+        shared: list[int] = []
+        distinct: list[int] = []
+        for doc in docs:
+            before: frozenset[int] = frozenset()
+            met: set[int] = set()
+            for ws in doc:
+                starts.append(len(ids))
+                now = [add(w) if (i := get(w)) is None else i for w in ws]
+                ids.extend(now)
+                lows = [low[i] for i in now]
+                shared.append(sum(x in before for x in lows))
+                before = frozenset(lows)
+                met |= before
+            distinct.append(len(met))
+        if len(self.table) < len(self.rows):
+            self.table = np.vstack([self.table, np.array(self.rows[len(self.table) :], dtype=float)])
+        of_words = self.table[ids]
+        sums = np.add.reduceat(of_words, starts, axis=0)
+        size = np.diff([*starts, len(ids)]).astype(float)
+        means = sums[:, :6] / size[:, None]
+        longest = np.maximum.reduceat(of_words[:, 0], starts)
+        # length, word length, syllables, long words, longest word, connectives, digits, capitals, overlap with the sentence before
+        numbers = np.column_stack([size, means[:, :3], longest, means[:, 3:], np.array(shared) / size])
+        length = np.minimum(size // 3, 12).astype(int)
+        long = np.minimum(9, np.rint(10 * sums[:, 2] / size)).astype(int)
+        logs = sums[:, 6:] + self.by_length[length] + self.by_long[long]
         p = np.exp(logs - logs.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+        shares = p / p.sum(1, keepdims=True)
+        ends = np.cumsum([len(doc) for doc in docs])
+        return np.array([_summary(numbers[e - len(doc) : e], shares[e - len(doc) : e], n) for doc, e, n in zip(docs, ends, distinct)])
 
 
-def features(sents: list[list[str]], items: list[list[str]], words: Words) -> np.ndarray:
-    numbers = text_numbers(sents)
-    shares = words.levels_of(items)
+def _summary(numbers: np.ndarray, shares: np.ndarray, distinct: int) -> np.ndarray:
+    """A document's features from the numbers and levels of its sentences."""
     size = numbers[:, 0]
-    by_words = (shares * size[:, None]).sum(0) / size.sum()
+    total = size.sum()
+    by_words = (shares * size[:, None]).sum(0) / total
     grade = shares @ np.arange(LEVELS)
     spoken = np.bincount(shares.argmax(1), minlength=LEVELS)
-    distinct = len({word_numbers(w)[0] for ws in sents for w in ws}) / max(1.0, size.sum() ** 0.7)
     return np.concatenate(
         [
-            spread(grade[:, None]), shares.mean(0), by_words, spoken / len(sents), [spoken.argmax(), by_words.argmax(), by_words.max()],
-            spread(numbers), [np.log1p(len(sents)), np.log1p(size.sum()), distinct],
+            spread(grade[:, None]), shares.mean(0), by_words, spoken / len(size), [spoken.argmax(), by_words.argmax(), by_words.max()],
+            spread(numbers), [np.log1p(len(size)), np.log1p(total), distinct / max(1.0, total**0.7)],
         ]
     )
 
@@ -168,16 +210,15 @@ class ReadingModel:
     def grade(self, text: str | None) -> int:
         return int(self.grades([text])[0])
 
-    def grades(self, texts: list[str | None]) -> np.ndarray:
+    def grades(self, texts: list[str | None], lexicon: Lexicon | None = None) -> np.ndarray:
+        """Levels of texts; 0 where there is no word. A ``lexicon`` of the model's words saves work between calls."""
         out = np.zeros(len(texts), dtype=int)
-        rows, at = [], []
-        for k, t in enumerate(texts):
-            sents = sentences(t) if t else []
-            if sents:
-                rows.append(features(sents, [vocabulary_items(s) for s in sents], self.words))
-                at.append(k)
-        if rows:
-            out[at] = np.searchsorted(self.cuts, self.trees.predict(np.array(rows)), side="right")
+        lexicon = lexicon or Lexicon(self.words)
+        for a in range(0, len(texts), 500):
+            split = {k: s for k, t in enumerate(texts[a : a + 500], a) if t and (s := sentences(t))}
+            if split:
+                x = lexicon.features(list(split.values()))
+                out[list(split)] = np.searchsorted(self.cuts, self.trees.predict(x), side="right")
         return out
 
 
@@ -203,14 +244,13 @@ def train(texts: list[str | None], labels: list[int], sources: list[str]) -> Rea
     if not len(y):
         return ReadingModel(Words({}, np.zeros((0, LEVELS))), BoostedTrees(edges=[]), np.arange(LEVELS - 1) + 0.5, 0.0, 0.0)
     # each document's features come from words of other sources only, as they will for new documents
-    x = np.zeros((len(y), len(features(sents[0], items[0], Words.of(items[:1], y[:1])))))
+    x = np.zeros((len(y), Lexicon(Words.of(items[:1], y[:1])).features(sents[:1]).shape[1]))
     for f in range(FOLDS):
         out = fold == f
         if out.any():
             rest = np.flatnonzero(~out) if (~out).any() else np.arange(len(y))
             words = Words.of([items[k] for k in rest], y[rest])
-            for k in np.flatnonzero(out):
-                x[k] = features(sents[k], items[k], words)
+            x[out] = Lexicon(words).features([sents[k] for k in np.flatnonzero(out)])
     held = np.zeros(len(y))
     for f in range(FOLDS):
         out = fold == f
@@ -243,7 +283,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, max_labels: int = MA
     model = train_on(documents, labels, max_labels)
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(model.words)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "reading_level": model.grades(list(b["text"]))})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "reading_level": model.grades(list(b["text"]), lexicon)})
 
     return documents.select("doc_id", "text").mapInPandas(grade, "doc_id long, reading_level int")
