@@ -12,7 +12,8 @@ MAX_BYTES = 15 * 1024 * 1024
 
 
 def image_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, length, kind, hash, stored_name, accepted): accepted if of a known kind and not too large.
+    """(path, length, kind, hash, stored_name, accepted): accepted if of a known kind and not too large. The reader
+    passes over empty files, so they have no row.
 
     Content is read once, for its hash and first bytes, and not passed on.
     """

@@ -39,8 +39,9 @@ def test_image_files(spark, tmp_path):
     (tmp_path / "b").write_bytes(b"RIFF\x01\x02\x03\x04WEBPVP8 ")
     (tmp_path / "c").write_bytes(b"\xff\xd8\xff" + b"x" * 100)
     (tmp_path / "d").write_bytes(b"")
+    (tmp_path / "e").write_bytes(b"text")
     got = {r.path[-1]: (r.kind, r.accepted, r.stored_name.endswith("." + (r.kind or "bin"))) for r in image_files(spark, str(tmp_path), 50).collect()}
-    assert got == {"a": ("png", True, True), "b": ("webp", True, True), "c": ("jpeg", False, True), "d": (None, False, True)}
+    assert got == {"a": ("png", True, True), "b": ("webp", True, True), "c": ("jpeg", False, True), "e": (None, False, True)}
 
 
 def test_changes_between_states(spark):
