@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.linkage_weights import LinkageWeights, fit
-from tallyforge.llm.listing_parts import attributes
+from tallyforge.llm.listing_parts import attributes, plain
 from tallyforge.llm.minhash import bands_for, with_bands
-from tallyforge.llm.name_variants import edit_similarity
+from tallyforge.llm.name_variants import edit_similarity, may_be_error
 from tallyforge.llm.star_clusters import star_clusters
 from tallyforge.storage import materialize
 
@@ -29,12 +29,12 @@ LEVELS = (3, 3, 3)
 FIRST = ((0.8, 0.15, 0.05), (0.96, 0.02, 0.02), (0.96, 0.02, 0.02))
 #: A pair is linked if its probability of being one article is at least this.
 THRESHOLD = 0.9
-#: A spelling of a maker in more lines than this is no typing error.
-ERROR_LINES = 1
 
 
 def listing_attributes(lines: DataFrame) -> DataFrame:
-    """(id, maker, kind, size, colour, model, pack) of the lines with a seller_code.
+    """(id, maker, kind, size, colour, model, pack, wording) of the lines with a seller_code.
+
+    ``wording`` is the plain text, equal in copies of a line.
 
     Null texts count as empty; texts of any length are read whole. A line that states neither maker nor
     kind is left out, as nothing tells its article.
@@ -43,12 +43,13 @@ def listing_attributes(lines: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [attributes(d, u) for d, u in zip(b["description"], b["unit"])]
-            yield pd.DataFrame({"id": b["id"]} | {k: [r[i] for r in rows] for i, k in enumerate(FIELDS)})
+            wording = [f"{plain(d)}|{plain(u)}" for d, u in zip(b["description"], b["unit"])]
+            yield pd.DataFrame({"id": b["id"]} | {k: [r[i] for r in rows] for i, k in enumerate(FIELDS)} | {"wording": wording})
 
     catalogue = lines.where(F.col("seller_code").isNotNull()).select("id", "description", "unit")
     # a file may hold no such line, and parsing costs the most here: spread the few rows evenly
     parsed = catalogue.repartition(catalogue.sparkSession.sparkContext.defaultParallelism * 2).mapInPandas(
-        parse, "id long, maker string, kind string, size string, colour string, model string, pack int"
+        parse, "id long, maker string, kind string, size string, colour string, model string, pack int, wording string"
     )
     return parsed.where("maker <> '' AND kind <> ''")
 
@@ -73,21 +74,43 @@ def maker_pairs(classes: DataFrame) -> DataFrame:
     return makers.select(F.col("maker").alias("a"), F.col("maker").alias("b"), F.lit(0).alias("edits")).unionAll(counted)
 
 
+def maker_errors(makers: DataFrame, near: DataFrame) -> DataFrame:
+    """``near`` with ``error``: by the distinct lines (maker_n) of both, one of them may be misspelt.
+
+    Two edits apart, both must be misspellings, of each other or of a third one.
+    """
+    side = lambda s: makers.select(F.col("maker").alias(s), F.col("maker_n").alias(f"maker_n_{s}"))
+    counted = near.join(side("a"), "a").join(side("b"), "b").withColumn("fits", may_be_error(F.col("maker_n_a"), F.col("maker_n_b")))
+    fewer = (F.col("edits") == 1) & F.col("fits") & (F.col("maker_n_a") != F.col("maker_n_b"))
+    wrong = (
+        counted.where(fewer).select(F.when(F.col("maker_n_a") < F.col("maker_n_b"), F.col("a")).otherwise(F.col("b")).alias("maker"))
+        .unionAll(makers.where("maker_n = 1").select("maker"))
+        .distinct()
+    )
+    flag = lambda s: wrong.select(F.col("maker").alias(s), F.lit(True).alias(f"wrong_{s}"))
+    flagged = counted.join(flag("a"), "a", "left").join(flag("b"), "b", "left")
+    both = F.col("wrong_a").isNotNull() & F.col("wrong_b").isNotNull()
+    return flagged.select("a", "b", "edits", ((F.col("edits") == 0) | ((F.col("edits") == 1) & F.col("fits")) | both).alias("error"))
+
+
 def _level(a: Column, b: Column) -> Column:
     return F.when(a == b, 0).when((a == "") | (b == ""), 2).otherwise(1)
 
 
 def compared(classes: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs of classes in one block with their comparison vector (v0 maker, v1 colour, v2 model)."""
+    """Pairs of classes in one block with their comparison vector (v0 maker, v1 colour, v2 model).
+
+    ``error`` is that of ``maker_errors``, ``same_model`` says that both state the same model.
+    """
     a, b, m = classes.alias("a"), classes.alias("b"), near.alias("m")
     block = ["kind", "size", "pack"]
-    left = a.join(m, F.col("a.maker") == F.col("m.a")).select("a.*", F.col("m.b").alias("other"), "edits").alias("a")
+    left = a.join(m, F.col("a.maker") == F.col("m.a")).select("a.*", F.col("m.b").alias("other"), "edits", "error").alias("a")
     return (
         left.join(b, (F.col("a.other") == F.col("b.maker")) & (F.concat_ws("|", *(f"a.{c}" for c in block)) == F.concat_ws("|", *(f"b.{c}" for c in block))))
         .where((F.col("a.maker") < F.col("b.maker")) | ((F.col("edits") == 0) & (F.col("a.class_id") < F.col("b.class_id"))))
         .select(
             F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"),
-            F.col("a.maker_n").alias("maker_n_a"), F.col("b.maker_n").alias("maker_n_b"),
+            "error", ((F.col("a.model") != "") & (F.col("a.model") == F.col("b.model"))).alias("same_model"),
             F.col("edits").alias("v0"), _level(F.col("a.colour"), F.col("b.colour")).alias("v1"), _level(F.col("a.model"), F.col("b.model")).alias("v2"),
         )
     )
@@ -128,10 +151,10 @@ def match_listings(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Lines that come again are lines of their own in the same article. No line, no row.
     """
     parsed = materialize(listing_attributes(lines), "listings")
-    makers = parsed.groupBy("maker").agg(F.count("*").alias("maker_n"))
-    classes = parsed.groupBy(*FIELDS).agg(F.min("id").alias("class_id"), F.count("*").alias("n")).join(makers, "maker")
-    classes = materialize(classes, "listing-classes")
-    near = materialize(maker_pairs(classes), "maker-pairs")
+    classes = materialize(parsed.groupBy(*FIELDS).agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "listing-classes")
+    makers = parsed.select("maker", "wording").distinct().groupBy("maker").agg(F.count("*").alias("maker_n"))
+    makers = materialize(makers, "maker-lines")
+    near = materialize(maker_errors(makers, materialize(maker_pairs(classes), "maker-edits")), "maker-pairs")
     pairs = materialize(compared(classes, near), "listing-pairs")
     within = classes.agg(F.sum(F.col("n") - 1)).first()[0] or 0
     weights = fitted(pairs, within, chance_levels(classes, near)) if within or not pairs.isEmpty() else fit({}, LEVELS, FIRST)
@@ -140,10 +163,9 @@ def match_listings(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for v1 in range(LEVELS[1]):
             for v2 in range(LEVELS[2]):
                 p = F.when((F.col("v0") == v0) & (F.col("v1") == v1) & (F.col("v2") == v2), weights.posterior((v0, v1, v2))).otherwise(p)
-    # What is stated differently is another article; the weights decide about makers and gaps. A maker
-    # that several lines spell alike is no typing error, and two errors apart are both errors.
-    errors = F.col("v0") - (F.col("maker_n_a") <= ERROR_LINES).cast("int") - (F.col("maker_n_b") <= ERROR_LINES).cast("int") <= 0
-    links = pairs.where((p >= threshold) & (F.col("v1") != 1) & (F.col("v2") != 1) & errors)
+    # What is stated differently is another article; the weights decide about makers and gaps. Makers
+    # that both stand in many lines are two, unless the lines state the same model.
+    links = pairs.where((p >= threshold) & (F.col("v1") != 1) & (F.col("v2") != 1) & (F.col("error") | F.col("same_model")))
     stars = star_clusters(links)
     with_class = parsed.join(classes.select(*FIELDS, "class_id"), FIELDS)
     return with_class.join(stars, F.col("class_id") == F.col("vertex"), "left").select(

@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.minhash import bands_for, with_bands
@@ -36,6 +36,18 @@ MONGE_ELKAN = 0.8
 PLACE_SHARE = 1 / 10_000
 #: A spelling of a core word that more names use than this is no typing error.
 ERROR_SUPPORT = 1
+#: The right spelling has at least this many times the support of a typing error that comes often.
+ERROR_RATIO = 3
+
+
+def may_be_error(n_a: Column, n_b: Column) -> Column:
+    """Whether the rarer of two near spellings may be a typing error of the other, by their support.
+
+    Each time it comes again makes an error less likely, up to ``ERROR_RATIO``: 1 beside any, 2
+    beside 2, 3 beside 6, n beside 3 n.
+    """
+    fewer = F.least(n_a, n_b)
+    return fewer * F.least(fewer - 1, F.lit(ERROR_RATIO)) <= F.greatest(n_a, n_b)
 
 
 def learned_places(names: DataFrame) -> frozenset[str]:

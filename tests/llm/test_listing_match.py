@@ -44,3 +44,14 @@ def test_weights_find_the_classes():
     w = fit(counts, (2, 2), ((0.9, 0.1), (0.9, 0.1)))
     assert w.posterior((0, 0)) > 0.95 > 0.1 > w.posterior((1, 1))
     assert fit({}, (2, 2), ((0.9, 0.1), (0.9, 0.1))).score((0, 0)) > 0
+
+
+def test_misspelling_that_comes_again(spark):
+    """Makers one swap apart: a repeated error is linked by its share or by an equal model; two real makers are not."""
+    lines = [f"Grokante storage box {n} l red" for n in range(1, 7)] + ["Grokanet storage box 5 l red", "stackable box Grokanet 5 l rot", "Grokanet storage box 5 l red"]
+    lines += [f"Girvodor storage box {n} l red" for n in range(1, 5)] + [f"Grivodor storage box {n} l red" for n in range(1, 5)]
+    lines += [f"Svaifoulm liquid soap {n} l" for n in range(1, 4)] + [f"Sbaifoulm liquid soap {n} l" for n in range(11, 14)]
+    lines += ["Svaifoulm liquid soap 0.75 l RH856", "Sbaifoulm hand soap 75 cl RH-856"]
+    df = spark.createDataFrame([(i, d, "pc", "S-1") for i, d in enumerate(lines)], "id long, description string, unit string, seller_code string")
+    got = {tuple(r) for r in listing_pairs(match_listings(df)).collect()}
+    assert got == {*combinations([4, 6, 7, 8], 2), (23, 24)}, got
