@@ -9,6 +9,7 @@ clustered by stars around the wordings most rows use.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,12 +30,15 @@ LEVELS = (3, 3, 3)
 FIRST = ((0.8, 0.15, 0.05), (0.96, 0.02, 0.02), (0.96, 0.02, 0.02))
 #: A pair is linked if its probability of being one article is at least this.
 THRESHOLD = 0.9
+#: Added to the rank of classes with maker and kind: a star around one that lacks either could join two articles.
+COMPLETE = 1 << 40
 
 
 def listing_attributes(lines: DataFrame) -> DataFrame:
     """(id, maker, kind, size, colour, model, pack, wording) of the lines with a seller_code.
 
-    ``wording`` is the plain text, equal in copies of a line.
+    ``wording`` is the plain text, equal in copies of a line. The words of a kind that is not listed
+    stand with the maker.
 
     Null texts count as empty; texts of any length are read whole. A line that states neither maker nor
     kind is left out, as nothing tells its article.
@@ -51,7 +55,15 @@ def listing_attributes(lines: DataFrame) -> DataFrame:
     parsed = catalogue.repartition(catalogue.sparkSession.sparkContext.defaultParallelism * 2).mapInPandas(
         parse, "id long, maker string, kind string, size string, colour string, model string, pack int, wording string"
     )
-    return parsed.where("maker <> '' AND kind <> ''")
+    return parsed.where("maker <> '' OR kind <> ''")
+
+
+def differing(a: str, b: str) -> tuple[str, str]:
+    """Both without what they begin and end with alike: a maker may be a whole long text."""
+    start = len(os.path.commonprefix([a, b]))
+    a, b = a[start:], b[start:]
+    end = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    return a[: len(a) - end], b[: len(b) - end]
 
 
 def maker_pairs(classes: DataFrame) -> DataFrame:
@@ -68,7 +80,7 @@ def maker_pairs(classes: DataFrame) -> DataFrame:
 
     def count_edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield x.assign(edits=[round((1 - edit_similarity(p, q)) * max(len(p), len(q))) for p, q in zip(x.a, x.b)])
+            yield x.assign(edits=[round((1 - edit_similarity(p, q)) * max(len(p), len(q))) for p, q in map(differing, x.a, x.b)])
 
     counted = near.mapInPandas(count_edits, "a string, b string, edits int").where("edits <= 2")
     return makers.select(F.col("maker").alias("a"), F.col("maker").alias("b"), F.lit(0).alias("edits")).unionAll(counted)
@@ -109,13 +121,31 @@ def compared(classes: DataFrame, near: DataFrame) -> DataFrame:
         left.join(b, (F.col("a.other") == F.col("b.maker")) & (F.concat_ws("|", *(f"a.{c}" for c in block)) == F.concat_ws("|", *(f"b.{c}" for c in block))))
         .where((F.col("a.maker") < F.col("b.maker")) | ((F.col("edits") == 0) & (F.col("a.class_id") < F.col("b.class_id"))))
         .select(
-            F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"),
+            F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b"), F.col("a.rank").alias("n_a"), F.col("b.rank").alias("n_b"),
             "error", ((F.col("a.model") != "") & (F.col("a.model") == F.col("b.model"))).alias("same_model"),
             F.col("edits").alias("v0"), _level(F.col("a.colour"), F.col("b.colour")).alias("v1"), _level(F.col("a.model"), F.col("b.model")).alias("v2"),
         )
     )
 
 
+def partial_links(classes: DataFrame) -> DataFrame:
+    """Links (a, b, n_a, n_b) of classes of which one lacks maker or kind.
+
+    They state the same model and the same maker or kind, have the same size and pack, and differ in
+    nothing that both state.
+    """
+    stated = classes.where("model <> ''")
+    equal = lambda c: (F.col(f"a.{c}") != "") & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    open_ = lambda c: (F.col(f"a.{c}") == F.col(f"b.{c}")) | (F.col(f"a.{c}") == "") | (F.col(f"b.{c}") == "")
+    a, b = stated.where("maker = '' OR kind = ''").alias("a"), stated.alias("b")
+    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("size", "pack", "model")]).where(
+        (equal("maker") | equal("kind")) & open_("maker") & open_("kind") & open_("colour")
+        & ~(equal("maker") & (F.col("a.kind") == F.col("b.kind")))  # compared by the weights
+        & ((F.col("b.rank") > COMPLETE) | (F.col("a.class_id") < F.col("b.class_id")))
+    )
+    return met.select(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b"), F.col("a.rank").alias("n_a"), F.col("b.rank").alias("n_b"))
+
+
 def chance_levels(classes: DataFrame, near: DataFrame) -> list[list[float]]:
     """How often two classes reach each level by chance: exact shares, from counts of values."""
     total = classes.count()
@@ -151,13 +181,16 @@ def match_listings(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Lines that come again are lines of their own in the same article. No line, no row.
     """
     parsed = materialize(listing_attributes(lines), "listings")
-    classes = materialize(parsed.groupBy(*FIELDS).agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "listing-classes")
+    classes = parsed.groupBy(*FIELDS).agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    rank = F.col("n") + F.when(F.expr("maker <> '' AND kind <> ''"), COMPLETE).otherwise(0)
+    classes = materialize(classes.withColumn("rank", rank), "listing-classes")
+    named = classes.where("maker <> ''")
     makers = parsed.select("maker", "wording").distinct().groupBy("maker").agg(F.count("*").alias("maker_n"))
     makers = materialize(makers, "maker-lines")
-    near = materialize(maker_errors(makers, materialize(maker_pairs(classes), "maker-edits")), "maker-pairs")
-    pairs = materialize(compared(classes, near), "listing-pairs")
-    within = classes.agg(F.sum(F.col("n") - 1)).first()[0] or 0
-    weights = fitted(pairs, within, chance_levels(classes, near)) if within or not pairs.isEmpty() else fit({}, LEVELS, FIRST)
+    near = materialize(maker_errors(makers, materialize(maker_pairs(named), "maker-edits")), "maker-pairs")
+    pairs = materialize(compared(named, near), "listing-pairs")
+    within = named.agg(F.sum(F.col("n") - 1)).first()[0] or 0
+    weights = fitted(pairs, within, chance_levels(named, near)) if within or not pairs.isEmpty() else fit({}, LEVELS, FIRST)
     p = F.lit(0.0)
     for v0 in range(LEVELS[0]):
         for v1 in range(LEVELS[1]):
@@ -166,7 +199,7 @@ def match_listings(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # What is stated differently is another article; the weights decide about makers and gaps. Makers
     # that both stand in many lines are two, unless the lines state the same model.
     links = pairs.where((p >= threshold) & (F.col("v1") != 1) & (F.col("v2") != 1) & (F.col("error") | F.col("same_model")))
-    stars = star_clusters(links)
+    stars = star_clusters(links.select("a", "b", "n_a", "n_b").unionAll(partial_links(classes)))
     with_class = parsed.join(classes.select(*FIELDS, "class_id"), FIELDS)
     return with_class.join(stars, F.col("class_id") == F.col("vertex"), "left").select(
         "id", F.coalesce(F.col("centre").cast("long"), F.col("class_id")).alias("article")

@@ -55,3 +55,14 @@ def test_misspelling_that_comes_again(spark):
     df = spark.createDataFrame([(i, d, "pc", "S-1") for i, d in enumerate(lines)], "id long, description string, unit string, seller_code string")
     got = {tuple(r) for r in listing_pairs(match_listings(df)).collect()}
     assert got == {*combinations([4, 6, 7, 8], 2), (23, 24)}, got
+
+
+def test_lines_without_listed_kind_or_maker(spark):
+    lines = ["Hukopis garden hose 5 m green", "HUKOPIS GARDEN HOSE 5M GRN", "Hukopis hose garden 5 m green", "Hukopsi garden hose 5 m green", "Hukopis garden hose 10 m green"]
+    lines += ["led bulb 10 w white AB123", "led bulb 10 w white AB123", "Vrudolm led lamp 10 W AB-123", "Vrudolm AB123 10 w", "led bulb 10 w white"]
+    lines += ["led bulb 10 w red CD456", "Vrudolm led bulb 10 w white CD456", "Kestamp led bulb 10 w CD456"]
+    df = spark.createDataFrame([(i, d, "pc", "S-1") for i, d in enumerate(lines)], "id long, description string, unit string, seller_code string")
+    articles = match_listings(df)
+    assert articles.count() == len(lines)
+    got = {tuple(r) for r in listing_pairs(articles).collect()}
+    assert got == {*combinations([0, 1, 2, 3], 2), *combinations([5, 6, 7, 8], 2), (10, 12)}, got
