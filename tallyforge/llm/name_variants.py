@@ -34,8 +34,6 @@ SIMILARITY = 4 / 12
 MONGE_ELKAN = 0.8
 #: A place stands behind a dash in at least this share of all spellings, so at most 10,000 do.
 PLACE_SHARE = 1 / 10_000
-#: A spelling of a core word that more names use than this is no typing error.
-ERROR_SUPPORT = 1
 #: The right spelling has at least this many times the support of a typing error that comes often.
 ERROR_RATIO = 3
 
@@ -89,13 +87,15 @@ def verified(pairs: DataFrame) -> DataFrame:
     """Candidate pairs of core words that are one error apart and alike as whole forms.
 
     ``forms_a`` and ``forms_b`` hold the kinds and first names the core words are used with; the
-    words compared are the core and, where both have one, the best pair of these.
+    words compared are the core and, where both have one, the best pair of these. Of two core words
+    that several names use, an error is told by a kind or first name that both have, or, where
+    one has none at all, by the share of the names alone.
     """
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = []
-            for x, y, fx, fy in zip(b.a, b.b, b.forms_a, b.forms_b):
+            for x, y, n, m, fx, fy in zip(b.a, b.b, b.n_a, b.n_b, b.forms_a, b.forms_b):
                 s = edit_similarity(x, y)
                 if round((1 - s) * max(len(x), len(y))) > 1:
                     keep.append(0.0)
@@ -103,6 +103,10 @@ def verified(pairs: DataFrame) -> DataFrame:
                 fx, fy = list(fx), list(fy)
                 named_x, named_y = [f for f in fx if f], [f for f in fy if f]
                 best = s
+                if min(n, m) > 1 and not any(agree(p, q) for p in named_x for q in named_y):
+                    if named_x and named_y or min(n, m) * ERROR_RATIO > max(n, m):
+                        keep.append(0.0)
+                        continue
                 if len(named_x) == len(fx) and len(named_y) == len(fy):  # each use names its kind
                     best = max(0.0 if not agree(p, q) else monge_elkan([x, p], [y, q]) for p in named_x for q in named_y)
                 keep.append(best)
@@ -149,7 +153,7 @@ def name_entities(receipts: DataFrame) -> DataFrame:
         a.join(b, F.col("a.band") == F.col("b.band"))
         .where(
             (F.col("a.core") < F.col("b.core"))
-            & (F.least("a.n", "b.n") <= ERROR_SUPPORT)
+            & may_be_error(F.col("a.n"), F.col("b.n"))
             & (F.abs(F.length("a.core") - F.length("b.core")) <= 1)
             & (F.levenshtein("a.core", "b.core", 2) >= 0)
         )

@@ -64,3 +64,17 @@ def test_stars_do_not_chain(spark):
     rows = [("m", "z", 1, 1), ("m", "a", 1, 1), ("b", "m", 1, 1)]
     got = {tuple(r) for r in star_clusters(spark.createDataFrame(rows, "a string, b string, n_a int, n_b int")).collect()}
     assert got == {(v, "m") for v in "mzab"}
+
+
+def test_misspelling_written_in_several_ways(spark):
+    entities = [
+        ["Zolamerd Brothers Fuel Station LLC", "Zolamerd Brothers, Fuel Station", "Zolamerd Brothers Fuel Station", "Zloamerd", "Zloamerd Fuel Stn"],
+        ["Vedalurm Hotel", "Vedalurm Htl", "VEDALURM HOTEL", "Hotel Vedalurm"],  # three and four names: two hotels
+        ["Vedafurm Hotel", "Vedafurm Htl", "VEDAFURM HOTEL"],
+        ["Girvodor Hotel", "Girvodor Htl", "GIRVODOR HOTEL", "Hotel Girvodor"],
+        ["Grivodor Bakery", "GRIVODOR BAKERY"],
+    ]
+    df = spark.createDataFrame([(n,) for e in entities for n in e], "store_name string")
+    got = {tuple(r) for r in name_pairs(name_entities(df)).collect()}
+    want = {tuple(sorted(p, key=str.encode)) for e in entities for p in combinations(e, 2)}
+    assert got == want, (got - want, want - got)
