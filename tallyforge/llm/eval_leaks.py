@@ -2,9 +2,9 @@
 
 Items are few (their number does not grow with the corpus, and is checked), so they go to every
 task; documents are read once, in place, and no row of them is shuffled. In each document runs of
-``SEED`` words that are rare among the items are looked up in a hash table of the items' runs; a
-passage of twelve words with one word in eight damaged always keeps such a run. Around the seeds a
-banded Smith-Waterman alignment of item and document words gives the best local path, and a
+``SEED`` words are looked up in a hash table of the runs of the different item texts; a passage of
+twelve words with one word in eight damaged always keeps such a run. Around the seeds, where the
+document holds enough of the item's words in any order, a banded Smith-Waterman alignment of item and document words gives the best local path, and a
 passage is reported if some stretch of the path has at least ``PASSAGE`` item words and no more
 than one error in eight.
 """
@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 
 #: Words of a passage, words for each allowed error, words of a seed.
 PASSAGE, ERROR_IN, SEED = 12, 8, 5
-#: A run of words that more items hold is no seed; an opening that as many share is an instruction.
-RARE, SHARED = 8, 5
+#: An opening that as many different texts share is an instruction.
+SHARED = 5
+#: Item words that a passage has at least unharmed.
+LEAST = PASSAGE - PASSAGE // ERROR_IN
 #: The alignment leaves the diagonal of its seed by at most this many words.
 BAND = 12
 #: Bytes of items that may be sent to every task.
@@ -56,16 +58,18 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class Items:
-    """Plain words of the items, and where their rare runs stand."""
+    """Plain words of the items, where their runs stand (of copies, in the first), and the copies of each first."""
 
     words: dict[int, list[str]] = field(default_factory=dict)
     seeds: dict[tuple[str, ...], list[tuple[int, int]]] = field(default_factory=dict)
     joined: frozenset[str] = frozenset()
+    copies: dict[int, list[int]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]]) -> Items:
-        """An opening sentence that ``SHARED`` items have in common is cut off."""
-        openings = Counter(tuple(words(_opening(t))) for _, t in rows if t)
+        """An opening sentence that ``SHARED`` different texts have in common is cut off."""
+        different = {tuple(words(t)): t for _, t in rows if t}
+        openings = Counter(tuple(words(_opening(t))) for t in different.values())
         out = cls()
         joined = set()
         for item, text in rows:
@@ -78,10 +82,14 @@ class Items:
             joined |= {w for x in rest.split() if len(_NO_WORD.split(x.strip(".,;:?!€$'\"()"))) > 1 for w in words(x)}
         out.joined = frozenset(joined)
         runs: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
+        first: dict[tuple[str, ...], int] = {}
         for item, ws in out.words.items():
+            out.copies.setdefault(first.setdefault(tuple(ws), item), []).append(item)
+        for item in out.copies:
+            ws = out.words[item]
             for k in range(len(ws) - SEED + 1):
                 runs[tuple(ws[k : k + SEED])].append((item, k))
-        out.seeds = {run: at for run, at in runs.items() if len({i for i, _ in at}) <= RARE}
+        out.seeds = dict(runs)
         return out
 
 
@@ -190,10 +198,13 @@ def leaked_items(ws: list[str], items: Items) -> dict[int, int]:
             done = start
             a = max(0, start - BAND)
             part = ws[a : start + len(target) + 2 * BAND]
+            present = set(part)
+            if sum(w in present for w in target) < LEAST:
+                continue
             length = longest_passage(local_path(target, part, start - a - BAND, start - a + BAND + BAND // 2))
             if length >= PASSAGE:
                 found[item] = max(found.get(item, 0), length)
-    return found
+    return {copy: length for item, length in found.items() for copy in items.copies[item]}
 
 
 def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:

@@ -52,3 +52,15 @@ def test_shared_opening_is_no_passage():
     items = Items.of([(i, ORDER + f"alpha{i} beta{i}") for i in range(6)])
     assert all(len(w) == 2 for w in items.words.values())
     assert leaked_items(words(ORDER * 3), items) == {}
+
+
+def test_text_of_many_items(spark):
+    """A text under many item_ids is found for each, its only sentence being no instruction; so is a passage of many texts."""
+    text = " ".join(f"common{k}" for k in range(14)) + "."
+    items = [(i, text if i % 2 else text.upper()) for i in range(12)]
+    items += [(100 + i, f"Opening of its own {i}. " + " ".join(f"shared{k}" for k in range(12)) + f" end{i}") for i in range(20)]
+    shared = " ".join(f"shared{k}" if k != 5 else "damaged" for k in range(12))
+    docs = [(1, "before " * 5 + text), (2, "before " + shared + " after"), (3, " ".join(f"shared{k}" for k in range(6)))]
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(x.doc_id, x.item_id) for x in found.collect()}
+    assert got == {(1, i) for i in range(12)} | {(2, 100 + i) for i in range(20)}, got
