@@ -5,7 +5,8 @@
    stands behind a dash in many spellings.
 2. Distinct core words get MinHash bands over padded q-grams. Rows and bands come from the
    collision curve: the similarity that one typing error leaves in a core of six letters must be
-   met with the wanted recall.
+   met with the wanted recall. Short words get keys of the word with one letter left out besides,
+   which all pairs one error apart share.
 3. Pairs that share a band are verified by Monge-Elkan similarity over the words of their best
    pair of forms, with edit similarity (swaps count once) inside.
 4. Core words are clustered by stars around the spellings that most names use, so that chains of
@@ -30,6 +31,8 @@ from tallyforge.storage import materialize
 GRAM, ROWS, RECALL = 3, 3, 0.95
 #: Jaccard similarity of the padded trigrams of two words of six letters with neighbours swapped.
 SIMILARITY = 4 / 12
+#: Words of up to so many letters get exact keys; bands meet a swap in longer ones with at least ``RECALL``.
+EXACT = 7
 #: Least Monge-Elkan similarity of two forms of one entity.
 MONGE_ELKAN = 0.8
 #: A place stands behind a dash in at least this share of all spellings, so at most 10,000 do.
@@ -83,6 +86,12 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
     return sum(max(edit_similarity(x, y) for y in b) for x in a) / len(a) if a else 0.0
 
 
+def exact_keys(cores: DataFrame) -> DataFrame:
+    """(core, n, band) for the short cores of letters: themselves, and with each letter left out."""
+    left_out = F.expr("array_distinct(transform(sequence(0, length(core)), i -> xxhash64(concat(substring(core, 1, i), substring(core, i + 2)))))")
+    return cores.where((F.length("core") <= EXACT) & ~F.col("core").startswith("=")).select("core", "n", F.explode(left_out).alias("band"))
+
+
 def verified(pairs: DataFrame) -> DataFrame:
     """Candidate pairs of core words that are one error apart and alike as whole forms.
 
@@ -147,7 +156,7 @@ def name_entities(receipts: DataFrame) -> DataFrame:
     cores = materialize(forms.groupBy("core").agg(F.sum("n").alias("n"), F.collect_list("form").alias("forms")), "name-cores")
     bands = bands_for(SIMILARITY, ROWS, RECALL)
     keyed = with_bands(cores.where(F.length("core") > 3).select("core", "n"), "core", GRAM, ROWS, bands)
-    keyed = materialize(keyed, "name-bands")
+    keyed = materialize(keyed.unionAll(exact_keys(cores.select("core", "n"))), "name-bands")
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = (
         a.join(b, F.col("a.band") == F.col("b.band"))

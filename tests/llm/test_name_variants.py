@@ -78,3 +78,12 @@ def test_misspelling_written_in_several_ways(spark):
     got = {tuple(r) for r in name_pairs(name_entities(df)).collect()}
     want = {tuple(sorted(p, key=str.encode)) for e in entities for p in combinations(e, 2)}
     assert got == want, (got - want, want - got)
+
+
+def test_short_cores(spark):
+    """Every typing error in a core of three to six letters meets, by exact keys."""
+    entities = [[f"{w} Bakery", f"{w} Bkry", f"{w.upper()} BAKERY", f"{e} Bakery"] for w, e in (("Zug", "Zugg"), ("Vok", "Vko"), ("Plim", "Pilm"), ("Gwix", "Gwixx"), ("Skanf", "Sknaf"), ("Ovzig", "Ovizg"), ("Hylmot", "Hlymot"))]
+    df = spark.createDataFrame([(n,) for e in entities for n in e], "store_name string")
+    got = {tuple(r) for r in name_pairs(name_entities(df)).collect()}
+    want = {tuple(sorted(p, key=str.encode)) for e in entities for p in combinations(e, 2)}
+    assert got == want, (got - want, want - got)
