@@ -157,7 +157,7 @@ def packed_windows(documents: DataFrame, windows: DataFrame, folder: str = TOKEN
     window_id is used. Repeated documents are placed again.
     """
     by_capacity: dict[int, int] = {}
-    for r in windows.where("capacity_tokens > 0").groupBy("capacity_tokens").agg(F.min("window_id").alias("w")).limit(1000).collect():
+    for r in windows.where("capacity_tokens > 0").groupBy("capacity_tokens").agg(F.min("window_id").alias("w")).collect():
         by_capacity[r.capacity_tokens] = r.w
     sized = materialize(measured(documents, folder, vocabulary), "pack-sizes")
     nowhere = sized.where("tokens = 0" if by_capacity else "true").select(
@@ -183,11 +183,11 @@ def packed_windows(documents: DataFrame, windows: DataFrame, folder: str = TOKEN
     first = materialize(_packed(pieces, capacities, "a", max(1, -(-n // SHARD_ITEMS))), "pack-first")
     again = first.where(F.col("fill") < GOOD_FILL).select("doc_id", "piece_no", "tokens", "loss")
     second = _packed(again, capacities, "b", max(1, -(-again.count() // SHARD_ITEMS)))
-    window = F.create_map(*(F.lit(x) for c, w in by_capacity.items() for x in (c, w)))
-    placed = first.where(F.col("fill") >= GOOD_FILL).unionAll(second)
+    window = documents.sparkSession.createDataFrame([*by_capacity.items()], "capacity int, window_id long")
+    placed = first.where(F.col("fill") >= GOOD_FILL).unionAll(second).join(F.broadcast(window), "capacity")
     return placed.select(
         "doc_id", "piece_no", F.col("tokens").alias("n_tokens"), F.col("loss").alias("loss_tokens"),
-        window[F.col("capacity")].cast("long").alias("window_id"), "container", "position", "start_token",
+        "window_id", "container", "position", "start_token",
     ).unionAll(nowhere)
 
 

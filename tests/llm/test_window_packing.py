@@ -75,3 +75,12 @@ def test_pack_keeps_the_limits():
         at = where == k
         assert tokens[at].sum() <= capacity and (at.sum() == 1 or (at.sum() <= limits(capacity)[1] and loss[at].sum() <= limits(capacity)[2]))
     assert (where >= 0).all() and tokens.sum() > 0.95 * sum(closed)
+
+
+def test_many_capacities(spark):
+    """The largest of thousands of capacities takes the text whole, and the smallest that fits is found."""
+    docs = spark.createDataFrame([(1, "word " * 3_000)], "doc_id long, text string")
+    tokens = window_packing.measured(docs).first().tokens
+    windows = spark.createDataFrame([(c, c, 0) for c in range(tokens - 2_499, tokens + 1)], WINDOWS)
+    got = [(r["piece_no"], r["n_tokens"], r["window_id"]) for r in rows_of(packed_windows(docs, windows))]
+    assert got == [(0, tokens, tokens)]
