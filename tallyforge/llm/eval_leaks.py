@@ -118,10 +118,10 @@ def rejoined(ws: list[str], joined: frozenset[str]) -> list[str]:
 MATCH, OTHER, GAP = 2, -1, -1
 
 
-def local_path(item: list[str], doc: list[str], low: int, high: int) -> list[int]:
+def local_path(item: list[str], doc: list[str], low: int, high: int) -> tuple[int, list[int]]:
     """Smith-Waterman between item and document words, on the diagonals low..high (document minus item).
 
-    Returns the steps of the best local path: 0 equal words, 1 different words, 2 an item word
+    Returns where in the item the best local path begins, and its steps: 0 equal words, 1 different words, 2 an item word
     left out, 3 a document word added. Match +2, everything else -1.
     """
     width = high - low + 1
@@ -160,20 +160,18 @@ def local_path(item: list[str], doc: list[str], low: int, high: int) -> list[int
             i, d = i - 1, d + 1
         else:
             d -= 1
-    return path[::-1]
+    return i + 1, path[::-1]
 
 
 def longest_passage(path: list[int]) -> int:
     """Item words of the longest stretch of the path with at most one error in ``ERROR_IN`` of them."""
     best = 0
     for a in range(len(path)):
-        if path[a]:
-            continue
         length = errors = 0
         for step in path[a:]:
             length += step != 3
             errors += step != 0
-            if step == 0 and errors * ERROR_IN <= length:
+            if errors * ERROR_IN <= length:
                 best = max(best, length)
     return best
 
@@ -201,7 +199,11 @@ def leaked_items(ws: list[str], items: Items) -> dict[int, int]:
             present = set(part)
             if sum(w in present for w in target) < LEAST:
                 continue
-            length = longest_passage(local_path(target, part, start - a - BAND, start - a + BAND + BAND // 2))
+            begin, path = local_path(target, part, start - a - BAND, start - a + BAND + BAND // 2)
+            # the path ends on equal words; damaged ones may stand before and behind it
+            after = len(target) - begin - sum(step != 3 for step in path)
+            more = len(path) // ERROR_IN + 1
+            length = longest_passage([1] * min(begin, more) + path + [1] * min(after, more))
             if length >= PASSAGE:
                 found[item] = max(found.get(item, 0), length)
     return {copy: length for item, length in found.items() for copy in items.copies[item]}

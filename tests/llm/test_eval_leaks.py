@@ -64,3 +64,13 @@ def test_text_of_many_items(spark):
     found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {(x.doc_id, x.item_id) for x in found.collect()}
     assert got == {(1, i) for i in range(12)} | {(2, 100 + i) for i in range(20)}, got
+
+
+def test_damaged_end_words():
+    text = [f"item{k}" for k in range(14)]
+    items = Items.of([(1, " ".join(text))])
+    assert leaked_items(["x", *text[1:12], "y"], items) == {1: 12}
+    assert leaked_items([*text[:11], "damaged"], items) == {1: 12}
+    assert leaked_items(["x", *text[1:11], "y"], items) == {}
+    # an item of eleven words has no passage
+    assert leaked_items(["x", *text[:11], "y"], Items.of([(1, " ".join(text[:11]))])) == {}
