@@ -207,7 +207,7 @@ class LinkageState:
         levelled = pairs.withColumn("a", hash_level(F.col("bits"))).withColumn("b", total_level(F.col("apart")))
         if self.weights is None:
             counts = {(r.a, r.b): r.n for r in levelled.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
-            self.weights = fit(counts, LEVELS, FIRST)
+            self.weights = fit(counts, FIRST)
         score = F.lit(None).cast("double")
         for a in range(LEVELS[0]):
             for b in range(LEVELS[1]):

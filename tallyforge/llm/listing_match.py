@@ -1,10 +1,18 @@
 """Product listings describing the same item (problem 1).
 
-Attributes are parsed out of description and unit into canonical form, rows with equal attributes
-form one class, and classes are compared within blocks of equal kind, size and pack whose makers
-share a MinHash band. The comparison (maker, colour, model) gets weights by
-expectation-maximisation over the counts of comparison vectors; links above the threshold are
-clustered by stars around the wordings most rows use.
+1. Attributes are parsed out of description and unit into canonical form; units come from the
+   conversion graph of the library. Lines with equal attributes form one class.
+2. Classes are compared within blocks of equal size and pack: those of near makers and one kind
+   that state the same model or of which one states none, and those of one model of which one
+   lacks maker or kind. Makers are near if they share a key: words of up to ``EXACT`` letters have
+   one for each way to leave out two letters, which every pair two edits apart has in common,
+   longer ones MinHash bands.
+3. The comparison (maker, kind, size, colour, model, pack) gets weights by
+   expectation-maximisation: m-probabilities from the pairs, u-probabilities from the exact counts
+   of values, so a rare maker or model says more. What one side does not state is no evidence.
+4. Pairs above the threshold are linked; lines of equal attributes have to pass it too. By the
+   definition of an article, colours or models that both state must be equal.
+5. Links are clustered by stars around the wordings that most lines use.
 """
 
 from __future__ import annotations
@@ -16,20 +24,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.linkage_weights import LinkageWeights, fit
+from tallyforge.llm.linkage_weights import MISSING, LinkageWeights, fit
 from tallyforge.llm.listing_parts import attributes, plain
 from tallyforge.llm.minhash import bands_for, with_bands
 from tallyforge.llm.name_variants import edit_similarity, may_be_error
 from tallyforge.llm.star_clusters import star_clusters
 from tallyforge.storage import materialize
 
-GRAM, ROWS, RECALL, SIMILARITY = 3, 3, 0.95, 4 / 12
+GRAM, ROWS, RECALL = 3, 3, 0.95
+#: Jaccard similarity of the padded trigrams of two words of ``EXACT`` + 1 letters with two errors.
+SIMILARITY = 7 / 23
+#: Makers of up to so many letters get exact keys.
+EXACT = 12
+#: Makers with fewer letters are near only if a single edit apart.
+TWO_ERRORS = 6
 FIELDS = ["maker", "kind", "size", "colour", "model", "pack"]
-#: maker: equal, one edit, two edits; colour and model: equal, different, stated by one only.
-LEVELS = (3, 3, 3)
-FIRST = ((0.8, 0.15, 0.05), (0.96, 0.02, 0.02), (0.96, 0.02, 0.02))
-#: A pair is linked if its probability of being one article is at least this.
-THRESHOLD = 0.9
+VECTOR = ["v_maker", "v_kind", "v_size", "v_colour", "v_model", "v_pack"]
+#: Start of the m-probabilities. maker: equal, a typing error of one letter, of two, or near although
+#: many lines write either; the others: equal, different.
+FIRST = ((0.9, 0.07, 0.02, 0.01), (0.98, 0.02), (0.98, 0.02), (0.98, 0.02), (0.98, 0.02), (0.98, 0.02))
+#: Chance that a field of two lines agrees, and that two lines are one article, in a table of no
+#: lines; so many pairs this counts for beside those of the table.
+CHANCE, PRIOR, HELD = (0.002, 0.05, 0.05, 0.12, 0.002, 0.4), 0.005, 2000.0
+#: A pair is linked if it is more likely one article than two; a higher bound drops misspelt makers of lines that state little else.
+THRESHOLD = 0.5
 #: Added to the rank of classes with maker and kind: a star around one that lacks either could join two articles.
 COMPLETE = 1 << 40
 
@@ -66,14 +84,28 @@ def differing(a: str, b: str) -> tuple[str, str]:
     return a[: len(a) - end], b[: len(b) - end]
 
 
+def exact_keys(makers: DataFrame) -> DataFrame:
+    """(maker, band): each maker of up to ``EXACT`` letters with up to two letters left out, of short ones one.
+
+    Two makers that are so many errors apart (swaps among them) share a key.
+    """
+    one = "transform(sequence(1, length({0})), i -> concat(substring({0}, 1, i - 1), substring({0}, i + 1)))"
+    less_one = F.expr(one.format("maker"))
+    less_two = F.expr(f"CASE WHEN length(maker) >= {TWO_ERRORS} THEN flatten(transform(less_one, w -> {one.format('w')})) ELSE array() END")
+    short = makers.where(F.length("maker") <= EXACT).withColumn("less_one", less_one).withColumn("less_two", less_two)
+    keys = F.array_distinct(F.transform(F.concat(F.array("maker"), "less_one", "less_two"), lambda w: F.xxhash64(w)))
+    return short.select("maker", F.explode(keys).alias("band"))
+
+
 def maker_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b, edits) of makers at most two edits apart, each with itself too."""
+    """(a, b, edits) of makers one edit apart, or two where both have ``TWO_ERRORS`` letters; each with itself too."""
     makers = materialize(classes.select("maker").distinct(), "makers")
-    keyed = materialize(with_bands(makers, "maker", GRAM, ROWS, bands_for(SIMILARITY, ROWS, RECALL)), "maker-bands")
+    long = makers.where(F.length("maker") > EXACT - 2)
+    keyed = materialize(with_bands(long, "maker", GRAM, ROWS, bands_for(SIMILARITY, ROWS, RECALL)).unionAll(exact_keys(makers)), "maker-bands")
     a, b = keyed.alias("a"), keyed.alias("b")
     near = (
         a.join(b, F.col("a.band") == F.col("b.band"))
-        .where((F.col("a.maker") < F.col("b.maker")) & (F.levenshtein("a.maker", "b.maker", 3) >= 0))
+        .where((F.col("a.maker") < F.col("b.maker")) & (F.levenshtein("a.maker", "b.maker", 4) >= 0))
         .select(F.col("a.maker").alias("a"), F.col("b.maker").alias("b"))
         .distinct()
     )
@@ -82,7 +114,8 @@ def maker_pairs(classes: DataFrame) -> DataFrame:
         for x in batches:
             yield x.assign(edits=[round((1 - edit_similarity(p, q)) * max(len(p), len(q))) for p, q in map(differing, x.a, x.b)])
 
-    counted = near.mapInPandas(count_edits, "a string, b string, edits int").where("edits <= 2")
+    least = F.least(F.length("a"), F.length("b"))
+    counted = near.mapInPandas(count_edits, "a string, b string, edits int").where((F.col("edits") <= 1) | ((F.col("edits") == 2) & (least >= TWO_ERRORS)))
     return makers.select(F.col("maker").alias("a"), F.col("maker").alias("b"), F.lit(0).alias("edits")).unionAll(counted)
 
 
@@ -105,74 +138,99 @@ def maker_errors(makers: DataFrame, near: DataFrame) -> DataFrame:
     return flagged.select("a", "b", "edits", ((F.col("edits") == 0) | ((F.col("edits") == 1) & F.col("fits")) | both).alias("error"))
 
 
-def _level(a: Column, b: Column) -> Column:
-    return F.when(a == b, 0).when((a == "") | (b == ""), 2).otherwise(1)
-
+def _level(a: str, b: str) -> Column:
+    a, b = F.col(a), F.col(b)
+    return F.when((a == "") | (b == ""), MISSING).when(a == b, 0).otherwise(1)
 
-def compared(classes: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs of classes in one block with their comparison vector (v0 maker, v1 colour, v2 model).
 
-    ``error`` is that of ``maker_errors``, ``same_model`` says that both state the same model.
-    """
-    a, b, m = classes.alias("a"), classes.alias("b"), near.alias("m")
-    block = ["kind", "size", "pack"]
-    left = a.join(m, F.col("a.maker") == F.col("m.a")).select("a.*", F.col("m.b").alias("other"), "edits", "error").alias("a")
-    return (
-        left.join(b, (F.col("a.other") == F.col("b.maker")) & (F.concat_ws("|", *(f"a.{c}" for c in block)) == F.concat_ws("|", *(f"b.{c}" for c in block))))
-        .where((F.col("a.maker") < F.col("b.maker")) | ((F.col("edits") == 0) & (F.col("a.class_id") < F.col("b.class_id"))))
-        .select(
-            F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b"), F.col("a.rank").alias("n_a"), F.col("b.rank").alias("n_b"),
-            "error", ((F.col("a.model") != "") & (F.col("a.model") == F.col("b.model"))).alias("same_model"),
-            F.col("edits").alias("v0"), _level(F.col("a.colour"), F.col("b.colour")).alias("v1"), _level(F.col("a.model"), F.col("b.model")).alias("v2"),
-        )
+def _compared(pairs: DataFrame, maker_level: Column) -> DataFrame:
+    """Pairs of classes ``a`` and ``b`` with their comparison vector."""
+    return pairs.select(
+        F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b"), F.col("a.rank").alias("n_a"), F.col("b.rank").alias("n_b"),
+        maker_level.alias("v_maker"), *(_level(f"a.{c}", f"b.{c}").alias(f"v_{c}") for c in ("kind", "size", "colour", "model")), F.lit(0).alias("v_pack"),
     )
 
 
-def partial_links(classes: DataFrame) -> DataFrame:
-    """Links (a, b, n_a, n_b) of classes of which one lacks maker or kind.
+def compared(classes: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs of classes of one block, each pair once, with their comparison vector.
 
-    They state the same model and the same maker or kind, have the same size and pack, and differ in
-    nothing that both state.
+    Classes of near makers and equal kind, size and pack meet if they state the same model or one
+    of them none: those with a model look for it, those without (one for each colour) look at all
+    of the block.
     """
-    stated = classes.where("model <> ''")
+    both = near.select("a", "b", "edits", "error").unionAll(near.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "edits", "error"))
+    stated = F.col("model") != ""
+    left = classes.where("maker <> ''").join(both, F.col("maker") == F.col("a")).withColumn("key", F.when(stated, F.col("model")).otherwise("*")).alias("a")
+    right = classes.withColumn("key", F.explode(F.when(stated, F.array("model", F.lit("*"))).otherwise(F.array(F.lit("*"))))).alias("b")
+    block = ["kind", "size", "pack", "key"]
+    met = left.join(right, [F.col("a.b") == F.col("b.maker"), *(F.col(f"a.{c}") == F.col(f"b.{c}") for c in block)]).where(
+        # of a pair with equal claims on both sides one order, else the order in which the one without model looks
+        ((F.col("a.model") == "") & (F.col("b.model") != "")) | (F.col("a.class_id") < F.col("b.class_id"))
+    )
+    edits = F.when(F.col("edits") == 0, 0).when(F.col("error"), F.col("edits")).otherwise(3)
+    near_makers = _compared(met, edits)
+    # maker or kind missing on one side: by the model
+    named = classes.where("model <> ''")
     equal = lambda c: (F.col(f"a.{c}") != "") & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     open_ = lambda c: (F.col(f"a.{c}") == F.col(f"b.{c}")) | (F.col(f"a.{c}") == "") | (F.col(f"b.{c}") == "")
-    a, b = stated.where("maker = '' OR kind = ''").alias("a"), stated.alias("b")
-    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("size", "pack", "model")]).where(
-        (equal("maker") | equal("kind")) & open_("maker") & open_("kind") & open_("colour")
-        & ~(equal("maker") & (F.col("a.kind") == F.col("b.kind")))  # compared by the weights
+    part = named.where("maker = '' OR kind = ''").alias("a").join(named.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("size", "pack", "model")]).where(
+        (equal("maker") | equal("kind")) & open_("maker") & open_("kind")
+        & ~(equal("maker") & (F.col("a.kind") == F.col("b.kind")))  # those met above
         & ((F.col("b.rank") > COMPLETE) | (F.col("a.class_id") < F.col("b.class_id")))
     )
-    return met.select(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b"), F.col("a.rank").alias("n_a"), F.col("b.rank").alias("n_b"))
+    return near_makers.unionAll(_compared(part, _level("a.maker", "b.maker")))
 
 
-def chance_levels(classes: DataFrame, near: DataFrame) -> list[list[float]]:
-    """How often two classes reach each level by chance: exact shares, from counts of values."""
-    total = classes.count()
-
-    def same(field: str, where: str = "true") -> float:
-        squares = classes.where(where).groupBy(field).count().agg(F.sum(F.col("count").cast("double") ** 2)).first()[0]
-        return (squares or 0.0) / total**2
+def chance_levels(classes: DataFrame, near: DataFrame) -> tuple[list[list[float]], float]:
+    """How often two classes that both state a field reach each level by chance, and the number of pairs.
 
+    Exact shares, from counts of values; each share is drawn to ``CHANCE`` by ``HELD`` pairs.
+    """
+    total = float(classes.count())
+    pairs = total * (total - 1) / 2
+    agree = []
+    for field, known in zip(FIELDS, CHANCE):
+        sizes = classes.where(F.col(field).cast("string") != "").groupBy(field).agg(F.count("*").cast("double").alias("c"))
+        c, squares = sizes.agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
+        c = c or 0.0
+        agree.append(((squares or 0.0) + HELD * known) / (c * (c - 1) / 2 + HELD))
     per_maker = classes.groupBy("maker").agg(F.count("*").cast("double").alias("c"))
-    near = near.where("edits > 0").join(per_maker.withColumnRenamed("maker", "a").withColumnRenamed("c", "c_a"), "a")
-    near = near.join(per_maker.withColumnRenamed("maker", "b").withColumnRenamed("c", "c_b"), "b")
-    edits = {r.edits: 2 * r.s / total**2 for r in near.groupBy("edits").agg(F.sum(F.col("c_a") * F.col("c_b")).alias("s")).collect()}
-    levels = [[same("maker"), edits.get(1, 0.0), edits.get(2, 0.0)]]
-    for field in ("colour", "model"):
-        stated = classes.where(f"{field} <> ''").count() / total
-        equal = same(field)
-        gap = 2 * stated * (1 - stated)
-        levels.append([equal, max(0.0, 1 - equal - gap), gap])
-    return levels
-
-
-def fitted(pairs: DataFrame, within: int, chance: list[list[float]]) -> LinkageWeights:
-    """EM over the vectors of the pairs, and of the ``within`` pairs of rows that are equal in all fields."""
-    counts = {(r.v0, r.v1, r.v2): r.n for r in pairs.groupBy("v0", "v1", "v2").agg(F.count("*").alias("n")).collect()}
-    if within:
-        counts[(0, 0, 0)] = counts.get((0, 0, 0), 0) + within
-    return fit(counts, LEVELS, FIRST, fixed_u=chance)
+    met = near.where("edits > 0 AND error").join(per_maker.withColumnRenamed("maker", "a").withColumnRenamed("c", "c_a"), "a")
+    met = met.join(per_maker.withColumnRenamed("maker", "b").withColumnRenamed("c", "c_b"), "b")
+    by_edits = {r.edits: r.s for r in met.groupBy("edits").agg(F.sum(F.col("c_a") * F.col("c_b")).alias("s")).collect()}
+    errors = [(by_edits.get(e, 0.0) + HELD * CHANCE[0] / 2) / (pairs + HELD) for e in (1, 2)]
+    # what is near although many lines write either counts as another maker
+    levels = [[agree[0], *errors, 1 - agree[0] - sum(errors)]]
+    return levels + [[p, 1 - p] for p in agree[1:]], pairs
+
+
+def fitted(pairs: DataFrame, classes: DataFrame, near: DataFrame) -> LinkageWeights:
+    """EM over the vectors of the candidate pairs and of the pairs of lines that are equal in all fields."""
+    counts = {tuple(r[v] for v in VECTOR): float(r.n) for r in pairs.groupBy(*VECTOR).agg(F.count("*").alias("n")).collect()}
+    alike = classes.select(*own_vector(), (F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("n")).groupBy(*VECTOR).agg(F.sum("n").alias("n"))
+    for r in alike.collect():
+        v = tuple(r[x] for x in VECTOR)
+        counts[v] = counts.get(v, 0.0) + r.n
+    chance, total = chance_levels(classes, near)
+    lines = float(classes.agg(F.sum("n")).first()[0] or 0)
+    return fit({v: c for v, c in counts.items() if c}, FIRST, chance, max(total, lines * (lines - 1) / 2), PRIOR, HELD)
+
+
+def own_vector() -> list[Column]:
+    """The comparison of two lines of one class."""
+    return [F.when(F.col(c).cast("string") == "", MISSING).otherwise(0).alias(v) for c, v in zip(FIELDS, VECTOR)]
+
+
+def posterior(weights: LinkageWeights) -> Column:
+    """The probability that a pair with this comparison vector is one article."""
+    bits = F.lit(0.0)
+    for name, ws in zip(VECTOR, weights.weights):
+        per = F.lit(0.0)
+        for level, w in enumerate(ws):
+            per = F.when(F.col(name) == level, w).otherwise(per)
+        bits = bits + per
+    prior = weights.prior
+    return F.lit(1.0) / (F.lit(1.0) + F.lit((1 - prior) / prior) * F.pow(F.lit(2.0), -bits))
 
 
 def match_listings(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -184,26 +242,17 @@ def match_listings(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = parsed.groupBy(*FIELDS).agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
     rank = F.col("n") + F.when(F.expr("maker <> '' AND kind <> ''"), COMPLETE).otherwise(0)
     classes = materialize(classes.withColumn("rank", rank), "listing-classes")
-    named = classes.where("maker <> ''")
     makers = parsed.select("maker", "wording").distinct().groupBy("maker").agg(F.count("*").alias("maker_n"))
     makers = materialize(makers, "maker-lines")
-    near = materialize(maker_errors(makers, materialize(maker_pairs(named), "maker-edits")), "maker-pairs")
-    pairs = materialize(compared(named, near), "listing-pairs")
-    within = named.agg(F.sum(F.col("n") - 1)).first()[0] or 0
-    weights = fitted(pairs, within, chance_levels(named, near)) if within or not pairs.isEmpty() else fit({}, LEVELS, FIRST)
-    p = F.lit(0.0)
-    for v0 in range(LEVELS[0]):
-        for v1 in range(LEVELS[1]):
-            for v2 in range(LEVELS[2]):
-                p = F.when((F.col("v0") == v0) & (F.col("v1") == v1) & (F.col("v2") == v2), weights.posterior((v0, v1, v2))).otherwise(p)
-    # What is stated differently is another article; the weights decide about makers and gaps. Makers
-    # that both stand in many lines are two, unless the lines state the same model.
-    links = pairs.where((p >= threshold) & (F.col("v1") != 1) & (F.col("v2") != 1) & (F.col("error") | F.col("same_model")))
-    stars = star_clusters(links.select("a", "b", "n_a", "n_b").unionAll(partial_links(classes)))
-    with_class = parsed.join(classes.select(*FIELDS, "class_id"), FIELDS)
-    return with_class.join(stars, F.col("class_id") == F.col("vertex"), "left").select(
-        "id", F.coalesce(F.col("centre").cast("long"), F.col("class_id")).alias("article")
-    )
+    near = materialize(maker_errors(makers, materialize(maker_pairs(classes.where("maker <> ''")), "maker-edits")), "maker-pairs")
+    pairs = materialize(compared(classes, near), "listing-pairs")
+    p = posterior(fitted(pairs, classes, near))
+    links = pairs.where((p >= threshold) & (F.col("v_colour") != 1) & (F.col("v_model") != 1))
+    stars = star_clusters(links.select("a", "b", "n_a", "n_b"))
+    alone = classes.select("*", *own_vector()).withColumn("alike", p >= threshold).select(*FIELDS, "class_id", "alike")
+    with_class = parsed.join(alone, FIELDS)
+    article = F.when(F.col("alike"), F.coalesce(F.col("centre").cast("long"), F.col("class_id"))).otherwise(F.col("id"))
+    return with_class.join(stars, F.col("class_id") == F.col("vertex"), "left").select("id", article.alias("article"))
 
 
 def listing_pairs(articles: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """The attributes of an article that a catalogue line states: maker, kind, size, colour, model, pack.
 
-Runs in Arrow batches over distinct texts.
+Runs in Arrow batches. The word lists are a vocabulary of the catalogues at hand: synonyms and
+translations that no comparison of letters can tell. Words that are not listed stand with the
+maker, so lines of unlisted kinds are compared by them.
 """
 
 from __future__ import annotations
@@ -9,7 +11,9 @@ import re
 import unicodedata
 from fractions import Fraction
 
-# fixed values: kinds of article, each with the wordings that name it, in any order of the words
+from tallyforge.operators.unit_graph import CANONICAL, SPELLINGS, Affine, default_graph, spelling_list
+
+# kinds of article, each with the wordings that name it, in any order of the words
 KINDS = {
     "coffee beans": "coffee beans|whole bean coffee|coffee bean",
     "storage box": "storage box|stackable box|box for storage",
@@ -32,24 +36,28 @@ KINDS = {
     "wood varnish": "wood varnish|timber varnish|varnish for wood",
     "masking tape": "masking tape|painters tape",
 }
-# fixed values: colours in the languages of the catalogues, short forms among them
+# colours in the languages of the catalogues, short forms among them
 COLOURS = {
     "red": "red rot rdeca rdec rd", "black": "black blk schwarz crna crn", "grey": "grey gray gry grau siva siv", "green": "green grn zelena zelen grun",
     "blue": "blue blu modra moder blau", "white": "white wht weiss bela bel", "yellow": "yellow ylw gelb rumena", "brown": "brown brn braun rjava",
 }
-# fixed values: advertising, which says nothing about the article
+# advertising, which says nothing about the article
 ADVERTISING = (
     "for home & office", "home & office", "super value", "great price", "fast delivery", "must have", "top quality", "special offer", "in stock",
     "free shipping", "best price", "sale", "eco", "original", "bestseller", "limited", "new", "neu", "novo", "akcija", "premium", "angebot",
 )
-# fixed values: size units by dimension, with their factor to ml, mg, 0.1 mm and W
-UNITS = {
-    "ml": ("v", 1), "cl": ("v", 10), "dl": ("v", 100), "l": ("v", 1000), "lt": ("v", 1000), "ltr": ("v", 1000), "liter": ("v", 1000), "litre": ("v", 1000),
-    "mg": ("g", 1), "g": ("g", 1000), "gr": ("g", 1000), "gram": ("g", 1000), "grams": ("g", 1000), "dag": ("g", 10000), "dkg": ("g", 10000),
-    "kg": ("g", 1000000), "kilo": ("g", 1000000), "mm": ("l", 10), "cm": ("l", 100), "m": ("l", 10000), "mtr": ("l", 10000), "meter": ("l", 10000),
-    "metre": ("l", 10000), "meters": ("l", 10000), "metres": ("l", 10000), "in": ("l", 254), "w": ("p", 1), "watt": ("p", 1), "watts": ("p", 1), "kw": ("p", 1000),
-}
-PIECES = "pcs|pc|pieces|piece|kos|kom|stk|stück|stuck|ct|count|er[- ]pack|er|pack|packs|x"
+
+
+def size_units() -> dict[str, tuple[str, Affine]]:
+    """Spelling -> (canonical unit, conversion to it), from the conversion graph, and power besides."""
+    graph = default_graph()
+    graph.add("kw", "w", "1000")
+    more = {"w": "w watt watts", "kw": "kw", "l": f"{SPELLINGS['l']} lt"}
+    found = graph.to_canonical([*CANONICAL, "w"])
+    return {s: at for unit, at in found.items() for s in spelling_list(more.get(unit, SPELLINGS.get(unit, unit))) if s != '"'}
+
+
+UNITS = size_units()
 
 _KIND_WORDS = {frozenset(w.split()): kind for kind, names in KINDS.items() for w in names.split("|")}
 _WORDS_OF_KINDS = {w for words in _KIND_WORDS for w in words}
@@ -101,9 +109,8 @@ def attributes(description: str | None, unit: str | None) -> tuple[str, str, str
     pack, text = _pack(text)
     size = size or size_u
     if size:
-        dimension, factor = UNITS[size[2]]
-        amount = Fraction(size[1]) * factor
-        stated = f"{dimension}{amount.numerator}" + (f"/{amount.denominator}" if amount.denominator > 1 else "")
+        unit_of, conversion = UNITS[size[2]]
+        stated = f"{Fraction(size[1]) * conversion.scale + conversion.offset} {unit_of}"
     else:
         stated = ""
     words = re.findall(r"[a-z]+", re.sub(r"\bmod\b", " ", text))
