@@ -1,12 +1,17 @@
 """Evaluation texts leaking into training text (problem 8).
 
-Items are few (their number does not grow with the corpus, and is checked), so they go to every
-task; documents are read once, in place, and no row of them is shuffled. In each document runs of
-``SEED`` words are looked up in a hash table of the runs of the different item texts; a passage of
-twelve words with one word in eight damaged always keeps such a run. Around the seeds, where the
-document holds enough of the item's words in any order, a banded Smith-Waterman alignment of item and document words gives the best local path, and a
-passage is reported if some stretch of the path has at least ``PASSAGE`` item words and no more
-than one error in eight.
+1. Items become plain words; an opening sentence that ``SHARED`` different texts have in common is
+   cut off. Equal texts are one, whatever number of items have it.
+2. Every run of ``SEED`` words of an item text is a seed, kept as a 64-bit hash in a table. The runs
+   of each document are hashed in Arrow batches and joined to the seeds; a table of at most
+   ``SEEDS_SENT`` seeds is sent to the documents, a larger one meets them in a shuffle.
+3. A passage of twelve words or more with one word in eight damaged keeps at least two seeds of the
+   item (16 words with the sixth and eleventh damaged do, any other more), so pairs of document and
+   text with a single hit are no candidates. Nothing else is left out, however common a seed is.
+4. Around the hits of the candidates, where the document holds enough of the item's words in any
+   order, a banded Smith-Waterman alignment of item and document words gives the best local path;
+   a passage is reported if some stretch of the path has at least ``PASSAGE`` item words and no
+   more than one error in eight.
 """
 
 from __future__ import annotations
@@ -14,29 +19,36 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Words of a passage, words for each allowed error, words of a seed.
-PASSAGE, ERROR_IN, SEED = 12, 8, 5
+from tallyforge.storage import materialize
+
+#: Words of a passage, words for each allowed error, words of a seed, and seeds that a passage keeps.
+PASSAGE, ERROR_IN, SEED, LEAST_SEEDS = 12, 8, 5, 2
 #: An opening that as many different texts share is an instruction.
 SHARED = 5
 #: Item words that a passage has at least unharmed.
 LEAST = PASSAGE - PASSAGE // ERROR_IN
 #: The alignment leaves the diagonal of its seed by at most this many words.
 BAND = 12
-#: Bytes of items that may be sent to every task.
-ITEMS_MAX = 64_000_000
+#: Largest table of seeds (16 bytes each), and bytes of candidates with their item texts, that are sent to every task.
+SEEDS_SENT, CANDIDATES_SENT = 1_000_000, 64_000_000
+#: Numbers with marks inside that a task takes along; of items with more, so many at a time are looked for.
+JOINED_SENT = 1_000_000
 
 _HYPHEN_BREAK = re.compile(r"[-‐‑­]\s*\n[\s>|*]*")
 _INLINE = re.compile(r"</?(?:b|i|em|strong|span|a|u|s|sub|sup|font|mark|code|small|tt)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!][^>]*>")
 _LINK = re.compile(r"\[([^\]]*)\]\((?:[^()\s]*)\)")
-_NO_WORD = re.compile(r"[\W_]+")
+_NO_WORD = re.compile(r"[^\w\s]+|_+")
+_MARK_INSIDE = re.compile(r"[\W_]+")
 _ASCII = re.compile(r"[\x00-\x7f]*\Z")
 
 
@@ -53,44 +65,7 @@ def words(text: str | None) -> list[str]:
     if not _ASCII.match(t):
         t = unicodedata.normalize("NFKD", t.replace("—", " ").replace("…", " "))
         t = "".join(c for c in t if c <= "\x7f" or unicodedata.category(c) not in ("Mn", "Cf", "Me", "Cc"))
-    return [w for w in (_NO_WORD.sub("", x) for x in t.lower().split()) if w]
-
-
-@dataclass
-class Items:
-    """Plain words of the items, where their runs stand (of copies, in the first), and the copies of each first."""
-
-    words: dict[int, list[str]] = field(default_factory=dict)
-    seeds: dict[tuple[str, ...], list[tuple[int, int]]] = field(default_factory=dict)
-    joined: frozenset[str] = frozenset()
-    copies: dict[int, list[int]] = field(default_factory=dict)
-
-    @classmethod
-    def of(cls, rows: list[tuple[int, str | None]]) -> Items:
-        """An opening sentence that ``SHARED`` different texts have in common is cut off."""
-        different = {tuple(words(t)): t for _, t in rows if t}
-        openings = Counter(tuple(words(_opening(t))) for t in different.values())
-        out = cls()
-        joined = set()
-        for item, text in rows:
-            opening = _opening(text or "")
-            rest = text or ""
-            if openings[tuple(words(opening))] >= SHARED:
-                rest = rest[len(opening) :]
-            out.words[item] = words(rest)
-            # words with marks inside, which may come with a blank in their place
-            joined |= {w for x in rest.split() if len(_NO_WORD.split(x.strip(".,;:?!€$'\"()"))) > 1 for w in words(x)}
-        out.joined = frozenset(joined)
-        runs: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        first: dict[tuple[str, ...], int] = {}
-        for item, ws in out.words.items():
-            out.copies.setdefault(first.setdefault(tuple(ws), item), []).append(item)
-        for item in out.copies:
-            ws = out.words[item]
-            for k in range(len(ws) - SEED + 1):
-                runs[tuple(ws[k : k + SEED])].append((item, k))
-        out.seeds = dict(runs)
-        return out
+    return _NO_WORD.sub("", t.lower()).split()
 
 
 def _opening(text: str) -> str:
@@ -98,6 +73,12 @@ def _opening(text: str) -> str:
     return m[0] if m else ""
 
 
+def with_marks_inside(text: str) -> set[str]:
+    """Plain words that begin with a number and have marks inside, which may come with a blank in their place."""
+    inside = (x for x in text.split() if len(_MARK_INSIDE.split(x.strip(".,;:?!€$'\"()"))) > 1)
+    return {w for x in inside for w in words(x) if w[0].isdigit()}
+
+
 def rejoined(ws: list[str], joined: frozenset[str]) -> list[str]:
     """Words that a blank in place of a mark has cut, in one piece again."""
     out: list[str] = []
@@ -176,37 +157,77 @@ def longest_passage(path: list[int]) -> int:
     return best
 
 
-def leaked_items(ws: list[str], items: Items) -> dict[int, int]:
-    """Item -> words of the longest passage that the document's words hold of it, from PASSAGE up."""
-    diagonals: dict[int, set[int]] = defaultdict(set)
-    seeds = items.seeds
-    for k in range(len(ws) - SEED + 1):
-        at = seeds.get(tuple(ws[k : k + SEED]))
-        if at:
-            for item, j in at:
-                diagonals[item].add(k - j)
-    found = {}
-    for item, starts in diagonals.items():
-        target = items.words[item]
-        done: int | None = None
-        for start in sorted(starts):
-            # one alignment serves all seeds within half a band
-            if done is not None and start <= done + BAND // 2:
-                continue
-            done = start
-            a = max(0, start - BAND)
-            part = ws[a : start + len(target) + 2 * BAND]
-            present = set(part)
-            if sum(w in present for w in target) < LEAST:
-                continue
-            begin, path = local_path(target, part, start - a - BAND, start - a + BAND + BAND // 2)
-            # the path ends on equal words; damaged ones may stand before and behind it
-            after = len(target) - begin - sum(step != 3 for step in path)
-            more = len(path) // ERROR_IN + 1
-            length = longest_passage([1] * min(begin, more) + path + [1] * min(after, more))
-            if length >= PASSAGE:
-                found[item] = max(found.get(item, 0), length)
-    return {copy: length for item, length in found.items() for copy in items.copies[item]}
+class WordHashes(dict):
+    """64-bit hashes of words, worked out once for each word met."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    def seeds(self, ws: list[str]) -> np.ndarray:
+        """One signed hash for each run of ``SEED`` words."""
+        n = len(ws) - SEED + 1
+        if n <= 0:
+            return np.zeros(0, dtype=np.int64)
+        ids = np.fromiter(map(self.__getitem__, ws), dtype=np.uint64, count=len(ws))
+        h = np.zeros(n, dtype=np.uint64)
+        for k in range(SEED):
+            h = (h ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h.view(np.int64)
+
+
+def passage_of(item: list[str], ws: list[str], item_seeds: np.ndarray, doc_seeds: np.ndarray) -> int:
+    """Words of the longest passage of the item that the document's words hold, from PASSAGE up, else 0."""
+    at: dict[int, list[int]] = defaultdict(list)
+    for j, h in enumerate(item_seeds.tolist()):
+        at[h].append(j)
+    starts = {int(k) - j for k in np.flatnonzero(np.isin(doc_seeds, item_seeds)) for j in at[int(doc_seeds[k])]}
+    longest = 0
+    done: int | None = None
+    for start in sorted(starts):
+        # one alignment serves all seeds within half a band
+        if done is not None and start <= done + BAND // 2:
+            continue
+        done = start
+        a = max(0, start - BAND)
+        part = ws[a : start + len(item) + 2 * BAND]
+        present = set(part)
+        if sum(w in present for w in item) < LEAST:
+            continue
+        begin, path = local_path(item, part, start - a - BAND, start - a + BAND + BAND // 2)
+        # the path ends on equal words; damaged ones may stand before and behind it
+        after = len(item) - begin - sum(step != 3 for step in path)
+        more = len(path) // ERROR_IN + 1
+        longest = max(longest, longest_passage([1] * min(begin, more) + path + [1] * min(after, more)))
+    return longest if longest >= PASSAGE else 0
+
+
+def plain_items(eval_items: DataFrame) -> DataFrame:
+    """(item_id, plain, joined): the words of each item, and those of ``with_marks_inside``.
+
+    An opening sentence that ``SHARED`` different texts have in common is cut off.
+    """
+
+    def openings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            first = [" ".join(words(_opening(t))) for t in b["text"]]
+            yield b.assign(opening=first, whole=[" ".join(words(t)) for t in b["text"]])
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [t[len(_opening(t)) :] if cut else t for t, cut in zip(b["text"], b["cut"])]
+            yield pd.DataFrame({"item_id": b["item_id"], "plain": [" ".join(words(t)) for t in texts], "joined": [sorted(with_marks_inside(t)) for t in texts]})
+
+    items = eval_items.where("text <> ''").select("item_id", "text").distinct().mapInPandas(openings, "item_id long, text string, opening string, whole string")
+    items = materialize(items, "leak-items")
+    common = items.where("opening <> ''").groupBy("opening").agg(F.count_distinct("whole").alias("n")).where(F.col("n") >= SHARED)
+    cut = items.join(common.select("opening", F.lit(True).alias("is_shared")), "opening", "left")
+    return cut.select("item_id", "text", F.coalesce("is_shared", F.lit(False)).alias("cut")).mapInPandas(rest, "item_id long, plain string, joined array<string>")
 
 
 def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
@@ -215,16 +236,59 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     Null and empty texts hold none, nor do items that are null or shorter than a passage. A
     repeated document is reported again. Texts are read whole, whatever their length.
     """
-    import pyspark.sql.functions as F
+    items = materialize(plain_items(eval_items), "leak-words")
+    numbers = items.select(F.explode("joined").alias("w")).distinct()
+    parts = max(1, -(-numbers.count() // JOINED_SENT))
+    found = None
+    for part in range(parts):
+        some = items.where(F.pmod(F.xxhash64("plain"), F.lit(parts)) == part)
+        now = _leaks_of(documents, some)
+        found = now if found is None else found.unionAll(now)
+    return found
+
+
+def _leaks_of(documents: DataFrame, items: DataFrame) -> DataFrame:
+    numbers = items.select(F.explode("joined").alias("w")).distinct()
+    joined = frozenset(r.w for r in numbers.collect())  # at most JOINED_SENT or so, see ``leaks``
+    texts = items.groupBy("plain").agg(F.collect_set("item_id").alias("items")).withColumn("text_no", F.monotonically_increasing_id())
+    texts = materialize(texts, "leak-texts")
+
+    def item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            seeds = [hashes.seeds(t.split()) for t in b["plain"]]
+            yield pd.DataFrame({"text_no": b["text_no"].repeat([len(s) for s in seeds]), "seed": np.concatenate(seeds)})
+
+    seeds = texts.select("text_no", "plain").mapInPandas(item_seeds, "text_no long, seed long").groupBy("seed", "text_no").agg(F.count("*").alias("n"))
+    seeds = materialize(seeds, "leak-seeds")
+
+    def document_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "seeds": [np.unique(hashes.seeds(rejoined(words(t), joined))) for t in b["text"]]})
 
-    size = eval_items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > ITEMS_MAX:
-        raise ValueError(f"the items take {size} bytes; split them into parts of at most {ITEMS_MAX}")
-    items = Items.of([(r.item_id, r.text) for r in eval_items.select("item_id", "text").distinct().orderBy("item_id").collect()])
+    texts_of = documents.where("text IS NOT NULL").select("doc_id", "text")
+    runs = texts_of.mapInPandas(document_seeds, "doc_id long, seeds array<long>").select("doc_id", F.explode("seeds").alias("seed"))
+    hits = runs.join(F.broadcast(seeds) if seeds.count() <= SEEDS_SENT else seeds, "seed")
+    pairs = hits.groupBy("doc_id", "text_no").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SEEDS)
+    # each document with its candidates; a document has few, as each needs words of its own
+    candidates = pairs.join(texts.select("text_no", "plain"), "text_no").groupBy("doc_id").agg(F.collect_list(F.struct("text_no", "plain")).alias("candidates"))
+    candidates = materialize(candidates, "leak-candidates")
+    size = candidates.agg(F.sum(F.expr("aggregate(candidates, 0L, (s, c) -> s + 100 + length(c.plain))"))).first()[0] or 0
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
         for b in batches:
-            rows = [(d, i, n) for d, t in zip(b["doc_id"], b["text"]) for i, n in leaked_items(rejoined(words(t), items.joined), items).items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words"])
+            rows = []
+            for doc, text, candidates in zip(b["doc_id"], b["text"], b["candidates"]):
+                ws = rejoined(words(text), joined)
+                doc_seeds = hashes.seeds(ws)
+                for c in candidates:
+                    item = c["plain"].split()
+                    if n := passage_of(item, ws, hashes.seeds(item), doc_seeds):
+                        rows.append((doc, c["text_no"], n))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_no", "words"])
 
-    return documents.where("text IS NOT NULL").select("doc_id", "text").mapInPandas(find, "doc_id long, item_id long, words int")
+    met = texts_of.join(F.broadcast(candidates) if size <= CANDIDATES_SENT else candidates, "doc_id")
+    verified = met.mapInPandas(verify, "doc_id long, text_no long, words int")
+    return verified.join(texts.select("text_no", F.explode("items").alias("item_id")), "text_no").select("doc_id", "item_id", "words")

@@ -1,6 +1,8 @@
 import random
+from itertools import combinations
 
-from tallyforge.llm.eval_leaks import Items, leaked_items, leaks, longest_passage, words
+from tallyforge.llm import eval_leaks
+from tallyforge.llm.eval_leaks import WordHashes, leaks, longest_passage, passage_of, plain_items, words
 
 ORDER = "Read the note and answer in one short sentence. "
 POOL = [f"word{i}" for i in range(400)]
@@ -48,10 +50,41 @@ def test_words():
     assert words(None) == words("") == words("— … !") == []
 
 
-def test_shared_opening_is_no_passage():
-    items = Items.of([(i, ORDER + f"alpha{i} beta{i}") for i in range(6)])
-    assert all(len(w) == 2 for w in items.words.values())
-    assert leaked_items(words(ORDER * 3), items) == {}
+def test_shared_opening_is_no_passage(spark):
+    rows = [(i, ORDER + f"alpha{i} beta{i}") for i in range(6)] + [(9, None), (10, "")]
+    items = plain_items(spark.createDataFrame(rows, "item_id long, text string")).collect()
+    assert sorted(x.plain for x in items) == [f"alpha{i} beta{i}" for i in range(6)]
+    docs = spark.createDataFrame([(1, ORDER * 3)], "doc_id long, text string")
+    assert leaks(docs, spark.createDataFrame(rows, "item_id long, text string")).collect() == []
+
+
+def test_large_tables_take_the_other_ways(spark, monkeypatch):
+    """Shuffled seeds, shuffled candidates and items in parts give the same rows."""
+    r = random.Random(3)
+    items = [(i, " ".join([*(r.choice(POOL) for _ in range(20)), f"{i + 1},50", f"{i + 2},75"])) for i in range(20)]
+    docs = [(d, "x " + items[d % 20][1].replace(",", " ") + " y") for d in range(40)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((d, d % 20) for d in range(40))
+    assert sorted((x.doc_id, x.item_id) for x in leaks(df, it).collect()) == want
+    for name, value in (("SEEDS_SENT", 0), ("CANDIDATES_SENT", 0), ("JOINED_SENT", 11)):
+        monkeypatch.setattr(eval_leaks, name, value)
+    assert sorted((x.doc_id, x.item_id) for x in leaks(df, it).collect()) == want
+
+
+def test_two_seeds_are_always_left():
+    """Every way to damage one word in eight of a passage leaves two runs of five words."""
+    hashes = WordHashes()
+    for length in range(12, 33):
+        text = [f"w{k}" for k in range(length)]
+        seeds = set(hashes.seeds(text).tolist())
+        worst = length
+        for at in combinations(range(length), length // 8):
+            damaged = ["damaged" if k in at else w for k, w in enumerate(text)]
+            # the shortest passages matter: a longer one holds them
+            worst = min(worst, len(seeds & set(hashes.seeds(damaged).tolist())))
+            if length > 24:
+                break
+        assert worst >= 2, length
 
 
 def test_text_of_many_items(spark):
@@ -68,9 +101,10 @@ def test_text_of_many_items(spark):
 
 def test_damaged_end_words():
     text = [f"item{k}" for k in range(14)]
-    items = Items.of([(1, " ".join(text))])
-    assert leaked_items(["x", *text[1:12], "y"], items) == {1: 12}
-    assert leaked_items([*text[:11], "damaged"], items) == {1: 12}
-    assert leaked_items(["x", *text[1:11], "y"], items) == {}
+    hashes = WordHashes()
+    passage = lambda ws, item=text: passage_of(item, ws, hashes.seeds(item), hashes.seeds(ws))
+    assert passage(["x", *text[1:12], "y"]) == 12
+    assert passage([*text[:11], "damaged"]) == 12
+    assert passage(["x", *text[1:11], "y"]) == 0
     # an item of eleven words has no passage
-    assert leaked_items(["x", *text[:11], "y"], Items.of([(1, " ".join(text[:11]))])) == {}
+    assert passage(["x", *text[:11], "y"], text[:11]) == 0
