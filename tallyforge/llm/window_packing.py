@@ -14,12 +14,14 @@ packed again together with those of other shards.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.storage import materialize
@@ -28,22 +30,42 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Items of a shard, on average.
 SHARD_ITEMS = 4000
-#: Tokens of capacity for each segment, and share of the capacity that may bear loss where texts are combined.
-TOKENS_A_SEGMENT, LOSS_SHARE = 32, 15 / 16
 #: Containers of the first pass that are filled less are packed again.
 GOOD_FILL = 0.995
 
 
-@lru_cache(1)
-def tokenizer(folder: str, vocabulary: str):
-    """The public tokenizer; loaded once a Python worker."""
-    import tiktoken
+@dataclass(frozen=True)
+class Limits:
+    """What a container takes besides tokens: a segment for each so many tokens of its capacity, and loss on a share of it."""
 
-    # fixed value: the pattern by which byte-level vocabularies of this family cut texts into words
-    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    with open(f"{folder}/{vocabulary}", "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    tokens_a_segment: int = 32
+    loss_share: float = 15 / 16
+
+    def of(self, capacity: np.ndarray | int) -> np.ndarray:
+        """Tokens, segments and loss-bearing tokens that a container takes."""
+        c = np.asarray(capacity, dtype=float)
+        return np.stack([c, np.maximum(1, c // self.tokens_a_segment), np.floor(c * self.loss_share)], axis=-1)
+
+
+class Tokenizer:
+    """The public tokenizer; its file is read on the driver and sent to every worker, which builds it once."""
+
+    _built: tuple[str, object] | None = None
+
+    def __init__(self, spark: SparkSession, folder: str, vocabulary: str) -> None:
+        content = Path(folder, vocabulary).read_bytes()
+        self.name = f"{vocabulary}-{zlib.crc32(content)}"
+        self.content = spark.sparkContext.broadcast(content)
+
+    def encoding(self):
+        if Tokenizer._built is None or Tokenizer._built[0] != self.name:
+            import tiktoken
+
+            # fixed value: the pattern by which byte-level vocabularies of this family cut texts into words
+            pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, self.content.value.splitlines())}
+            Tokenizer._built = self.name, tiktoken.Encoding(self.name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return Tokenizer._built[1]
 
 
 def opening(text: str) -> str:
@@ -54,8 +76,10 @@ def opening(text: str) -> str:
 def measured(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens, prompt_tokens); 0 for null and empty texts, whole texts whatever their length."""
 
+    tokenizer = Tokenizer(documents.sparkSession, folder, vocabulary)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(folder, vocabulary).encode_ordinary
+        encode = tokenizer.encoding().encode_ordinary
         for b in batches:
             texts = [t or "" for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [len(encode(t)) for t in texts], "prompt_tokens": [len(encode(opening(t))) for t in texts]})
@@ -63,12 +87,6 @@ def measured(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = V
     return documents.select("doc_id", "text").mapInPandas(count, "doc_id long, tokens int, prompt_tokens int")
 
 
-def limits(capacity: np.ndarray | int) -> np.ndarray:
-    """Tokens, segments and loss-bearing tokens that a container takes."""
-    c = np.asarray(capacity, dtype=float)
-    return np.stack([c, np.maximum(1, c // TOKENS_A_SEGMENT), np.floor(c * LOSS_SHARE)], axis=-1)
-
-
 def _fill(sizes: np.ndarray, top: np.ndarray) -> list[int]:
     """Rows of the items that one container takes: the largest that it can hold, then by dot product."""
     scaled = sizes / top
@@ -93,7 +111,7 @@ def _fill(sizes: np.ndarray, top: np.ndarray) -> list[int]:
         room = room - scaled[k]
 
 
-def pack(tokens: np.ndarray, loss: np.ndarray, capacities: list[int]) -> tuple[np.ndarray, list[int]]:
+def pack(tokens: np.ndarray, loss: np.ndarray, capacities: list[int], limits: Limits = Limits()) -> tuple[np.ndarray, list[int]]:
     """Container number of each item, and the capacity of each container.
 
     Items must be in the order in which ties are to be broken, none larger than the largest
@@ -101,7 +119,7 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacities: list[int]) -> tuple[n
     The largest capacity is used until what is left would fit into one: then the one that is filled best.
     """
     order = sorted(capacities, reverse=True)
-    tops = {c: limits(c) for c in order}
+    tops = {c: limits.of(c) for c in order}
     sizes = np.stack([tokens, np.ones(len(tokens)), loss], axis=1).astype(float)
     where = np.full(len(tokens), -1)
     closed: list[int] = []
@@ -127,12 +145,12 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacities: list[int]) -> tuple[n
     return where, closed
 
 
-def _packed(items: DataFrame, capacities: list[int], label: str, shards: int) -> DataFrame:
+def _packed(items: DataFrame, capacities: list[int], label: str, shards: int, limits: Limits) -> DataFrame:
     """Items with container, its capacity and fill. Shards are dealt by the hash of the item."""
 
     def one_shard(shard: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["tokens", "loss", "doc_id", "piece_no"], ascending=[False, False, True, True]).reset_index(drop=True)
-        where, closed = pack(b["tokens"].to_numpy(), b["loss"].to_numpy(), capacities)
+        where, closed = pack(b["tokens"].to_numpy(), b["loss"].to_numpy(), capacities, limits)
         capacity = np.array(closed)[where]
         used = np.bincount(where, weights=b["tokens"])[where]
         start = b.groupby(where)["tokens"].cumsum() - b["tokens"]
@@ -145,10 +163,11 @@ def _packed(items: DataFrame, capacities: list[int], label: str, shards: int) ->
 
     schema = "doc_id long, piece_no int, tokens int, loss int, container string, capacity int, position int, start_token int, fill double"
     shard = F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(label)), F.lit(shards)).cast("int")
-    return items.withColumn("shard", shard).groupBy("shard").applyInPandas(one_shard, schema)
+    # a stated number of partitions is not folded together: shards take few bytes and much time
+    return items.withColumn("shard", shard).repartition(2 * shards, "shard").groupBy("shard").applyInPandas(one_shard, schema)
 
 
-def packed_windows(documents: DataFrame, windows: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def packed_windows(documents: DataFrame, windows: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, limits: Limits = Limits()) -> DataFrame:
     """(doc_id, piece_no, n_tokens, loss_tokens, window_id, container, position, start_token).
 
     Each document stands once, uncut, unless it is larger than the largest capacity: then it comes in
@@ -180,9 +199,9 @@ def packed_windows(documents: DataFrame, windows: DataFrame, folder: str = TOKEN
         .select("doc_id", "piece_no", F.col("n").alias("tokens"), (F.col("n") - F.least("n", "prompt")).alias("loss"))
     )
     n = pieces.count()
-    first = materialize(_packed(pieces, capacities, "a", max(1, -(-n // SHARD_ITEMS))), "pack-first")
+    first = materialize(_packed(pieces, capacities, "a", max(1, -(-n // SHARD_ITEMS)), limits), "pack-first")
     again = first.where(F.col("fill") < GOOD_FILL).select("doc_id", "piece_no", "tokens", "loss")
-    second = _packed(again, capacities, "b", max(1, -(-again.count() // SHARD_ITEMS)))
+    second = _packed(again, capacities, "b", max(1, -(-again.count() // SHARD_ITEMS)), limits)
     window = documents.sparkSession.createDataFrame([*by_capacity.items()], "capacity int, window_id long")
     placed = first.where(F.col("fill") >= GOOD_FILL).unionAll(second).join(F.broadcast(window), "capacity")
     return placed.select(

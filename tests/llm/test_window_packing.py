@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm import window_packing
-from tallyforge.llm.window_packing import limits, pack, packed_windows, window_use
+from tallyforge.llm.window_packing import Limits, pack, packed_windows, window_use
 
 WINDOWS = "window_id long, capacity_tokens int, tokens int"
 
@@ -39,7 +39,7 @@ def test_every_text_once_and_whole(spark, documents, monkeypatch):
         if sizes[doc] == 0:
             assert rows[0]["container"] is None
     for rows in containers.values():
-        top = limits(capacity[rows[0]["window_id"]])
+        top = Limits().of(capacity[rows[0]["window_id"]])
         assert sum(r["n_tokens"] for r in rows) <= top[0]
         assert len({r["window_id"] for r in rows}) == 1
         if len(rows) > 1:
@@ -73,7 +73,7 @@ def test_pack_keeps_the_limits():
     where, closed = pack(tokens, loss, [512, 4096])
     for k, capacity in enumerate(closed):
         at = where == k
-        assert tokens[at].sum() <= capacity and (at.sum() == 1 or (at.sum() <= limits(capacity)[1] and loss[at].sum() <= limits(capacity)[2]))
+        assert tokens[at].sum() <= capacity and (at.sum() == 1 or (at.sum() <= Limits().of(capacity)[1] and loss[at].sum() <= Limits().of(capacity)[2]))
     assert (where >= 0).all() and tokens.sum() > 0.95 * sum(closed)
 
 
@@ -84,3 +84,10 @@ def test_many_capacities(spark):
     windows = spark.createDataFrame([(c, c, 0) for c in range(tokens - 2_499, tokens + 1)], WINDOWS)
     got = [(r["piece_no"], r["n_tokens"], r["window_id"]) for r in rows_of(packed_windows(docs, windows))]
     assert got == [(0, tokens, tokens)]
+
+
+def test_limits_are_parameters(spark, documents):
+    """A container that takes two segments at most holds no more, whatever its tokens."""
+    windows = spark.createDataFrame([(1, 64, 0), (4, 8192, 0)], WINDOWS)
+    got = packed_windows(documents, windows, limits=Limits(tokens_a_segment=4096, loss_share=1.0)).where("container IS NOT NULL")
+    assert got.groupBy("container").count().agg(F.max("count")).first()[0] == 2
