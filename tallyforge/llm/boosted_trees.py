@@ -15,9 +15,9 @@ class BoostedTrees:
     misses.
     """
 
-    rounds: int = 120
+    rounds: int = 60
     depth: int = 3
-    rate: float = 0.1
+    rate: float = 0.2
     bins: int = 32
     min_leaf: int = 4
     start: int | None = None
