@@ -9,7 +9,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-# fixed values: kinds of shop by the words that name them, abbreviations among them
+# kinds of shop by the words that name them, abbreviations among them
 KINDS = {
     "bakery": "bakery bkry bky bak", "bookshop": "bookshop bksp bookstore books bkshop", "butchers": "butchers butcher btchrs butch",
     "cafe": "cafe caffe coffee", "cleaning": "cleaning services clng svcs svc cleaners srvcs serv", "electrics": "electrics electrix elec electr electric electrical elect",
@@ -20,9 +20,9 @@ KINDS = {
     "stationery": "stationery stat stationers stny stnry statny", "supermarket": "supermarket smarket supermkt supm market supermrkt superm",
     "toys": "toys toyz toy tys", "transport": "transport transp trnsp trans haulage trnsprt",
 }
-# fixed values: crafts of people who work for themselves
+# crafts of people who work for themselves
 CRAFTS = "carpentry photography plumbing taxi tutoring carp carpenter photo photogr plumb plumber tutor tut photos".split()
-# fixed values: first names and their short forms
+# first names and their short forms
 SHORT_NAMES = {
     "aleksandra": "aleks sasa sandra", "alexander": "alex sandy xander", "andrew": "andy drew", "anthony": "tony", "barbara": "barb babs",
     "benjamin": "ben benny", "catherine": "cathy cath", "charles": "charlie chuck", "christopher": "chris kit", "daniel": "dan danny",
@@ -34,13 +34,15 @@ SHORT_NAMES = {
     "susanne": "susi sue", "theodore": "ted theo", "thomas": "tom tommy", "valentin": "tine val", "victoria": "vicky", "william": "bill billy will",
     "zacharias": "zach",
 }
-# fixed values: legal forms, as they stand behind a name
+# legal forms, as they stand behind a name
 LEGAL = re.compile(
     r"[\s,]+(d\.?\s?o\.?\s?o|d\.?\s?d|s\.?\s?p|g\.?\s?m\.?\s?b\.?\s?h|k\.?\s?g|l\.?\s?t\.?\s?d|limited|l\.?\s?l\.?\s?c"
     r"|i\.?\s?n\.?\s?c|incorporated|corp|co|a\.?\s?g|e\.?\s?u|p\.?\s?l\.?\s?c)\.?$",
     re.I,
 )
 FAMILY = {"brothers", "bros", "bro", "brs", "brthrs", "sons", "son", "and", "und", "in", "the", "shop", "store", "co"}
+#: Words of a place, at most.
+PLACE_WORDS = 3
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -110,8 +112,8 @@ def place_suffix(name: str) -> str | None:
     return place if place and not any(w in exact for w in place.split()) else None
 
 
-def parts(name: str, places: frozenset[str]) -> tuple[str, str, str, str]:
-    """(core, kind, first, craft); empty where the name has none. ``first`` may be one letter."""
+def tokens_of(name: str) -> list[str]:
+    """The words of a name in lower case, without branch number, legal form and what stands behind a dash."""
     s = re.sub(r"#\s*\d+|\b[Nn]o\.?\s*\d+", " ", fold(name).replace("’", "'"))
     s = re.sub(r"\bs/market\b", "supermarket", re.sub(r"\bh/ware\b", "hardware", s, flags=re.I), flags=re.I)
     s = re.sub(r"\s+", " ", s).strip()
@@ -125,8 +127,12 @@ def parts(name: str, places: frozenset[str]) -> tuple[str, str, str, str]:
             before, s = s, LEGAL.sub("", s).rstrip(" ,.-")
     s = re.sub(r"'s\b|'", "", s, flags=re.I)
     s = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", s)
-    tokens = re.findall(r"[^\W\d_]+", s.lower())
-    for n in (3, 2, 1):  # places before or after the rest
+    return re.findall(r"[^\W\d_]+", s.lower())
+
+
+def parts(tokens: list[str], places: frozenset[str]) -> tuple[str, str, str, str]:
+    """(core, kind, first, craft) of the words of a name; empty where it has none. ``first`` may be one letter."""
+    for n in range(PLACE_WORDS, 0, -1):  # places before or after the rest
         while len(tokens) > n and " ".join(tokens[-n:]) in places:
             tokens = tokens[:-n]
         while len(tokens) > n and " ".join(tokens[:n]) in places:

@@ -2,7 +2,8 @@
 
 1. Distinct spellings are split into core word, kind of shop, first name and craft; legal forms,
    branch numbers, places and family words fall away. Places are learned from the data: what
-   stands behind a dash in many spellings.
+   stands behind a dash in a good part of all names it occurs in. So are kinds that are not
+   listed: words that stand beside ``KIND_CORES`` different words.
 2. Distinct core words get MinHash bands over padded q-grams. Rows and bands come from the
    collision curve: the similarity that one typing error leaves in a core of six letters must be
    met with the wanted recall. Short words get keys of the word with one letter left out besides,
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.minhash import bands_for, with_bands
-from tallyforge.llm.name_parts import parts, place_suffix
+from tallyforge.llm.name_parts import PLACE_WORDS, parts, place_suffix, tokens_of
 from tallyforge.llm.star_clusters import star_clusters
 from tallyforge.storage import materialize
 
@@ -35,8 +36,12 @@ SIMILARITY = 4 / 12
 EXACT = 7
 #: Least Monge-Elkan similarity of two forms of one entity.
 MONGE_ELKAN = 0.8
-#: A place stands behind a dash in at least this share of all spellings, so at most 10,000 do.
-PLACE_SHARE = 1 / 10_000
+#: A place stands behind a dash in at least this share of the spellings that hold it.
+PLACE_SHARE = 1 / 10
+#: A word that is not listed is a kind of shop (or a first name) if it stands beside so many different words.
+KIND_CORES = 10
+#: Rows of a table of learned words that are sent to every task; a larger one is shuffled.
+LEARNED_SENT = 100_000
 #: The right spelling has at least this many times the support of a typing error that comes often.
 ERROR_RATIO = 3
 
@@ -51,16 +56,40 @@ def may_be_error(n_a: Column, n_b: Column) -> Column:
     return fewer * F.least(fewer - 1, F.lit(ERROR_RATIO)) <= F.greatest(n_a, n_b)
 
 
-def learned_places(names: DataFrame) -> frozenset[str]:
-    """Places named behind a dash; at most ``1 / PLACE_SHARE``."""
+def _sent(learned: DataFrame) -> DataFrame:
+    return F.broadcast(learned) if learned.count() <= LEARNED_SENT else learned
 
-    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"place": [p for n in b["name"] if (p := place_suffix(n))]}, dtype="str")
 
-    total = names.count()
-    found = names.where(F.col("name").contains(" - ")).mapInPandas(suffixes, "place string").groupBy("place").count()
-    return frozenset(r.place for r in found.where(F.col("count") >= max(1.0, total * PLACE_SHARE)).collect())
+def with_places(names: DataFrame) -> DataFrame:
+    """(name, tokens, places): ``names`` (name, tokens, place behind a dash) with the places that each holds."""
+    last = F.size("tokens")
+    phrases = F.expr(
+        f"flatten(transform(sequence(1, least({PLACE_WORDS}, size(tokens))), n -> transform(sequence(1, size(tokens) - n + 1), i -> array_join(slice(tokens, i, n), ' '))))"
+    )
+    held = names.where(last > 1).select("name", F.explode(F.array_distinct(phrases)).alias("place"))
+    dashed = materialize(names.where("place IS NOT NULL").groupBy("place").agg(F.count("*").alias("dashed")), "name-dashed")
+    plain = held.join(_sent(dashed.select("place")), "place").groupBy("place").agg(F.count("*").alias("plain"))
+    places = dashed.join(plain, "place", "left").where(F.col("dashed") >= PLACE_SHARE * (F.col("dashed") + F.coalesce("plain", F.lit(0))))
+    places = materialize(places.select("place"), "name-places")
+    per_name = held.join(_sent(places), "place").groupBy("name").agg(F.collect_list("place").alias("places"))
+    return names.select("name", "tokens").join(per_name, "name", "left")
+
+
+def with_learned_kinds(split_names: DataFrame) -> DataFrame:
+    """Names with a core of several words, of which those that stand beside many others become the kind."""
+    words = F.split("core", " ")
+    beside = split_names.where(F.col("core").contains(" ")).select("name", "core", F.explode(words).alias("word"))
+    rest = F.array_join(F.array_remove(words, F.col("word")), " ")
+    kinds = beside.where(F.length("word") > 1).groupBy("word").agg(F.count_distinct(rest).alias("n")).where(F.col("n") >= KIND_CORES)
+    kinds = materialize(kinds.select("word"), "name-kinds")
+    found = beside.join(_sent(kinds), "word").groupBy("name").agg(F.array_sort(F.collect_set("word")).alias("kinds"))
+    left = F.array_except(words, F.coalesce("kinds", F.array().cast("array<string>")))
+    joined = split_names.join(found, "name", "left").withColumn("left", left)
+    learned = F.col("kinds").isNotNull() & (F.size("left") > 0)
+    return joined.select(
+        "name", F.when(learned, F.array_join("left", " ")).otherwise(F.col("core")).alias("core"),
+        F.when(learned & (F.col("kind") == "") & (F.col("first") == ""), F.array_join("kinds", " ")).otherwise(F.col("kind")).alias("kind"), "first", "craft",
+    )
 
 
 def edit_similarity(a: str, b: str) -> float:
@@ -92,6 +121,12 @@ def exact_keys(cores: DataFrame) -> DataFrame:
     return cores.where((F.length("core") <= EXACT) & ~F.col("core").startswith("=")).select("core", "n", F.explode(left_out).alias("band"))
 
 
+def core_keys(cores: DataFrame) -> DataFrame:
+    """(core, n, band): the MinHash bands of each core, and the exact keys of short ones."""
+    banded = with_bands(cores.where(F.length("core") > 3).select("core", "n"), "core", GRAM, ROWS, bands_for(SIMILARITY, ROWS, RECALL))
+    return banded.unionAll(exact_keys(cores.select("core", "n")))
+
+
 def verified(pairs: DataFrame) -> DataFrame:
     """Candidate pairs of core words that are one error apart and alike as whole forms.
 
@@ -138,15 +173,19 @@ def name_entities(receipts: DataFrame) -> DataFrame:
     names are read whole. Repeated receipts count once.
     """
     names = receipts.where(F.col("store_name") != "").select(F.col("store_name").alias("name")).distinct()
-    names = materialize(names, "names")
-    places = learned_places(names)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"name": b["name"], "tokens": [tokens_of(n) for n in b["name"]], "place": [place_suffix(n) for n in b["name"]]})
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [parts(n, places) for n in b["name"]]
+            rows = [parts(list(t), frozenset() if p is None else frozenset(p)) for t, p in zip(b["tokens"], b["places"])]
             yield pd.DataFrame({"name": b["name"].to_list()} | {k: [r[i] for r in rows] for i, k in enumerate(("core", "kind", "first", "craft"))})
 
-    split_names = names.mapInPandas(split, "name string, core string, kind string, first string, craft string").withColumn(
+    names = materialize(names.mapInPandas(cut, "name string, tokens array<string>, place string"), "names")
+    split_names = with_places(names).mapInPandas(split, "name string, core string, kind string, first string, craft string")
+    split_names = with_learned_kinds(materialize(split_names, "name-words")).withColumn(
         "form",
         F.when(F.col("first") != "", F.concat(F.lit("f:"), "first")).when(F.col("kind") != "", F.concat(F.lit("k:"), "kind")).otherwise(""),
     )
@@ -154,9 +193,7 @@ def name_entities(receipts: DataFrame) -> DataFrame:
     # forms of a core: one for each kind and first name, of which there are few
     forms = split_names.groupBy("core", "form").agg(F.count("*").alias("n"))
     cores = materialize(forms.groupBy("core").agg(F.sum("n").alias("n"), F.collect_list("form").alias("forms")), "name-cores")
-    bands = bands_for(SIMILARITY, ROWS, RECALL)
-    keyed = with_bands(cores.where(F.length("core") > 3).select("core", "n"), "core", GRAM, ROWS, bands)
-    keyed = materialize(keyed.unionAll(exact_keys(cores.select("core", "n"))), "name-bands")
+    keyed = materialize(core_keys(cores), "name-bands")
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = (
         a.join(b, F.col("a.band") == F.col("b.band"))
