@@ -1,7 +1,9 @@
 """Deduplicating new batches against all history (problem 2): incremental record linkage.
 
-What was accepted is kept as persisted tables of blocking keys. A new batch looks its own keys up
-there, so the history is neither compared nor written again:
+What was accepted is kept as persisted tables of blocking keys in a folder, in slots by the hash of
+the key; a new batch is probed against the slots its own keys fall into, and what it adds is
+appended. History is neither keyed, compared nor written again, and another session can go on from
+the folder (``save``, ``load``).
 
 * the image hash of a user is a key of its own (groups of copies meet in one row, never in pairs);
 * pairs with two totals meet in buckets of the total, 0.05 wide (the batch asks for three);
@@ -11,31 +13,39 @@ there, so the history is neither compared nor written again:
   pair with at most 10 different bits shares one, or ten pairs of bands out of five, of which
   every pair with at most 3 different bits shares one.
 
-Rows of one user with equal hash and total are one node. Candidate pairs get a score from weights
-fitted by expectation-maximisation, those below the weakest score that can repeat are left, the
-rest must keep the rule exactly. Whether an upload of the batch is accepted depends on the uploads
-before it; nodes are settled in rounds (a node is settled when all smaller neighbours are), which
-touch the affected nodes only and end in the representative of each.
+Rows of one user with equal hash and total are one node. Candidate pairs are scored by weights
+fitted by expectation-maximisation over the comparison vectors of all batches so far; pairs with
+less evidence than the bound are left. Where the project's definition of a repeat holds
+(``exact``), the bound is the least score of a vector that can keep it, so that no repeat is lost,
+and the rest must keep it exactly; without it the score alone decides. Whether an upload of the
+batch is accepted depends on the uploads before it; nodes are settled in rounds (a node is settled
+when all smaller neighbours are), which touch the affected nodes only and end in the
+representative of each.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import uuid
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.linkage_weights import LinkageWeights, fit
-from tallyforge.storage import materialize
+from tallyforge.storage import materialize, shared_dir
 
 #: Largest difference of totals, in ten-thousandths, and of hashes in bits: with totals, without.
 TOTAL_APART, BITS, BITS_NO_TOTAL = 500, 10, 3
-#: A key with more rows, and with more than this share of all, is hot; so at most 1,000 keys are.
+#: A key with more rows, and with more than this share of all points, is hot; so of each kind of key at most 1,000 are.
 HOT, HOT_SHARE = 2000, 1 / 1000
 #: A batch with no more points (each with seven keys of about 60 bytes) is sent to the history, which then is
 #: read where it lies; a larger one meets it in a shuffle.
 SMALL_BATCH = 20_000
+#: Keys of a slot, on average, when the tables are begun; the number of slots is kept from then on.
+SLOT_KEYS = 2_000_000
+#: Probability from which the score alone takes a pair for a repeat.
+THRESHOLD = 0.5
 
 
 def hex_text(value: Column) -> Column:
@@ -80,32 +90,39 @@ def _key(kind: str, *parts: Column) -> Column:
 FOUR, FIVE, ELEVEN = _bands(4), _bands(5), _bands(11)
 
 
-def block_keys(points: DataFrame, probe: bool, hot: dict[str, list[int]]) -> DataFrame:
-    """One row for each blocking key of each point (id, user_id, hash, total).
+KEYS = "key long, kind string, part int, user_id long, id long, hash long, total long"
+
+
+def block_keys(points: DataFrame, probe: bool) -> DataFrame:
+    """(key, kind, part, user_id, id, hash, total): one row for each blocking key of each point.
 
     ``probe``: the batch's side, which asks for the neighbouring buckets of the total as well.
     """
     bucket = F.floor(F.col("total") / TOTAL_APART)
     buckets = [bucket + i for i in ((-1, 0, 1) if probe else (0,))]
-    hot_total = F.when(F.col("key").isin(hot["t"]) if hot["t"] else F.lit(False), True).otherwise(False)
-    hot_band = F.when(F.col("key").isin(hot["b"]) if hot["b"] else F.lit(False), True).otherwise(False)
-    base = points.select("*", F.explode(F.array(
+    keys = F.array(
         *(F.struct(F.when(F.col("total").isNotNull(), _key("t", b)).alias("key"), F.lit("t").alias("kind"), F.lit(0).alias("part")) for b in buckets),
         *(F.struct(_key(f"b{i}", _band(F.col("hash"), band)).alias("key"), F.lit("b").alias("kind"), F.lit(i).alias("part")) for i, band in enumerate(FOUR)),
-    )).alias("k")).select("*", "k.*").drop("k").where(F.col("key").isNotNull())
+    )
+    return points.select(F.inline(keys), "user_id", "id", "hash", "total").where(F.col("key").isNotNull())
+
+
+def split_hot(keys: DataFrame, hot: dict[str, list[int]]) -> DataFrame:
+    """The keys with ``sub``: hot ones replaced by finer ones (numbered by ``sub``), the others as they are (-1)."""
     if not hot["t"] and not hot["b"]:
-        return base.withColumn("sub", F.lit(-1))
+        return keys.withColumn("sub", F.lit(-1))
+    is_hot = lambda kind: (F.col("kind") == kind) & (F.col("key").isin(hot[kind]) if hot[kind] else F.lit(False))
     finer = F.when(
-        (F.col("kind") == "t") & hot_total,
+        is_hot("t"),
         F.array(*(F.struct(F.xxhash64(F.col("key"), F.lit(i), _band(F.col("hash"), b)).alias("key"), F.lit(i).alias("sub")) for i, b in enumerate(ELEVEN))),
     ).when(
-        (F.col("kind") == "b") & hot_band,
+        is_hot("b"),
         F.array(*(
             F.struct(F.xxhash64(F.col("key"), F.lit(i), _band(F.col("hash"), FIVE[p]), _band(F.col("hash"), FIVE[q])).alias("key"), F.lit(i).alias("sub"))
             for i, (p, q) in enumerate(combinations(range(5), 2))
         )),
     ).otherwise(F.array(F.struct(F.col("key").alias("key"), F.lit(-1).alias("sub"))))
-    return base.withColumn("finer", finer).drop("key").select("*", F.inline("finer")).drop("finer")
+    return keys.withColumn("finer", finer).drop("key").select("*", F.inline("finer")).drop("finer")
 
 
 def _first_common(x: Column) -> Column:
@@ -138,50 +155,109 @@ def total_level(apart: Column) -> Column:
     return F.when(apart.isNull(), 2).when(apart <= TOTAL_APART, 0).otherwise(1)
 
 
-LEVELS = (4, 3)
+#: Start of the m-probabilities: hashes equal, within 3 bits, within 10, further; totals near, apart, one missing.
 FIRST = ((0.5, 0.3, 0.19, 0.01), (0.8, 0.02, 0.18))
 #: The comparison vectors under which an upload can repeat another.
 ADMITTED = ((0, 0), (1, 0), (2, 0), (0, 2), (1, 2))
 
 
-@dataclass
 class LinkageState:
-    """The persisted tables: what was accepted, by image and by hash and total, and its weights."""
+    """The persisted tables: keys of what was accepted, image hashes, links, and the counts behind the weights.
 
-    images: DataFrame | None = None
-    points: DataFrame | None = None
-    weights: LinkageWeights | None = None
-    links: list[DataFrame] = field(default_factory=list)
+    All lie below ``folder``, by default a new one in the shared folder. ``exact`` says that the
+    project's definition of a repeat is checked; without it the score decides.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, exact: bool = True) -> None:
+        self.spark, self.exact = spark, exact
+        self.folder = folder or f"{shared_dir(spark)}/dedup-{uuid.uuid4().hex}"
+        self.slots = 0
+        #: Names of the parts that were written, points among them, and how often each comparison vector came.
+        self.parts: dict[str, list[str]] = {"images": [], "keys": [], "links": []}
+        self.n_points = 0
+        self.counts: dict[tuple[int, int], int] = {}
+        self.saved = 0
+
+    def save(self) -> None:
+        """Write down what the folder holds; ``load`` reads the newest such note."""
+        note = {"slots": self.slots, "parts": self.parts, "n_points": self.n_points, "counts": [[*v, c] for v, c in self.counts.items()], "exact": self.exact}
+        self.saved += 1
+        self.spark.createDataFrame([(self.saved, json.dumps(note))], "no int, note string").coalesce(1).write.mode("append").parquet(f"{self.folder}/notes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> LinkageState:
+        """The state that was saved in ``folder``, in any session."""
+        last = spark.read.schema("no int, note string").parquet(f"{folder}/notes").orderBy(F.col("no").desc()).first()
+        note = json.loads(last.note)
+        state = cls(spark, folder, note["exact"])
+        state.slots, state.parts, state.n_points, state.saved = note["slots"], note["parts"], note["n_points"], last.no
+        state.counts = {(a, b): c for a, b, c in note["counts"]}
+        return state
+
+    def _write(self, table: str, rows: DataFrame, by_slot: bool = False) -> DataFrame:
+        part = f"{self.folder}/{table}/batch={len(self.parts[table])}-{uuid.uuid4().hex}"
+        writer = rows.write.option("compression", "zstd")
+        (writer.partitionBy("slot") if by_slot else writer).parquet(part)
+        self.parts[table].append(part)
+        return self.spark.read.schema(rows.schema).parquet(part)
+
+    def table(self, table: str, schema: str) -> DataFrame:
+        parts = self.parts[table]
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(f"{schema}, batch string").option("basePath", f"{self.folder}/{table}").parquet(*parts).drop("batch")
+
+    def _slot(self) -> Column:
+        return F.pmod("key", F.lit(self.slots)).cast("int").alias("slot")
 
     def accept(self, fields: DataFrame) -> None:
         """Persist the keys of accepted uploads (appended; what is there stays as it is)."""
         images = fields.where(F.col("image").isNotNull()).groupBy("user_id", "image").agg(F.min("id").alias("id"))
+        self._write("images", images)
         points = fields.where(F.col("hash").isNotNull()).groupBy("user_id", "hash", "total").agg(F.min("id").alias("id"))
-        images, points = materialize(images, "dedup-images"), materialize(points, "dedup-points")
-        self.images = images if self.images is None else self.images.unionAll(images)
-        self.points = points if self.points is None else self.points.unionAll(points)
-
-    def hot_keys(self, known: DataFrame, new: DataFrame, small: bool) -> dict[str, list[int]]:
-        """At most ``1 / HOT_SHARE`` keys of each kind that hold very many points, of those the batch asks for."""
-        none: dict[str, list[int]] = {"t": [], "b": []}
-        keys = block_keys(known, False, none).select("kind", "key")
+        points = materialize(points, "dedup-points")
+        n = points.count()
+        self.n_points += n
+        if not self.slots:
+            self.slots = max(1, n * 5 // SLOT_KEYS)
+        keys = block_keys(points, False)
+        if self.slots > 1:
+            keys = keys.withColumn("slot", self._slot()).repartition(self.slots, "slot")
+        else:
+            keys = keys.withColumn("slot", F.lit(0))
+        self._write("keys", keys, by_slot=True)
+
+    def probed(self, asked: DataFrame) -> DataFrame:
+        """The persisted keys in the slots that the keys ``asked`` for fall into; slots are pruned before reading."""
+        keys = self.table("keys", f"{KEYS}, slot int")
+        if self.slots > 1:
+            wanted = [r.slot for r in asked.select(self._slot()).distinct().collect()]  # at most as many as there are slots
+            if len(wanted) < self.slots:
+                keys = keys.where(F.col("slot").isin(wanted))
+        return keys.drop("slot")
+
+    def hot_keys(self, known: DataFrame, asked: DataFrame, n_known: int, small: bool) -> dict[str, list[int]]:
+        """Keys of each kind (of bands, of each band) that hold very many points, of those the batch asks for; at most ``1 / HOT_SHARE``."""
+        hot: dict[str, list[int]] = {"t": [], "b": []}
+        keys = known.select("kind", "key")
         if small:
-            keys = keys.join(F.broadcast(block_keys(new, True, none).select("kind", "key").distinct()), ["kind", "key"], "left_semi")
-        counts = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT, known.count() * HOT_SHARE))
+            keys = keys.join(F.broadcast(asked.select("kind", "key").distinct()), ["kind", "key"], "left_semi")
+        counts = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT, n_known * HOT_SHARE))
         for r in counts.select("kind", "key").collect():
-            none[r.kind].append(r.key)
-        return none
+            hot[r.kind].append(r.key)
+        return hot
 
     def candidates(self, batch_points: DataFrame) -> DataFrame:
         """Pairs (p, q, old, bits, apart) of a point of the batch and one of history or batch."""
-        new = batch_points.select(F.col("p").alias("id"), "user_id", "hash", "total").withColumn("old", F.lit(False))
-        old = self.points.select("id", "user_id", "hash", "total").withColumn("old", F.lit(True))
-        known = old.unionAll(new)
-        small = new.count() <= SMALL_BATCH
-        hot = self.hot_keys(known, new, small)
-        left = block_keys(new, True, hot)
+        new = batch_points.select(F.col("p").alias("id"), "user_id", "hash", "total")
+        n_new = new.count()
+        asked = materialize(block_keys(new, True), "dedup-asked")
+        known = self.probed(asked).withColumn("old", F.lit(True)).unionAll(block_keys(new, False).withColumn("old", F.lit(False)))
+        small = n_new <= SMALL_BATCH
+        hot = self.hot_keys(known, asked, self.n_points + n_new, small)
+        left = split_hot(asked, hot)
         left = (F.broadcast(left) if small and not (hot["t"] or hot["b"]) else left).alias("l")
-        right = block_keys(known, False, hot).alias("r")
+        right = split_hot(known, hot).alias("r")
         x = F.col("l.hash").bitwiseXOR(F.col("r.hash"))
         both = F.col("l.total").isNotNull() & F.col("r.total").isNotNull()
         return (
@@ -202,21 +278,27 @@ class LinkageState:
             )
         )
 
+    @property
+    def weights(self) -> LinkageWeights:
+        return fit(self.counts, FIRST)
+
     def scored(self, pairs: DataFrame) -> DataFrame:
-        """Candidate pairs that the fitted weights do not rule out, and that keep the rule."""
+        """Candidate pairs with enough evidence by the weights, which learn from these pairs too."""
         levelled = pairs.withColumn("a", hash_level(F.col("bits"))).withColumn("b", total_level(F.col("apart")))
-        if self.weights is None:
-            counts = {(r.a, r.b): r.n for r in levelled.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
-            self.weights = fit(counts, FIRST)
+        for r in levelled.groupBy("a", "b").agg(F.count("*").alias("n")).collect():
+            self.counts[(r.a, r.b)] = self.counts.get((r.a, r.b), 0) + r.n
+        weights = self.weights
+        vectors = [(a, b) for a in range(len(FIRST[0])) for b in range(len(FIRST[1]))]
         score = F.lit(None).cast("double")
-        for a in range(LEVELS[0]):
-            for b in range(LEVELS[1]):
-                score = F.when((F.col("a") == a) & (F.col("b") == b), self.weights.score((a, b))).otherwise(score)
-        least = min(self.weights.score(v) for v in ADMITTED)
-        rule = F.when(F.col("apart").isNotNull(), (F.col("apart") <= TOTAL_APART) & (F.col("bits") <= BITS)).otherwise(
-            F.col("bits") <= BITS_NO_TOTAL
-        )
-        return levelled.withColumn("score", score).where((F.col("score") >= least) & rule).drop("a", "b")
+        for v in vectors:
+            score = F.when((F.col("a") == v[0]) & (F.col("b") == v[1]), weights.score(v)).otherwise(score)
+        levelled = levelled.withColumn("score", score)
+        if not self.exact:
+            taken = [weights.score(v) for v in vectors if weights.posterior(v) >= THRESHOLD]
+            return levelled.where(F.col("score") >= min(taken, default=float("inf"))).drop("a", "b")
+        least = min(weights.score(v) for v in ADMITTED)
+        rule = F.when(F.col("apart").isNotNull(), (F.col("apart") <= TOTAL_APART) & (F.col("bits") <= BITS)).otherwise(F.col("bits") <= BITS_NO_TOTAL)
+        return levelled.where((F.col("score") >= least) & rule).drop("a", "b")
 
     def add_batch(self, fields: DataFrame) -> DataFrame:
         """Settle new uploads (in order of id) and persist what is accepted.
@@ -227,8 +309,6 @@ class LinkageState:
         nothing; an empty batch gives no links.
         """
         fields = materialize(fields.select("id", "user_id", "image", "hash", "total"), "dedup-batch")
-        if self.points is None:
-            self.accept(fields.limit(0))
         classes = fields.groupBy("user_id", "image", "hash", "total").agg(F.min("id").alias("id"), F.count("*").alias("n"))
         has_user = F.col("user_id").isNotNull()
         images = classes.where(has_user & F.col("image").isNotNull()).groupBy("user_id", "image").agg(F.min("id").alias("g"), F.count("*").alias("gn"))
@@ -245,7 +325,7 @@ class LinkageState:
             )
             .select("c.id", "c.n", "g", "gn", "p", "pn", "c.user_id", "c.image")
         )
-        from_image = self.images.groupBy("user_id", "image").agg(F.min("id").alias("h_image"))
+        from_image = self.table("images", "user_id long, image string, id long").groupBy("user_id", "image").agg(F.min("id").alias("h_image"))
         from_point = pairs.where("old").groupBy("p").agg(F.min("q").alias("h_point"))
         edges = pairs.where("NOT old").select("p", "q")
         edges = materialize(edges.unionAll(edges.select(F.col("q").alias("p"), F.col("p").alias("q"))), "dedup-edges")
@@ -265,12 +345,8 @@ class LinkageState:
             c, (F.col("f.user_id") == F.col("c.user_id")) & F.col("f.image").eqNullSafe(F.col("c.image"))
             & F.col("f.hash").eqNullSafe(F.col("c.hash")) & F.col("f.total").eqNullSafe(F.col("c.total")),
         ).select(F.col("f.id").alias("upload_id"), F.col("c.id").alias("class_id"))
-        links = materialize(
-            keyed.join(reps, F.col("class_id") == F.col("id")).where("representative < upload_id").select("upload_id", "representative"),
-            "dedup-links",
-        )
+        links = self._write("links", keyed.join(reps, F.col("class_id") == F.col("id")).where("representative < upload_id").select("upload_id", "representative"))
         self.accept(fields.join(links, F.col("id") == F.col("upload_id"), "left_anti"))
-        self.links.append(links)
         return links
 
     @staticmethod
@@ -303,7 +379,7 @@ def repeated_uploads(uploads: DataFrame, receipts: DataFrame) -> DataFrame:
     """(accepted_upload_id, duplicate_upload_id): batch 0 is the history, all later uploads are
     looked up in it and in each other. A null batch_no counts as a later batch."""
     fields = upload_fields(uploads, receipts)
-    state = LinkageState()
+    state = LinkageState(uploads.sparkSession)
     state.accept(fields.where("batch_no = 0"))
     links = state.add_batch(fields.where("NOT batch_no <=> 0"))
     return links.select(F.col("representative").alias("accepted_upload_id"), F.col("upload_id").alias("duplicate_upload_id"))

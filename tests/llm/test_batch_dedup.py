@@ -63,7 +63,7 @@ def test_against_brute_force(spark, monkeypatch, hot, small):
 def test_batch_after_batch_is_the_same(spark):
     uploads, receipts = world(5, 160)
     fields = upload_fields(spark.createDataFrame(uploads, UPLOADS), spark.createDataFrame(receipts, RECEIPTS))
-    state = LinkageState()
+    state = LinkageState(spark)
     state.accept(fields.where("batch_no = 0"))
     got = set()
     for cut in ((1, 4), (5, 8)):
@@ -76,3 +76,47 @@ def test_empty(spark):
     assert repeated_uploads(u, r).collect() == []
     one = spark.createDataFrame([(1, 1, 3, "zz", "not hex", 0, False), (2, 1, 3, "zz", "not hex", 0, False)], UPLOADS)
     assert repeated_uploads(one, r).collect() == []
+
+
+def test_another_session_goes_on(spark, monkeypatch, tmp_path):
+    """The state is saved and loaded between batches, its keys in slots; the rows are those of one call."""
+    monkeypatch.setattr(batch_dedup, "SLOT_KEYS", 20)
+    uploads, receipts = world(7, 160)
+    fields = upload_fields(spark.createDataFrame(uploads, UPLOADS), spark.createDataFrame(receipts, RECEIPTS))
+    state = LinkageState(spark, str(tmp_path / "state"))
+    state.accept(fields.where("batch_no = 0"))
+    assert state.slots > 4
+    state.save()
+    got = set()
+    for batch in range(1, 9):
+        state = LinkageState.load(spark, str(tmp_path / "state"))
+        got |= {(x.representative, x.upload_id) for x in state.add_batch(fields.where(f"batch_no = {batch}")).collect()}
+        state.save()
+    assert got == brute(uploads, receipts)
+    assert sum(state.counts.values()) > 0
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_cost_of_a_batch(spark, monkeypatch, times):
+    """Ten times the history means ten times the slots, of which a batch of one upload reads as few."""
+    monkeypatch.setattr(batch_dedup, "SLOT_KEYS", 50)
+    r = random.Random(times)
+    rows = [(i, i % 5, None, r.getrandbits(63), None) for i in range(100 * times)]
+    fields = spark.createDataFrame(rows, "id long, user_id long, image string, hash long, total long")
+    state = LinkageState(spark)
+    state.accept(fields)
+    asked = batch_dedup.block_keys(fields.limit(1), True)
+    read = state.probed(asked)
+    assert read.join(asked.select("key"), "key", "left_semi").select("key").distinct().count() == asked.select("key").distinct().count()
+    assert state.slots == 10 * times and read.count() <= 5 * 50 * 3
+
+
+def test_score_alone(spark):
+    """Without the definition the learned weights decide: near hashes with near totals, not far ones."""
+    uploads, receipts = world(3)
+    fields = upload_fields(spark.createDataFrame(uploads, UPLOADS), spark.createDataFrame(receipts, RECEIPTS))
+    state = LinkageState(spark, exact=False)
+    state.accept(fields.where("batch_no = 0"))
+    got = {(x.representative, x.upload_id) for x in state.add_batch(fields.where("batch_no > 0")).collect()}
+    cases = {d for _, d in brute(uploads, receipts)}
+    assert len({d for _, d in got} & cases) >= 0.8 * len(cases)
