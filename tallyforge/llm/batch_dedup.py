@@ -14,10 +14,11 @@ the folder (``save``, ``load``).
   every pair with at most 3 different bits shares one.
 
 Rows of one user with equal hash and total are one node. Candidate pairs are scored by weights
-fitted by expectation-maximisation over the comparison vectors of all batches so far; pairs with
-less evidence than the bound are left. Where the project's definition of a repeat holds
-(``exact``), the bound is the least score of a vector that can keep it, so that no repeat is lost,
-and the rest must keep it exactly; without it the score alone decides. Whether an upload of the
+fitted by expectation-maximisation over the comparison vectors of all batches so far (chance
+agreement of hashes is that of random bits), and taken where a repeat is more likely than not. The
+project's definition of a repeat is checked after that (``exact``); the bound then is no higher
+than the least score of a vector that can keep it, so no repeat is lost. Without the definition the
+score alone decides. Whether an upload of the
 batch is accepted depends on the uploads before it; nodes are settled in rounds (a node is settled
 when all smaller neighbours are), which touch the affected nodes only and end in the
 representative of each.
@@ -26,6 +27,7 @@ representative of each.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from itertools import combinations
 
@@ -44,7 +46,7 @@ HOT, HOT_SHARE = 2000, 1 / 1000
 SMALL_BATCH = 20_000
 #: Keys of a slot, on average, when the tables are begun; the number of slots is kept from then on.
 SLOT_KEYS = 2_000_000
-#: Probability from which the score alone takes a pair for a repeat.
+#: Probability from which the score takes a pair for a repeat.
 THRESHOLD = 0.5
 
 
@@ -157,6 +159,8 @@ def total_level(apart: Column) -> Column:
 
 #: Start of the m-probabilities: hashes equal, within 3 bits, within 10, further; totals near, apart, one missing.
 FIRST = ((0.5, 0.3, 0.19, 0.01), (0.8, 0.02, 0.18))
+#: Chance of each level for two uploads: so many of 64 random bits differ; totals as they come.
+CHANCE = ((*(sum(math.comb(64, k) for k in ks) / 2**64 for ks in ((0,), range(1, BITS_NO_TOTAL + 1), range(BITS_NO_TOTAL + 1, BITS + 1))), 1.0), (0.02, 0.68, 0.3))
 #: The comparison vectors under which an upload can repeat another.
 ADMITTED = ((0, 0), (1, 0), (2, 0), (0, 2), (1, 2))
 
@@ -176,11 +180,12 @@ class LinkageState:
         self.parts: dict[str, list[str]] = {"images": [], "keys": [], "links": []}
         self.n_points = 0
         self.counts: dict[tuple[int, int], int] = {}
+        self.n_pairs = 0.0
         self.saved = 0
 
     def save(self) -> None:
         """Write down what the folder holds; ``load`` reads the newest such note."""
-        note = {"slots": self.slots, "parts": self.parts, "n_points": self.n_points, "counts": [[*v, c] for v, c in self.counts.items()], "exact": self.exact}
+        note = {"slots": self.slots, "parts": self.parts, "n_points": self.n_points, "n_pairs": self.n_pairs, "counts": [[*v, c] for v, c in self.counts.items()], "exact": self.exact}
         self.saved += 1
         self.spark.createDataFrame([(self.saved, json.dumps(note))], "no int, note string").coalesce(1).write.mode("append").parquet(f"{self.folder}/notes")
 
@@ -190,7 +195,7 @@ class LinkageState:
         last = spark.read.schema("no int, note string").parquet(f"{folder}/notes").orderBy(F.col("no").desc()).first()
         note = json.loads(last.note)
         state = cls(spark, folder, note["exact"])
-        state.slots, state.parts, state.n_points, state.saved = note["slots"], note["parts"], note["n_points"], last.no
+        state.slots, state.parts, state.n_points, state.n_pairs, state.saved = note["slots"], note["parts"], note["n_points"], note["n_pairs"], last.no
         state.counts = {(a, b): c for a, b, c in note["counts"]}
         return state
 
@@ -251,6 +256,7 @@ class LinkageState:
         """Pairs (p, q, old, bits, apart) of a point of the batch and one of history or batch."""
         new = batch_points.select(F.col("p").alias("id"), "user_id", "hash", "total")
         n_new = new.count()
+        self.n_pairs += n_new * (self.n_points + n_new / 2)
         asked = materialize(block_keys(new, True), "dedup-asked")
         known = self.probed(asked).withColumn("old", F.lit(True)).unionAll(block_keys(new, False).withColumn("old", F.lit(False)))
         small = n_new <= SMALL_BATCH
@@ -280,7 +286,7 @@ class LinkageState:
 
     @property
     def weights(self) -> LinkageWeights:
-        return fit(self.counts, FIRST)
+        return fit(self.counts, FIRST, CHANCE, self.n_pairs, first_prior=1e-5)
 
     def scored(self, pairs: DataFrame) -> DataFrame:
         """Candidate pairs with enough evidence by the weights, which learn from these pairs too."""
@@ -293,10 +299,10 @@ class LinkageState:
         for v in vectors:
             score = F.when((F.col("a") == v[0]) & (F.col("b") == v[1]), weights.score(v)).otherwise(score)
         levelled = levelled.withColumn("score", score)
+        least = min((weights.score(v) for v in vectors if weights.posterior(v) >= THRESHOLD), default=float("inf"))
         if not self.exact:
-            taken = [weights.score(v) for v in vectors if weights.posterior(v) >= THRESHOLD]
-            return levelled.where(F.col("score") >= min(taken, default=float("inf"))).drop("a", "b")
-        least = min(weights.score(v) for v in ADMITTED)
+            return levelled.where(F.col("score") >= least).drop("a", "b")
+        least = min(least, *(weights.score(v) for v in ADMITTED))
         rule = F.when(F.col("apart").isNotNull(), (F.col("apart") <= TOTAL_APART) & (F.col("bits") <= BITS)).otherwise(F.col("bits") <= BITS_NO_TOTAL)
         return levelled.where((F.col("score") >= least) & rule).drop("a", "b")
 
