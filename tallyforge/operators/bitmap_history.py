@@ -5,10 +5,13 @@ attribute, value) the snapshots that show the value are set as bits; a run of se
 period in which the value was valid, so a change that only rewrites the value in force extends a
 run, and a value that comes back later starts a new one (gaps need no special case).
 
-Bitmaps are kept per (entity, attribute, day), in words of 64 snapshots, and days are chained in
-a second step by one summary row a day. So an attribute that holds a third of all changes is
-spread over as many tasks as it has days; a task never holds more than the seconds of one day or
-the days of one attribute.
+Bitmaps are kept per (entity, attribute, value, day), in words of 64 snapshots, one row a word; the
+row also has the seconds of its set bits, so the log itself is not read again. Where runs begin
+comes from the words alone: the bits that are set while the bit before is not, without the first
+bit of a word if the word before ends on the same value. Versions are numbered by counting such
+bits. Words are chained within their day and days by one summary row a day, so an attribute that
+holds a third of all changes is spread over as many tasks as it has days; a task never holds more
+than the seconds of one day or the days of one attribute.
 """
 
 from __future__ import annotations
@@ -103,26 +106,43 @@ def snapshots(changes: DataFrame) -> DataFrame:
     )
 
 
-def value_runs(snaps: DataFrame) -> DataFrame:
-    """The first snapshot of each run of equal values within an (entity, attribute, day).
+def presence(snaps: DataFrame) -> DataFrame:
+    """The bitmaps: one row for each (entity, attribute, day), word of 64 snapshots and value.
 
-    Adds ``rn`` (place of the run in its day) and ``next_sec`` (begin of the next run of the day).
+    ``bits`` has a bit for each snapshot of the word that shows the value, ``seen`` their places,
+    seconds and change ids in order (at most 64), ``before`` the value before the day's first
+    snapshot and ``before_id`` its change (in the first word).
     """
-    in_day = Window.partitionBy(*DAY).orderBy("sec")
-    placed = snaps.select(
-        "*", (F.row_number().over(in_day) - 1).alias("pos"), F.lag("after").over(in_day).alias("before_it")
+    place = F.row_number().over(Window.partitionBy(*DAY).orderBy("sec")) - 1
+    placed = snaps.select("*", place.alias("pos"))
+    first = F.col("pos") == 0
+    return placed.groupBy(*DAY, F.floor(F.col("pos") / WORD).cast("int").alias("word"), F.col("after").alias("value")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(pos % {WORD} AS INT))")).alias("bits"),
+        F.array_sort(F.collect_list(F.struct((F.col("pos") % WORD).cast("int").alias("bit"), "sec", F.col("after_id").alias("id")))).alias("seen"),
+        F.max(F.when(first, F.col("before"))).alias("before"),
+        F.max(F.when(first, F.col("before_id"))).alias("before_id"),
     )
-    placed = placed.select("*", F.floor(F.col("pos") / WORD).alias("word"), (F.col("pos") % WORD).cast("int").alias("bit"))
-    # the snapshots of a word that show the value, one bit each
-    of_value = Window.partitionBy(*DAY, "word", "after")
-    presence = F.bit_or(F.expr("shiftleft(1L, bit)")).over(of_value)
-    # the run may go on from the word before
-    carried = F.bit_or(F.when((F.col("bit") == 0) & (F.col("before_it") == F.col("after")), 1).otherwise(0).cast("long")).over(of_value)
-    words = placed.withColumn("presence", presence).withColumn("carried", carried)
-    starts = words.where(F.expr("getbit(presence & ~shiftleft(presence, 1) & ~carried, bit) = 1"))
-    return starts.select(
-        *DAY, "sec", "after", "after_id", "before", "before_id", F.row_number().over(in_day).alias("rn"), F.lead("sec").over(in_day).alias("next_sec")
+
+
+def word_runs(bitmaps: DataFrame) -> DataFrame:
+    """One row a word: the runs that begin in it (``starts``: bit, sec, id, in order), its first and last value.
+
+    A run that goes on from the word before does not begin again; the first run of a day is always
+    there, as whether it goes on from another day is settled by the days.
+    """
+    begins = F.expr("bits & ~shiftleft(bits, 1)")
+    own = F.filter("seen", lambda x: F.call_function("getbit", F.col("begins"), x["bit"]) == 1)
+    last_bit = F.expr("seen[size(seen) - 1].bit")
+    words = bitmaps.withColumn("begins", begins).groupBy(*DAY, "word").agg(
+        F.array_sort(F.flatten(F.collect_list(own))).alias("starts"),
+        F.max(F.when(F.col("bits").bitwiseAND(F.lit(1)) == 1, F.col("value"))).alias("first_v"),
+        F.max_by("value", last_bit).alias("last_v"),
+        F.max("before").alias("before"),
+        F.max("before_id").alias("before_id"),
     )
+    in_day = Window.partitionBy(*DAY).orderBy("word")
+    goes_on = F.coalesce(F.lag("last_v").over(in_day) == F.col("first_v"), F.lit(False))
+    return words.withColumn("starts", F.when(goes_on, F.expr("slice(starts, 2, size(starts))")).otherwise(F.col("starts")))
 
 
 def attribute_history(changes: DataFrame) -> DataFrame:
@@ -134,21 +154,29 @@ def attribute_history(changes: DataFrame) -> DataFrame:
     that change (``with_values`` adds the texts). A null entity or field is a group of its own; a
     null value is a value. An empty log gives no rows.
     """
-    # read three times below; written once, it is also safe from the loss of an executor
-    runs = materialize(value_runs(snapshots(changes)), "value-runs")
-    days = runs.groupBy(*DAY).agg(
-        F.max(F.when(F.col("rn") == 1, F.col("after"))).alias("first_v"),
-        F.max_by("after", "rn").alias("last_v"),
-        F.max(F.when(F.col("rn") == 1, F.col("before"))).alias("before"),
-        F.max(F.when(F.col("rn") == 1, F.col("before_id"))).alias("before_id"),
-        F.count("*").alias("n"),
-        F.min("sec").alias("sec_1"),
-        F.min("next_sec").alias("sec_2"),
+    # the stored bitmaps; what follows reads them, not the log
+    bitmaps = materialize(presence(snapshots(changes)), "presence")
+    in_day = Window.partitionBy(*DAY).orderBy("word")
+    # a frame that grows with the rows, in either order, is worked out in one pass; one that shrinks is not
+    sooner, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (in_day, Window.partitionBy(*DAY).orderBy(F.col("word").desc())))
+    words = word_runs(bitmaps).select(
+        "*",
+        F.coalesce(F.sum(F.size("starts")).over(sooner), F.lit(0)).alias("earlier"),
+        F.last(F.expr("get(starts, 0).sec"), ignorenulls=True).over(after).alias("next_sec"),
+    )
+    words = materialize(words, "presence-runs")
+    days = words.groupBy(*DAY).agg(
+        F.max_by("first_v", -F.col("word")).alias("first_v"),
+        F.max_by("last_v", "word").alias("last_v"),
+        F.max("before").alias("before"),
+        F.max("before_id").alias("before_id"),
+        F.sum(F.size("starts")).alias("n"),
+        F.min(F.expr("get(starts, 0).sec")).alias("sec_1"),
+        F.min(F.when(F.col("word") == 0, F.coalesce(F.expr("get(starts, 1).sec"), F.col("next_sec")))).alias("sec_2"),
     )
     onward = Window.partitionBy(*DAY[:3]).orderBy("day")
     backward = Window.partitionBy(*DAY[:3]).orderBy(F.col("day").desc())
-    earlier = onward.rowsBetween(Window.unboundedPreceding, -1)
-    later = backward.rowsBetween(Window.unboundedPreceding, -1)
+    earlier, later = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (onward, backward))
     days = (
         days.withColumn("prev_v", F.lag("last_v").over(onward))
         .withColumn("same", F.coalesce("prev_v", "before") == F.col("first_v"))
@@ -164,17 +192,19 @@ def attribute_history(changes: DataFrame) -> DataFrame:
         F.lit(None).cast("timestamp_ntz").alias("valid_from"),
         F.coalesce("start", "next_start").alias("valid_to"),
     )
-    r, d = runs.alias("r"), days.select(*DAY, "same", "offset", "next_start").repartition(*DAY).alias("d")
-    same_day = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in DAY]
+    w, d = words.alias("w"), days.select(*DAY, "same", "offset", "next_start").repartition(*DAY).alias("d")
+    same_day = [F.col(f"w.{c}").eqNullSafe(F.col(f"d.{c}")) for c in DAY]
+    number = F.col("offset") + F.col("earlier") + F.col("at") + 1 - F.col("same").cast("int")
     rest = (
-        r.join(d, same_day)
-        .where((F.col("rn") > 1) | ~F.col("same"))
+        w.join(d, same_day)
+        .select(*(F.col(f"w.{c}").alias(c) for c in GROUP), "word", "starts", "earlier", "next_sec", "same", "offset", "next_start", F.posexplode("starts").alias("at", "run"))
+        .where((F.col("earlier") + F.col("at") > 0) | ~F.col("same"))
         .select(
-            *(F.col(f"r.{c}").alias(c) for c in GROUP),
-            (F.col("offset") + F.col("rn") - F.col("same").cast("int")).cast("int").alias("version_no"),
-            F.col("after_id").alias("change_id"),
-            F.col("sec").alias("valid_from"),
-            F.coalesce("next_sec", "next_start").alias("valid_to"),
+            *GROUP,
+            number.cast("int").alias("version_no"),
+            F.col("run.id").alias("change_id"),
+            F.col("run.sec").alias("valid_from"),
+            F.coalesce(F.expr("get(starts, at + 1).sec"), "next_sec", "next_start").alias("valid_to"),
         )
     )
     return first.unionAll(rest)
