@@ -164,7 +164,6 @@ def attribute_history(changes: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.size("starts")).over(sooner), F.lit(0)).alias("earlier"),
         F.last(F.expr("get(starts, 0).sec"), ignorenulls=True).over(after).alias("next_sec"),
     )
-    words = materialize(words, "presence-runs")
     days = words.groupBy(*DAY).agg(
         F.max_by("first_v", -F.col("word")).alias("first_v"),
         F.max_by("last_v", "word").alias("last_v"),

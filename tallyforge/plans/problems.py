@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators.bitmap_history import attribute_history, valid_at, with_values
-from tallyforge.operators.orphans import orphan_report, orphans_of_receipts
+from tallyforge.operators.orphans import OrphanCheck
 from tallyforge.operators.unit_graph import in_thousandths, normalised_quantities
 from tallyforge.storage import table
 
@@ -24,12 +24,16 @@ def p3_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid_at(with_values(attribute_history(changes), changes), "2023-12-31 23:59:59")
 
 
+def _orphans(spark: SparkSession, sf_dir: str) -> OrphanCheck:
+    return OrphanCheck({name: table(spark, sf_dir, name) for name in ("receipts", "line_items")})
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans_of_receipts(table(spark, sf_dir, "receipts"), table(spark, sf_dir, "line_items"))
+    return _orphans(spark, sf_dir).references()
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_report(p5_found(spark, sf_dir))
+    return _orphans(spark, sf_dir).counts()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

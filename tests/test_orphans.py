@@ -1,6 +1,10 @@
+from collections import Counter
 from datetime import datetime
 
-from tallyforge.operators.orphans import Reference, heavy_keys, orphan_references, orphan_report
+import pytest
+
+from tallyforge.operators import orphans
+from tallyforge.operators.orphans import OrphanCheck, Reference
 
 D = datetime
 
@@ -11,8 +15,12 @@ def frames(spark, refs, targets):
 
 
 def found(spark, refs, targets, **params):
+    return sorted((tuple(r)[2:] for r in check(spark, refs, targets, **params).references().collect()), key=str)
+
+
+def check(spark, refs, targets, **params):
     rows, t = frames(spark, refs, targets)
-    return sorted(tuple(r)[2:] for r in orphan_references(Reference("rows", "parent", rows, t), **params).collect())
+    return OrphanCheck({"rows": rows, "others": t}, (Reference("rows", "parent", "others"),), **params)
 
 
 REFS = [
@@ -32,13 +40,13 @@ def test_cases(spark):
     assert sorted(found(spark, REFS, TARGETS), key=str) == WANT
 
 
-def test_heavy_keys_give_the_same(spark):
-    rows, _ = frames(spark, REFS, TARGETS)
-    from pyspark.sql import functions as F
-
-    keys = heavy_keys(rows.select(F.col("parent").alias("ref_key"), F.lit("m").alias("ref_month")).where("ref_key IS NOT NULL"), 0.1, 5)
-    assert sorted(keys) == [12, 98]
-    assert sorted(found(spark, REFS, TARGETS, heavy_share=0.1, heavy_floor=5), key=str) == WANT
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_heavy_keys_give_the_same(spark, monkeypatch, sent):
+    """Heavy keys apart, and failing keys too many to be sent, which then are salted."""
+    monkeypatch.setattr(orphans, "FAILING_SENT", sent)
+    c = check(spark, REFS, TARGETS, heavy_share=0.1, heavy_floor=5)
+    assert sorted(c.heavy) == [(0, 12), (0, 98)]
+    assert sorted((tuple(r)[2:] for r in c.references().collect()), key=str) == WANT
 
 
 def test_empty(spark):
@@ -47,6 +55,7 @@ def test_empty(spark):
 
 
 def test_report(spark):
-    rows, t = frames(spark, REFS, TARGETS)
-    report = {tuple(r) for r in orphan_report(orphan_references(Reference("rows", "parent", rows, t))).collect()}
-    assert ("rows", "parent", "2024-03", "missing", 30) in report
+    """The counts are those of the rows, for keys that fail throughout a month and in part of it."""
+    report = {tuple(r)[2:]: r.n_refs for r in check(spark, REFS, TARGETS).counts().select("ref_table", "ref_field", "ref_month", "ref_kind", "n_refs").collect()}
+    want = Counter((m, k) for _, m, k in WANT)
+    assert {(m, k): n for (m, k, n), _ in report.items()} == want
