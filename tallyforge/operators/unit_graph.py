@@ -133,6 +133,34 @@ def conversion_table(
     return spark.createDataFrame(rows, "spelling string, base_unit string, factor decimal(17,13), shift decimal(17,13)")
 
 
+def between(spark: SparkSession, graph: ConversionGraph, canonical: list[str], names: dict[str, str]) -> DataFrame:
+    """(unit, target, factor, shift): from every spelling to every unit of its dimension, by way of the canonical one."""
+    found = graph.to_canonical(canonical)
+    rows = []
+    for unit, (base, f) in found.items():
+        for target, (other, g) in found.items():
+            if base == other:
+                whole = f.then(g.inverse())
+                rows += [(s, target, float(whole.scale), float(whole.offset)) for s in spelling_list(names.get(unit, unit))]
+    return spark.createDataFrame(rows, "unit string, target string, factor double, shift double")
+
+
+def converted(
+    rows: DataFrame, value: str, unit: str, target: str, graph: ConversionGraph | None = None, canonical: list[str] = CANONICAL, names: dict[str, str] = SPELLINGS
+) -> DataFrame:
+    """``rows`` with ``converted``: the column ``value`` in units of the column ``target`` instead of ``unit``.
+
+    Units may be spelled in any listed way and case; ``target`` holds names of the graph. Null where a
+    unit is unknown, of another dimension than its target, or anything is null; no row is lost.
+    The table of conversions has a row a spelling and target and is sent to the rows, so they are not shuffled.
+    """
+    pairs = between(rows.sparkSession, graph or default_graph(), canonical, names)
+    spelled = F.trim(F.regexp_replace(F.lower(unit), r"\.", ""))
+    pairs = pairs.select(F.struct("unit", "target").alias("from_to"), "factor", "shift")
+    joined = rows.withColumn("from_to", F.struct(spelled.alias("unit"), F.lower(target).alias("target"))).join(F.broadcast(pairs), "from_to", "left")
+    return joined.withColumn("converted", F.col(value).cast("double") * F.col("factor") + F.col("shift")).drop("from_to", "factor", "shift")
+
+
 def plain(text: Column) -> Column:
     """Lower case, one form of fractions, multiplication signs, decimal commas, blanks and stops."""
     t = F.lower(text)
@@ -165,7 +193,7 @@ def number_of(text: Column) -> Column:
     return F.when(text.contains("/"), F.coalesce(whole, F.lit(0)) + part).otherwise(text.try_cast("decimal(15,8)")).cast("decimal(15,8)")
 
 
-def normalised_quantities(line_items: DataFrame) -> DataFrame:
+def normalised_quantities(line_items: DataFrame, graph: ConversionGraph | None = None, canonical: list[str] = CANONICAL) -> DataFrame:
     """Measured product lines in kilograms, litres or metres.
 
     Returns (line_item_id, base_unit, quantity, price): ``quantity`` in the base unit and
@@ -180,7 +208,7 @@ def normalised_quantities(line_items: DataFrame) -> DataFrame:
       out. Rows that come again come out again; an empty table gives no rows.
     """
     spark = line_items.sparkSession
-    table = conversion_table(spark)
+    table = conversion_table(spark, graph, canonical)
     kept = ["line_item_id", "amount", "price_per_unit", "total_price"]
     # inline() of one struct keeps the long expressions from being copied into each of their uses
     once = lambda **columns: F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))
@@ -206,14 +234,16 @@ def normalised_quantities(line_items: DataFrame) -> DataFrame:
     size = F.coalesce(number_of(F.col("found")[1]), F.lit(1).cast("decimal(15,8)"))
     times = F.coalesce(F.col("found")[0].try_cast("decimal(6,0)"), F.lit(1).cast("decimal(6,0)"))
     ounces = F.coalesce(F.col("found")[3].try_cast("decimal(15,8)"), F.lit(0).cast("decimal(15,8)"))
+    # one of what amount counts: of a size, itself in the base unit, else of the unit, whose shift counts once and not a unit
     content = (
         F.when(
             F.col("measured"),
-            ((size * F.col("factor")).cast("decimal(26,14)") + (ounces * ounce).cast("decimal(26,14)")) * times,
+            ((size * F.col("factor")).cast("decimal(26,14)") + F.col("shift") + (ounces * ounce).cast("decimal(26,14)")) * times,
         )
         .otherwise(F.col("factor"))
         .cast("decimal(22,14)")
     )
+    shift = F.when(F.col("measured"), F.lit(0).cast("decimal(17,13)")).otherwise(F.col("shift"))
     due = F.col("amount") * F.col("price_per_unit")
     off = lambda x: F.abs(x - F.col("total_price"))
     thousandth = F.coalesce(
@@ -222,12 +252,13 @@ def normalised_quantities(line_items: DataFrame) -> DataFrame:
     count = F.coalesce(F.col("amount"), F.when(F.col("measured"), F.lit(1).cast("decimal(10,3)")))
     return (
         joined.withColumn("content", content)
+        .withColumn("offset", shift)
         .withColumn("thousandth", thousandth)
         .select(
             "line_item_id",
             "base_unit",
             F.when(F.col("thousandth"), (F.col("amount") / 1000).cast("decimal(38,18)"))
-            .otherwise((count * F.col("content")).cast("decimal(38,18)"))
+            .otherwise((count * F.col("content") + F.col("offset")).cast("decimal(38,18)"))
             .alias("quantity"),
             F.when(F.col("thousandth"), F.col("price_per_unit").cast("decimal(38,12)"))
             .otherwise(F.try_divide(F.col("price_per_unit"), F.col("content")).cast("decimal(38,12)"))

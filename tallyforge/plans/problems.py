@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.bitmap_history import attribute_history, valid_at, with_values
 from tallyforge.operators.orphans import OrphanCheck
+from tallyforge.operators import unit_graph
 from tallyforge.operators.unit_graph import in_thousandths, normalised_quantities
 from tallyforge.storage import table
 
@@ -106,14 +107,74 @@ WHERE v.changed_at <= TIMESTAMP '2023-12-31 23:59:59' AND (v.ends IS NULL OR v.e
 """
 
 
+def p6_sql() -> str:
+    """The same with capture groups in place of look-around, and exact integers in place of divisions."""
+    found = unit_graph.default_graph().to_canonical(unit_graph.CANONICAL)
+    spellings = [(s, base, f.decimal()) for unit, (base, f) in found.items() for s in unit_graph.spelling_list(unit_graph.SPELLINGS.get(unit, unit))]
+    units = ", ".join(f"('{s}', '{base}', CAST({f} AS DECIMAL(17, 13)))" for s, base, f in spellings)
+    words = "|".join(sorted((s for s, _, _ in spellings if s != '"'), key=len, reverse=True))
+    ounces = r"(?: ?(\d+(?:\.\d+)?) ?(oz|ounces?)(?:[^\p{L}\d]|$))"
+    measure = rf"(?:^|[^\p{{L}}\d./-])(?:(\d+) ?x ?)?(\d+ \d+/\d+|\d+/\d+|\d+(?:\.\d+)?) ?(?:({words})(?:{ounces}|[^\p{{L}}\d/-]|$)|(\"){ounces}?)"
+    blank = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}]"
+    empty = rf"regexp_full_match(coalesce(unit, ''), '(?:{blank}|\x{{feff}})*')"
+    ounce = found["oz"][1].decimal()
+    return rf"""
+WITH units(spelling, base_unit, factor) AS (VALUES {units}),
+products AS (
+  SELECT id, amount, price_per_unit, total_price, lower(CASE WHEN {empty} THEN description ELSE unit END) AS t FROM line_items
+  WHERE item_type = 'product' AND (NOT {empty} OR regexp_matches(description, '[0-9½¼¾]'))),
+dots AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(t, '½', ' 1/2'), '¼', ' 1/4'), '¾', ' 3/4'), '[×*]', 'x', 'g'),
+    '(\d),(\d)', '\1.\2', 'g'), '(\d)\.(\d)', '\1' || chr(1) || '\2', 'g'), '(\d)\.(\d)', '\1' || chr(1) || '\2', 'g') AS d FROM products),
+texts AS (SELECT id, amount, price_per_unit, total_price, trim(regexp_replace(replace(replace(d, '.', ' '), chr(1), '.'), '{blank}+', ' ', 'g')) AS text FROM dots),
+found AS (
+  SELECT *, regexp_matches(text, '\d') AS measured, regexp_extract(text, '{measure}', ['times', 'size', 'word', 'oz', 'ozword', 'inch', 'oz2', 'ozword2']) AS f FROM texts),
+read AS (
+  SELECT *, CASE WHEN measured THEN f.word || f.inch ELSE text END AS spelling,
+    CASE WHEN contains(f.size, '/') THEN coalesce(TRY_CAST(regexp_extract(f.size, '^(\d+) \d+/', 1) AS DECIMAL(15, 8)), 0)
+      + CAST(TRY_CAST(regexp_extract(f.size, '(\d+)/\d+$', 1) AS DOUBLE) / nullif(TRY_CAST(regexp_extract(f.size, '/(\d+)$', 1) AS DOUBLE), 0) AS DECIMAL(15, 8))
+      ELSE TRY_CAST(f.size AS DECIMAL(15, 8)) END AS size FROM found),
+sized AS (
+  SELECT r.*, u.base_unit, CASE WHEN measured THEN CAST((CAST(coalesce(CAST(size AS DECIMAL(15, 8)), 1) * factor AS DECIMAL(26, 14))
+      + CAST(coalesce(TRY_CAST(nullif(f.oz || f.oz2, '') AS DECIMAL(15, 8)), 0) * CAST({ounce} AS DECIMAL(17, 13)) AS DECIMAL(26, 14)))
+      * coalesce(TRY_CAST(f.times AS DECIMAL(6, 0)), 1) AS DECIMAL(22, 14)) ELSE CAST(factor AS DECIMAL(22, 14)) END AS content,
+    coalesce(abs(amount * price_per_unit - total_price) > 0.01 AND abs(amount * price_per_unit - total_price * 1000) <= 10, false) AS thousandth
+  FROM read r JOIN units u ON u.spelling = r.spelling),
+done AS (
+  SELECT *, CASE WHEN thousandth THEN CAST(round(amount, 0) AS BIGINT)
+    ELSE CAST(round(coalesce(amount, CASE WHEN measured THEN CAST(1 AS DECIMAL(10, 3)) END) * content * 1000, 0) AS BIGINT) END AS quantity_milli,
+    CAST(price_per_unit * 10000 AS HUGEINT) AS p, CAST(content * 100000000000000 AS HUGEINT) AS c FROM sized)
+SELECT id AS line_item_id, base_unit, quantity_milli, CAST(coalesce(CASE WHEN thousandth THEN (p + 50) // 100
+  ELSE (2 * p * 1000000000000 + c) // (2 * nullif(c, 0)) END, -1) AS BIGINT) AS price_cents FROM done WHERE quantity_milli IS NOT NULL
+"""
+
+
+def p6_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each priced line would be in pounds, by its own spelling of a unit of mass."""
+    lines = table(spark, sf_dir, "line_items").where("unit IS NOT NULL").select("id", "unit", "amount").withColumn("target", F.lit("lb"))
+    found = unit_graph.converted(lines, "amount", F.col("unit"), F.col("target"))
+    return found.where("converted IS NOT NULL").select("id", F.round("converted", 6).alias("pounds"))
+
+
+def p6_conversions_sql() -> str:
+    """From every spelling of a unit of mass to pounds, by grams."""
+    found = unit_graph.default_graph().to_canonical(unit_graph.CANONICAL)
+    kilos = [(s, f.scale) for unit, (base, f) in found.items() if base == "kg" for s in unit_graph.spelling_list(unit_graph.SPELLINGS.get(unit, unit))]
+    rows = ", ".join(f"('{s}', CAST({float(k)!r} AS DOUBLE))" for s, k in kilos)
+    return f"""WITH m(unit, kilos) AS (VALUES {rows})
+SELECT l.id, round(CAST(l.amount AS DOUBLE) * m.kilos / 0.45359237, 6) AS pounds FROM line_items l JOIN m ON m.unit = trim(replace(lower(l.unit), '.', '')) WHERE l.amount IS NOT NULL"""
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_as_of": p3_as_of, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found}
+    return {"p3_found": p3_found, "p3_as_of": p3_as_of, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_conversions": p6_conversions}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": P3_SQL,
         "p3_as_of": P3_AS_OF_SQL,
+        "p6_found": p6_sql(),
+        "p6_conversions": p6_conversions_sql(),
         "p5_found": P5_SQL + "SELECT * FROM found WHERE ref_kind IS NOT NULL",
         "p5_report": P5_SQL
         + """SELECT ref_table, ref_field, ref_month, ref_kind, count(*) AS n_refs FROM found

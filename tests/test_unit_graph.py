@@ -3,9 +3,10 @@ from decimal import ROUND_HALF_UP, Decimal
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.operators.unit_graph import (
-    CANONICAL, SPELLINGS, ConversionGraph, default_graph, in_thousandths, normalised_quantities, spelling_list,
+    CANONICAL, SPELLINGS, ConversionGraph, converted, default_graph, in_thousandths, normalised_quantities, spelling_list,
 )
 
 SCHEMA = "id long, item_type string, description string, amount decimal(10,3), unit string, price_per_unit decimal(13,4), total_price decimal(13,4), base_unit string"
@@ -129,3 +130,18 @@ def test_graph():
         g.to_canonical(["K"])
     with pytest.raises(ValueError):
         g.add("a", "b", "0")
+
+
+def test_affine_units(spark):
+    """Units with an offset are converted both ways, unknown ones and other dimensions give null, no row is lost."""
+    graph = ConversionGraph()
+    graph.add("c", "k", "1", "273.15")
+    graph.add("f", "c", Fraction(5, 9), Fraction(-160, 9))
+    graph.add("kg", "g", "1000")
+    rows = [(1, 212.0, "F", "c"), (2, 0.0, "c", "f"), (3, 0.0, "k", "c"), (4, 2.0, "kg.", "g"), (5, 2.0, "kg", "c"), (6, 1.0, "stone", "g"), (7, None, "c", "k"), (8, 1.0, None, "k"), (1, 212.0, "F", "c")]
+    df = spark.createDataFrame(rows, "id long, factor double, unit string, target string").withColumnRenamed("factor", "value")
+    got = {r.id: r.converted for r in converted(df, "value", F.col("unit"), F.col("target"), graph, ["k", "kg"], {}).collect()}
+    assert {k: None if v is None else round(v, 6) for k, v in got.items()} == {1: 100.0, 2: 32.0, 3: -273.15, 4: 2000.0, 5: None, 6: None, 7: None, 8: None}
+    lines = [(1, "product", None, Decimal("20.000"), "c", None, None, "")]
+    out = normalised_quantities(spark.createDataFrame(lines, SCHEMA), graph, ["k"]).collect()
+    assert [(r.base_unit, float(r.quantity)) for r in out] == [("k", 293.15)]
