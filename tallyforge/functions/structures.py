@@ -57,3 +57,16 @@ def not_in_future(day: Column, now: Column) -> Column:
     late = lambda d: d > F.date_add(now, 1)
     swapped = F.regexp_replace(day.cast("string"), r"^(\d{4})-(\d\d)-(\d\d)$", "$1-$3-$2").try_cast("date")
     return F.when(late(day) & swapped.isNotNull() & ~late(swapped), swapped).otherwise(day)
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is JSON; null for null."""
+    return F.when(text.isNotNull(), F.try_parse_json(text).isNotNull())
+
+
+def processing_metadata(text: Column, layout: Column, region: Column, again: Column) -> Column:
+    """What is recorded of a reading: whether a text was there, its length, layout and region with defaults, and one retry where ``again``."""
+    return F.struct(
+        text.isNotNull().alias("ocr_used"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_ocr"), F.coalesce(layout, F.lit("simple")).alias("layout"),
+        F.coalesce(region, F.lit("eu")).alias("region"), F.when(again, 1).alias("retry_count"),
+    )

@@ -10,14 +10,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.numbers import area, coverage, intersection_over_union
+from tallyforge.functions.numbers import coverage, intersection_over_union
 
 # fixed values: smallest area in thousandths squared; covered share and number of boxes that make a
 # container; covered share and relative size that make a part of another box
 MIN_AREA, CONTAINS, CONTAINED, INSIDE, SMALLER = 10_000, 0.60, 2, 0.80, 0.70
+# fixed value: largest share of the image that a detected box may hold
+LARGEST = 0.70
 
 
 def box_pairs(boxes: DataFrame) -> DataFrame:
@@ -33,25 +35,49 @@ def box_pairs(boxes: DataFrame) -> DataFrame:
     )
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """Area that two boxes, as structs, share."""
+    side = lambda at, size: F.greatest(F.lit(0.0), F.least(a[at] + a[size], b[at] + b[size]) - F.greatest(a[at], b[at]))
+    return side("x", "width") * side("y", "height")
+
+
+def _covered(inner: Column, outer: Column, share: float) -> Column:
+    area = inner["width"] * inner["height"]
+    return (area > 0) & (_shared(inner, outer) >= share * area)
+
+
 def plausible_boxes(boxes: DataFrame) -> DataFrame:
     """Boxes left after dropping tiny ones, containers of two or more, and parts of a larger box.
 
-    An image with a single box keeps it; so does one that a step leaves a single box.
+    An image with a single box keeps it; so does one that a step leaves a single box. The boxes of an
+    image, which a detector returns few of, are compared in one row.
+    """
+    rest = [c for c in boxes.columns if c != "image_id"]
+    listed = boxes.groupBy("image_id").agg(F.collect_list(F.struct(*rest)).alias("b"))
+    area = lambda x: x["width"] * x["height"]
+    other = lambda x, y: x["box_no"] != y["box_no"]
+    large = listed.select("image_id", F.when(F.size("b") == 1, F.col("b")).otherwise(F.filter("b", lambda x: area(x) >= MIN_AREA)).alias("b"))
+    holds = lambda x: F.size(F.filter(F.col("b"), lambda y: other(x, y) & _covered(y, x, CONTAINS))) >= CONTAINED
+    single = large.select("image_id", F.filter("b", lambda x: ~holds(x)).alias("b"))
+    part = lambda x: F.exists(F.col("b"), lambda y: other(x, y) & _covered(x, y, INSIDE) & (area(x) < area(y) * SMALLER))
+    return single.select("image_id", F.inline(F.filter("b", lambda x: ~part(x)))).select(*boxes.columns)
+
+
+def from_corners(corners: DataFrame, image_width: int, image_height: int, largest: float = LARGEST) -> DataFrame:
+    """Boxes in thousandths of the image, as whole numbers, from corners in pixels (image_id, box_no, confidence, x1, y1, x2, y2).
+
+    Corners are held within the image; boxes under a pixel wide or high fall away, as do those with
+    more than ``largest`` of the image.
     """
-    counted = lambda df: df.join(df.groupBy("image_id").agg(F.count("*").alias("n")), "image_id")
-    step = counted(boxes)
-    step = counted(step.where((F.col("n") == 1) | (F.col("width") * F.col("height") >= MIN_AREA)).drop("n"))
-
-    a, b = step.alias("a"), step.alias("b")
-    other = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.box_no") != F.col("b.box_no"))
-    containers = (
-        a.join(b, other & (coverage("b", "a") >= CONTAINS)).groupBy(F.col("a.image_id").alias("image_id"), F.col("a.box_no").alias("box_no"))
-        .agg(F.count("*").alias("inside")).where(F.col("inside") >= CONTAINED)
+    hold = lambda c, edge: F.least(F.lit(float(edge)), F.greatest(F.lit(0.0), F.col(c)))
+    held = corners.select("image_id", "box_no", "confidence", *(hold(c, image_width).alias(c) for c in ("x1", "x2")), *(hold(c, image_height).alias(c) for c in ("y1", "y2")))
+    width, height = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    kept = held.where((width >= 1) & (height >= 1) & (width * height / float(image_width * image_height) <= largest))
+    whole = lambda v, edge: F.rint(v / edge * 1000).cast("int")
+    return kept.select(
+        "image_id", "box_no", "confidence", whole(F.col("x1"), image_width).alias("x"), whole(F.col("y1"), image_height).alias("y"),
+        whole(width, image_width).alias("width"), whole(height, image_height).alias("height"), F.lit(0.0).alias("rotation"),
     )
-    step = step.drop("n").join(containers, ["image_id", "box_no"], "left_anti")
-    a, b = step.alias("a"), step.alias("b")
-    part = other & (coverage("a", "b") >= INSIDE) & (area("a") < area("b") * SMALLER)
-    return step.alias("a").join(b, part, "left_anti")
 
 
 def majority_orientation(boxes: DataFrame) -> DataFrame:

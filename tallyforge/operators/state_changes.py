@@ -87,3 +87,8 @@ def with_edits(rows: DataFrame, edits: DataFrame, key: str, columns: dict[str, s
         edited = F.coalesce(F.array_contains(F.map_keys("now"), field), F.lit(False))
         joined = joined.withColumn(column, F.when(edited, text).otherwise(F.col(column)))
     return joined.drop("entity_id", "now")
+
+
+def patched_settings(stored: Column, patch: Column, defaults: dict[str, object]) -> list[Column]:
+    """Each field of a settings struct after a patch: the patch's value, else the stored one, else the default."""
+    return [F.coalesce(patch[name], stored[name], F.lit(value)).alias(name) for name, value in defaults.items()]

@@ -63,13 +63,22 @@ def upload_statistics(uploads: DataFrame, receipts: DataFrame, empty_counts_one:
     )
 
 
-def page(statistics: DataFrame, limit: int = 50, offset: int = 0, sort_by: str = "createdAt", descending: bool = True) -> DataFrame:
+# fixed values: states by which a page can be narrowed
+STATUSES = ("processing", "completed", "partly_completed", "failed", "duplicate")
+
+
+def page(
+    statistics: DataFrame, limit: int | None = 50, offset: int = 0, sort_by: str = "createdAt", descending: bool = True, status: str | None = None
+) -> DataFrame:
     """The same page of every user's uploads, with the user's ``total`` and ``has_more``.
 
+    With a known ``status`` only uploads of that state are shown and counted; an unknown one is passed over.
+
     ``limit`` is held within 1..100, ``offset`` at 0 or more, an unknown column sorts by created_at;
     ties go by upload_id.
     """
     limit, offset = min(max(limit or 50, 1), 100), max(offset, 0)
+    statistics = statistics.where(F.col("status") == status) if status in STATUSES else statistics
     by = F.col(SORTABLE.get(sort_by, "created_at"))
     order = [by.desc() if descending else by.asc(), F.col("upload_id")]
     mine = Window.partitionBy("user_id")
@@ -194,3 +203,9 @@ def lines_with_parents(line_items: DataFrame) -> DataFrame:
 def staggered(rows: DataFrame, group: str, order: str, delay_seconds: int) -> DataFrame:
     """``rows`` with ``delay``: the first of each group at once, each later one ``delay_seconds`` after the one before."""
     return numbered(rows, group, order).withColumn("delay", (F.col("number") - 1) * delay_seconds).drop("number")
+
+
+def not_listed(rows: DataFrame, value: str, known: DataFrame) -> DataFrame:
+    """(value, n_rows) of values that the first column of ``known`` has not; nulls are no values."""
+    used = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n_rows"))
+    return used.join(known, F.col(value) == F.col(known.columns[0]), "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import numbers, ocr, text
@@ -118,12 +118,13 @@ def majority_category(spark: SparkSession, d: str) -> DataFrame:
     return upload_stats.majority_category(table(spark, d, "line_items"))
 
 
-@query("""SELECT category, count(*) AS n_rows FROM (SELECT category FROM receipts UNION ALL SELECT category FROM line_items)
-  WHERE category IS NOT NULL AND category NOT IN (SELECT category_id FROM spend_categories) GROUP BY 1""")
+@query("""SELECT value, count(*) AS n_rows FROM (SELECT category AS value FROM receipts UNION ALL SELECT category FROM line_items UNION ALL SELECT unnest(keywords) FROM receipts)
+  WHERE value IS NOT NULL AND value NOT IN (SELECT category_id FROM spend_categories) GROUP BY 1""")
 def category_conformance(spark: SparkSession, d: str) -> DataFrame:
+    """Categories and keywords that are no category of the list; all categories in the data are, keywords are not."""
     r, li, c = _t(spark, d, "receipts", "line_items", "spend_categories")
-    used = r.select("category").unionAll(li.select("category")).where("category IS NOT NULL").groupBy("category").agg(F.count("*").alias("n_rows"))
-    return used.join(c, used.category == c.category_id, "left_anti")
+    used = r.select(F.col("category").alias("value")).unionAll(li.select("category")).unionAll(r.select(F.explode("keywords")))
+    return upload_stats.not_listed(used, "value", c.select("category_id"))
 
 
 @query("""SELECT group_no, string_agg(category_id || ': ' || category_name, chr(10) ORDER BY category_id) AS listing FROM spend_categories GROUP BY 1""")
@@ -380,17 +381,22 @@ boxes AS (
 OVERLAP = "greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y))"
 
 
-def _boxes(spark: SparkSession, d: str) -> DataFrame:
+def made_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes made of order lines; no table has any."""
-    table(spark, d, "lineitem").createOrReplaceTempView("tallyforge_lineitem")
-    return spark.sql(f"WITH {BOXES.replace('FROM lineitem', 'FROM tallyforge_lineitem')} SELECT * FROM boxes")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    at = lambda c, times, step: ((F.col(c) * times + F.col("l_linenumber") * step) % 700).cast("double")
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("image_id"), F.row_number().over(order).alias("box_no"), at("l_partkey", 31, 170).alias("x"), at("l_suppkey", 37, 90).alias("y"),
+        (60 + F.col("l_quantity") * 7).cast("double").alias("width"), (50 + F.col("l_partkey") % 50 * 8).cast("double").alias("height"),
+        F.col("l_linenumber").cast("double").alias("rotation"), F.col("l_discount").alias("confidence"),
+    )
 
 
 @query(f"""WITH {BOXES}, p AS (SELECT a.image_id, a.box_no AS box_a, b.box_no AS box_b, {OVERLAP} AS o, a.width * a.height AS aa, b.width * b.height AS bb
     FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_no < b.box_no)
   SELECT image_id, box_a, box_b, round(o / (aa + bb - o), 9) AS iou, round(o / aa, 9) AS cover_ab, round(o / bb, 9) AS cover_ba FROM p WHERE o > 0""")
 def box_pairs_iou(spark: SparkSession, d: str) -> DataFrame:
-    p = boxes.box_pairs(_boxes(spark, d))
+    p = boxes.box_pairs(made_boxes(spark, d))
     return p.select("image_id", "box_a", "box_b", *(F.round(c, 9).alias(c) for c in ("iou", "cover_ab", "cover_ba")))
 
 
@@ -400,31 +406,40 @@ def box_pairs_iou(spark: SparkSession, d: str) -> DataFrame:
   SELECT image_id, box_no FROM s2 a WHERE NOT EXISTS (SELECT 1 FROM s2 b WHERE a.image_id = b.image_id AND a.box_no <> b.box_no AND {OVERLAP} / (a.width * a.height) >= 0.8
     AND a.width * a.height < b.width * b.height * 0.7)""")
 def box_filter(spark: SparkSession, d: str) -> DataFrame:
-    return boxes.plausible_boxes(_boxes(spark, d)).select("image_id", "box_no")
+    return boxes.plausible_boxes(made_boxes(spark, d)).select("image_id", "box_no")
 
 
 @query(f"""WITH {BOXES}, c AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (width >= height) OVER w AS wide FROM boxes WINDOW w AS (PARTITION BY image_id))
   SELECT image_id, box_no, CAST(row_number() OVER (PARTITION BY image_id ORDER BY y, x, box_no) AS INTEGER) AS place FROM c
   WHERE n < 3 OR CASE WHEN wide >= 2 * (n - wide) THEN width >= height WHEN n - wide >= 2 * wide THEN width < height ELSE true END""")
 def box_orientation(spark: SparkSession, d: str) -> DataFrame:
-    return boxes.majority_orientation(_boxes(spark, d)).select("image_id", "box_no", "place")
+    return boxes.majority_orientation(made_boxes(spark, d)).select("image_id", "box_no", "place")
 
 
 @query(f"""WITH {BOXES}, e AS (SELECT image_id, box_no, greatest(0, floor((x - width * 0.05) / 1000 * 1600)) AS l, greatest(0, floor((y - height * 0.05) / 1000 * 1200)) AS t,
     least(1600, ceil((x + width * 1.05) / 1000 * 1600)) AS r, least(1200, ceil((y + height * 1.05) / 1000 * 1200)) AS b FROM boxes)
   SELECT image_id, box_no, CAST(l AS DOUBLE) AS left, CAST(t AS DOUBLE) AS top, CAST(r - l AS DOUBLE) AS crop_width, CAST(b - t AS DOUBLE) AS crop_height FROM e WHERE r > l AND b > t""")
 def box_pixels(spark: SparkSession, d: str) -> DataFrame:
-    return boxes.pixel_crops(_boxes(spark, d), 1600, 1200)
-
-
-@query()
+    return boxes.pixel_crops(made_boxes(spark, d), 1600, 1200)
+
+
+@query(f"""WITH RECURSIVE {BOXES}, o AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, box_no) AS p, count(*) OVER (PARTITION BY image_id) AS n,
+    {{'box_no': box_no, 'x': x, 'y': y, 'width': width, 'height': height, 'confidence': confidence}} AS b FROM boxes),
+  f(image_id, p, n, kept) AS (SELECT image_id, p, n, [b] FROM o WHERE p = 1
+    UNION ALL SELECT f.image_id, f.p + 1, f.n, CASE WHEN len(list_filter(f.kept, lambda k: NOT (
+        greatest(0, least(o.b.x + o.b.width, k.x + k.width) - greatest(o.b.x, k.x)) * greatest(0, least(o.b.y + o.b.height, k.y + k.height) - greatest(o.b.y, k.y))
+        <= 0.5 * (o.b.width * o.b.height + k.width * k.height
+        - greatest(0, least(o.b.x + o.b.width, k.x + k.width) - greatest(o.b.x, k.x)) * greatest(0, least(o.b.y + o.b.height, k.y + k.height) - greatest(o.b.y, k.y)))))) = 0
+      THEN list_append(f.kept, o.b) ELSE f.kept END FROM f JOIN o ON o.image_id = f.image_id AND o.p = f.p + 1),
+  k AS (SELECT image_id, unnest(kept) AS b FROM f WHERE p = n)
+  SELECT image_id, b.box_no AS box_no, b.x AS x, b.y AS y, b.width AS width, b.height AS height, b.confidence AS confidence FROM k""")
 def box_nms(spark: SparkSession, d: str) -> DataFrame:
-    return boxes.suppressed(_boxes(spark, d))
+    return boxes.suppressed(made_boxes(spark, d))
 
 
 @query()
 def box_merge(spark: SparkSession, d: str) -> DataFrame:
-    return boxes.merged(_boxes(spark, d))
+    return boxes.merged(made_boxes(spark, d))
 
 
 # --- edits ----------------------------------------------------------------------------------------
@@ -580,11 +595,6 @@ def job_idempotency(spark: SparkSession, d: str) -> DataFrame:
     return jobs.first_of_each(e, "job_id", "ts").select("event_id", "job_id")
 
 
-@query()
-def rate_limiter_fixed_window(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.limited_batch(table(spark, d, "events"), "event_type", 1000, "24h")
-
-
 def queries() -> dict:
     return dict(QUERIES)
 

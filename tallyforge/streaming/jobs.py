@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def first_of_each(jobs: DataFrame, job_id: str, time: str, late: str | None = None) -> DataFrame:
-    """Jobs whose id was not met before. In a stream ``late`` bounds how long ids are remembered; in a
-    batch the earliest row of an id stays, of equals that with the smallest event_id."""
+    """Jobs whose id was not met before. In a stream ids are remembered for good, or with ``late`` for that long;
+    in a batch the earliest row of an id stays, of equals that with the smallest event_id."""
     if jobs.isStreaming:
-        return jobs.withWatermark(time, late or "1 hour").dropDuplicatesWithinWatermark([job_id])
+        return jobs.withWatermark(time, late).dropDuplicatesWithinWatermark([job_id]) if late else jobs.dropDuplicates([job_id])
     rest = [c for c in jobs.columns if c != job_id]
     best = jobs.groupBy(job_id).agg(F.min_by(F.struct(*rest), F.struct(time, "event_id")).alias("first"))
     return best.select(job_id, "first.*").select(*jobs.columns)
@@ -86,3 +86,24 @@ def reset_times(errors: DataFrame, kind: str = "RATE_LIMITED") -> DataFrame:
         F.expr("try_cast(get_json_object(metadata, '$.resetTime') AS timestamp)").alias("at"),
     )
     return read.where((F.col("type") == kind) & F.col("at").isNotNull()).groupBy("upload_id").agg(F.max("at").alias("reset_at"), F.count("*").alias("n"))
+
+
+def limiter_status(admitted: DataFrame, most: int, length: str, now: Column) -> DataFrame:
+    """(key, remaining, reset_at, available) of each key at ``now``, from what the limiter has let through.
+
+    A window that has ended is open anew: all is left, and it would end ``length`` from ``now``.
+    """
+    seconds = int(pd.Timedelta(length).total_seconds())
+    last = admitted.groupBy("key").agg(F.max_by(F.struct("window_start", "used"), F.struct("ts", "event_id")).alias("w"))
+    after = lambda c: c + F.expr(f"INTERVAL {seconds} SECONDS")
+    over = after(F.col("w.window_start")) <= now
+    remaining = F.when(over, F.lit(most)).otherwise(F.greatest(F.lit(0), most - F.col("w.used")))
+    return last.select("key", remaining.alias("remaining"), F.when(over, after(now)).otherwise(after(F.col("w.window_start"))).alias("reset_at"), (remaining > 0).alias("available"))
+
+
+def cause_depth(error: Column, kind: str = "RATE_LIMITED", most: int = 5) -> Column:
+    """How many causes down a JSON error names this kind, 0 for itself, within ``most`` levels; else null."""
+    out = F.lit(None).cast("int")
+    for depth in reversed(range(most)):
+        out = F.when(F.get_json_object(error, "$" + ".cause" * depth + ".errorType") == kind, depth).otherwise(out)
+    return out

@@ -15,9 +15,12 @@ def test_same_as_sql(spark, name):
     assert compare(spark, SMALL, name, QUERIES[name], SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in SQL and not n[1].isdigit()))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in SQL))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).columns
+    """Queries without SQL run to their end on the smallest tables and give rows."""
+    df = QUERIES[name](spark, SMALL)
+    df.write.format("noop").mode("overwrite").save()
+    assert df.count() > 0
 
 
 def test_entry(spark):
