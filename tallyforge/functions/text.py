@@ -11,13 +11,17 @@ def plain_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 
 
-def similarity_percent(a: Column, b: Column) -> Column:
-    """100 less the share of edits between two plain names; 0 where one is null or empty, 100 where both become equal."""
-    x, y = plain_name(a), plain_name(b)
+def plain_similarity(x: Column, y: Column) -> Column:
+    """100 less the share of edits between two plain names; 0 where one is null, 100 where both are equal."""
     longest = F.greatest(F.length(x), F.length(y))
     share = (longest - F.levenshtein(x, y)) / F.greatest(longest, F.lit(1)) * 100
-    empty = (F.coalesce(F.length(a), F.lit(0)) == 0) | (F.coalesce(F.length(b), F.lit(0)) == 0)
-    return F.when(empty, 0.0).when(x == y, 100.0).otherwise(share)
+    return F.when(x.isNull() | y.isNull(), 0.0).when(x == y, 100.0).otherwise(share)
+
+
+def similarity_percent(a: Column, b: Column) -> Column:
+    """The same of two names as typed; 0 where one is null or empty."""
+    named = lambda c: F.when(F.length(c) > 0, plain_name(c))
+    return plain_similarity(named(a), named(b))
 
 
 def csv_quoted(value: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.numbers import bits_apart, day_difference, hash_bits, minutes_apart, tier
-from tallyforge.functions.text import similarity_percent
+from tallyforge.functions.text import plain_name, plain_similarity
 
 DAYS = 3
 # fixed values: points of each factor by its bounds, and the classes of the sum
@@ -22,9 +22,10 @@ CLASSES = [(95, "DEFINITE_DUPLICATE"), (85, "LIKELY_DUPLICATE"), (70, "POSSIBLE_
 
 
 def owned_receipts(receipts: DataFrame, uploads: DataFrame, line_items: DataFrame) -> DataFrame:
-    """Receipts with their user and number of lines (deleted lines count)."""
+    """Receipts with their user, plain name (null for none) and number of lines (deleted lines count)."""
     items = line_items.where("receipt_id IS NOT NULL").groupBy("receipt_id").agg(F.count("*").alias("n_items"))
-    r = receipts.select(F.col("id"), "upload_id", "store_name", "total_amount", "tax_amount", "transaction_date", "status")
+    name = F.when(F.length("store_name") > 0, plain_name(F.col("store_name"))).alias("name")  # once a receipt, not once a pair
+    r = receipts.select(F.col("id"), "upload_id", name, "total_amount", "tax_amount", "transaction_date", "status")
     r = r.join(uploads.select(F.col("id").alias("upload_id"), "user_id"), "upload_id")
     return r.join(items, r.id == items.receipt_id, "left").withColumn("n_items", F.coalesce("n_items", F.lit(0))).drop("receipt_id")
 
@@ -44,7 +45,7 @@ def candidate_pairs(owned: DataFrame) -> DataFrame:
         (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.look") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id"))
         & F.col("b.transaction_date").between(F.col("a.transaction_date") - F.expr(f"INTERVAL {DAYS} DAYS"), F.col("a.transaction_date") + F.expr(f"INTERVAL {DAYS} DAYS"))
     )
-    columns = ["id", "user_id", "store_name", "total_amount", "tax_amount", "transaction_date", "n_items"]
+    columns = ["id", "user_id", "name", "total_amount", "tax_amount", "transaction_date", "n_items"]
     both = [F.col(f"a.{c}").alias(c) for c in columns] + [F.col(f"b.{c}").alias(f"other_{c}") for c in columns]
     undated = owned.where("transaction_date IS NULL").alias("a")
     all_known = owned.where("status = 'processed'").alias("b")
@@ -58,10 +59,14 @@ def scored_pairs(pairs: DataFrame) -> DataFrame:
     A null amount or date gives no points but a difference of 0, so it does not stand against
     an outright match; a null date counts as one with a time of day.
     """
-    similarity = similarity_percent(F.col("store_name"), F.col("other_store_name"))
+    # inline() of one struct works each of these out once, however often the points below use them
     apart = lambda c: F.round(F.abs(F.col(c).cast("double") - F.col(f"other_{c}").cast("double")), 6)
-    days = day_difference(F.col("transaction_date"), F.col("other_transaction_date"))
-    minutes = minutes_apart(F.col("transaction_date"), F.col("other_transaction_date"))
+    measures = F.struct(
+        plain_similarity(F.col("name"), F.col("other_name")).alias("similarity"), apart("total_amount").alias("amount_apart"), apart("tax_amount").alias("tax_apart"),
+        day_difference(F.col("transaction_date"), F.col("other_transaction_date")).alias("days"), minutes_apart(F.col("transaction_date"), F.col("other_transaction_date")).alias("minutes"),
+    )
+    pairs = pairs.select("id", "other_id", "user_id", "transaction_date", "other_transaction_date", "n_items", "other_n_items", F.inline(F.array(measures)))
+    similarity, days, minutes = F.col("similarity"), F.col("days"), F.col("minutes")
     timed = lambda c: (F.hour(c) != 0) | (F.minute(c) != 0)
     both_timed = timed("transaction_date") & timed("other_transaction_date")
     date_points = (
@@ -71,9 +76,9 @@ def scored_pairs(pairs: DataFrame) -> DataFrame:
     items = F.abs(F.col("n_items") - F.col("other_n_items"))
     s = pairs.select(
         "id", F.col("other_id").alias("candidate_id"), "user_id",
-        F.round(similarity, 6).alias("similarity"), apart("total_amount").alias("amount_apart"), days.alias("days"),
-        tier(similarity, STORE, falling=False).alias("store_points"), tier(apart("total_amount"), AMOUNT).alias("amount_points"),
-        date_points.alias("date_points"), tier(items, ITEMS).alias("item_points"), tier(apart("tax_amount"), TAX).alias("tax_points"),
+        F.round(similarity, 6).alias("similarity"), "amount_apart", "days",
+        tier(similarity, STORE, falling=False).alias("store_points"), tier(F.col("amount_apart"), AMOUNT).alias("amount_points"),
+        date_points.alias("date_points"), tier(items, ITEMS).alias("item_points"), tier(F.col("tax_apart"), TAX).alias("tax_points"),
         (F.coalesce(timed("transaction_date"), F.lit(True)) & F.coalesce(timed("other_transaction_date"), F.lit(True))).alias("both_timed"),
         F.coalesce((days == 0) & both_timed & (minutes <= 5), F.lit(False)).alias("same_time"), items.alias("items_apart"),
     )
