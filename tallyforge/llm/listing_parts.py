@@ -64,7 +64,8 @@ _WORDS_OF_KINDS = {w for words in _KIND_WORDS for w in words}
 _COLOUR = {w: colour for colour, words in COLOURS.items() for w in words.split()}
 _AD = re.compile(r"\*?(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in sorted(ADVERTISING, key=len, reverse=True)) + r")(?![a-z0-9])[!*]*|-?\d+ ?%")
 _NUMBER = r"\d+(?:\.\d+)?"
-_SIZE = re.compile(rf"(?<![a-z0-9./-])({_NUMBER}) ?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![a-z0-9])")
+#: Two letters before three digits are a model, although they may spell a unit.
+_SIZE = re.compile(rf"(?<![a-z0-9./-])({_NUMBER}) ?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![a-z0-9])(?!(?<=[0-9 ][a-z]{{2}})[-/ ]\d{{3}}(?![a-z0-9.]))")
 _PACKS = [
     re.compile(p)
     for p in (

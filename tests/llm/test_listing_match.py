@@ -39,6 +39,7 @@ def test_empty(spark):
 def test_attributes():
     assert attributes("TAPE, MASKING DOLMURVEV SPECIAL OFFER 100 CM ER 622 SCHWARZ 6ER PACK", "pc") == ("dolmurvev", "masking tape", "1 m", "black", "er622", 6)
     assert attributes("Droundeltal, wood varnish, grn", "1.25 L") == ("droundeltal", "wood varnish", "5/4 l", "green", "", 1)
+    assert attributes("ROT PACK OF 12 HL-865 GROULMORVOURD EXERCISE BOOK", "pc") == ("groulmorvourd", "notebook", "", "red", "hl865", 12)
 
 
 def test_weights_find_the_classes():
