@@ -21,6 +21,8 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -49,23 +51,50 @@ _TAG = re.compile(r"</?[a-zA-Z!][^>]*>")
 _LINK = re.compile(r"\[([^\]]*)\]\((?:[^()\s]*)\)")
 _NO_WORD = re.compile(r"[^\w\s]+|_+")
 _MARK_INSIDE = re.compile(r"[\W_]+")
-_ASCII = re.compile(r"[\x00-\x7f]*\Z")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+_TWO_NUMBERS = re.compile(r"\d\d")
+#: Categories of characters that are not seen by themselves.
+HIDDEN = ("Mn", "Cf", "Me", "Cc")
+_MARKS = bytes(c for c in range(128) if _NO_WORD.match(chr(c)))
+_OTHER_MARK = re.compile(r"[^\w\s\x00-\x7f]+|[‿⁀⁔︳︴﹍﹎﹏＿]+")
 
 
-def words(text: str | None) -> list[str]:
-    """The words between blanks in plain form: no case, punctuation, markup, accents or hidden characters."""
+@lru_cache(1)
+def _hidden() -> re.Pattern:
+    """Marks on letters and hidden characters of the basic plane beyond ASCII, which fall away."""
+    codes = [c for c in range(128, 0x10000) if unicodedata.category(chr(c)) in HIDDEN]
+    runs = [[c for _, c in run] for _, run in groupby(enumerate(codes), lambda x: x[1] - x[0])]
+    return re.compile("[" + "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in runs) + "]+")
+
+
+def plain(text: str | None) -> str:
+    """A text without case, punctuation, markup, accents and hidden characters; blanks stay."""
     if not text:
-        return []
+        return ""
     t = _HYPHEN_BREAK.sub("", text)
     if "<" in t or "&" in t:
         t = html.unescape(t)
         t = _TAG.sub(" ", _INLINE.sub("", t))
     if "](" in t:
         t = _LINK.sub(r"\1", t)
-    if not _ASCII.match(t):
+    if not t.isascii():
         t = unicodedata.normalize("NFKD", t.replace("—", " ").replace("…", " "))
-        t = "".join(c for c in t if c <= "\x7f" or unicodedata.category(c) not in ("Mn", "Cf", "Me", "Cc"))
-    return _NO_WORD.sub("", t.lower()).split()
+        t = _hidden().sub("", t)
+        if _BEYOND.search(t):  # a class with such characters would be searched one by one
+            t = "".join(c for c in t if c <= "\uffff" or unicodedata.category(c) not in HIDDEN)
+    t = t.lower().encode("utf-8", "surrogatepass").translate(None, _MARKS).decode("utf-8", "surrogatepass")
+    return t if t.isascii() else _OTHER_MARK.sub("", t)
+
+
+def words(text: str | None) -> list[str]:
+    """The words between blanks in plain form."""
+    return plain(text).split()
+
+
+def document_words(text: str | None, joined: frozenset[str]) -> list[str]:
+    """The words of a document, numbers that a blank has cut in one piece again."""
+    ws = plain(text).split()
+    return rejoined(ws, joined) if joined and _TWO_NUMBERS.search("".join([w[0] for w in ws])) else ws
 
 
 def _opening(text: str) -> str:
@@ -265,7 +294,7 @@ def _leaks_of(documents: DataFrame, items: DataFrame) -> DataFrame:
     def document_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "seeds": [np.unique(hashes.seeds(rejoined(words(t), joined))) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "seeds": [hashes.seeds(document_words(t, joined)) for t in b["text"]]})
 
     texts_of = documents.where("text IS NOT NULL").select("doc_id", "text")
     runs = texts_of.mapInPandas(document_seeds, "doc_id long, seeds array<long>").select("doc_id", F.explode("seeds").alias("seed"))
@@ -281,7 +310,7 @@ def _leaks_of(documents: DataFrame, items: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for doc, text, candidates in zip(b["doc_id"], b["text"], b["candidates"]):
-                ws = rejoined(words(text), joined)
+                ws = document_words(text, joined)
                 doc_seeds = hashes.seeds(ws)
                 for c in candidates:
                     item = c["plain"].split()
