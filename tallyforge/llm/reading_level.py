@@ -119,89 +119,90 @@ class Words:
         return self.scores[known].sum(0) if known else np.zeros(LEVELS)
 
 
-class Lexicon:
-    """Numbers and level scores of words by their spelling, worked out once for each spelling met."""
+class Lexicon(dict):
+    """Numbers and level scores of words by their spelling, worked out once for each spelling met.
+
+    As a mapping it gives the row of a spelling.
+    """
 
     #: Spellings kept between calls.
     MOST = 300_000
 
     def __init__(self, words: Words) -> None:
+        super().__init__()
         self.words = words
         self.by_length = np.array([words.scores_of([f"len{k}"]) for k in range(13)])
         self.by_long = np.array([words.scores_of([f"long{k}"]) for k in range(10)])
-        self._clear()
+        self._begin()
 
-    def _clear(self) -> None:
-        self.ids: dict[str, int] = {}
+    def _begin(self) -> None:
+        self.clear()
         self.low_ids: dict[str, int] = {}
         self.low: list[int] = []
         self.rows: list[tuple[float, ...]] = []
-        self.table = np.zeros((0, 6 + LEVELS))
+        self.table, self.lows = np.zeros((0, 6 + LEVELS)), np.zeros(0, dtype=np.int64)
 
-    def _add(self, w: str) -> int:
+    def __missing__(self, w: str) -> int:
         low, n = word_numbers(w)
         self.low.append(self.low_ids.setdefault(low, len(self.low_ids)))
         self.rows.append((*map(float, n), *self.words.scores_of(word_items(low, n))))
-        return self.ids.setdefault(w, len(self.ids))
+        row = self[w] = len(self)
+        return row
 
     def features(self, docs: list[list[list[str]]]) -> np.ndarray:
         """One row of features for each document (a list of sentences, none of them empty)."""
-        if len(self.ids) > self.MOST:
-            self._clear()
-        get, add, low = self.ids.get, self._add, self.low
-        ids: list[int] = []
-        starts: list[int] = []
-        shared: list[int] = []
-        distinct: list[int] = []
-        for doc in docs:
-            before: frozenset[int] = frozenset()
-            met: set[int] = set()
-            for ws in doc:
-                starts.append(len(ids))
-                now = [add(w) if (i := get(w)) is None else i for w in ws]
-                ids.extend(now)
-                lows = [low[i] for i in now]
-                shared.append(sum(x in before for x in lows))
-                before = frozenset(lows)
-                met |= before
-            distinct.append(len(met))
+        if len(self) > self.MOST:
+            self._begin()
+        ids = np.fromiter(map(self.__getitem__, (w for doc in docs for ws in doc for w in ws)), dtype=np.int64)
         if len(self.table) < len(self.rows):
-            self.table = np.vstack([self.table, np.array(self.rows[len(self.table) :], dtype=float)])
+            more = len(self.table)
+            self.table = np.vstack([self.table, np.array(self.rows[more:], dtype=float)])
+            self.lows = np.concatenate([self.lows, np.array(self.low[more:], dtype=np.int64)])
+        per_doc = np.array([len(doc) for doc in docs])
+        size = np.array([len(ws) for doc in docs for ws in doc])
+        starts, first = np.cumsum(size) - size, np.cumsum(per_doc) - per_doc
+        doc_of = np.repeat(np.arange(len(docs)), per_doc)
+        sentence_of = np.repeat(np.arange(len(size)), size)
+        low, spellings = self.lows[ids], len(self.low_ids)
+        # words that the sentence before has too, and different words of a document
+        here = sentence_of * spellings + low
+        opens = np.zeros(len(size), dtype=bool)
+        opens[first] = True
+        known = np.sort(here)
+        again = known[np.minimum(np.searchsorted(known, here - spellings), len(known) - 1)] == here - spellings
+        shared = np.add.reduceat(again & ~opens[sentence_of], starts, dtype=float)
+        of_doc = np.sort(doc_of[sentence_of] * spellings + low)
+        new = np.append(True, of_doc[1:] != of_doc[:-1])
+        distinct = np.bincount(of_doc[new] // max(1, spellings), minlength=len(docs))
         of_words = self.table[ids]
         sums = np.add.reduceat(of_words, starts, axis=0)
-        size = np.diff([*starts, len(ids)]).astype(float)
         means = sums[:, :6] / size[:, None]
         longest = np.maximum.reduceat(of_words[:, 0], starts)
         # length, word length, syllables, long words, longest word, connectives, digits, capitals, overlap with the sentence before
-        numbers = np.column_stack([size, means[:, :3], longest, means[:, 3:], np.array(shared) / size])
-        length = np.minimum(size // 3, 12).astype(int)
+        numbers = np.column_stack([size, means[:, :3], longest, means[:, 3:], shared / size])
+        length = np.minimum(size // 3, 12)
         long = np.minimum(9, np.rint(10 * sums[:, 2] / size)).astype(int)
         logs = sums[:, 6:] + self.by_length[length] + self.by_long[long]
         p = np.exp(logs - logs.max(1, keepdims=True))
         shares = p / p.sum(1, keepdims=True)
-        ends = np.cumsum([len(doc) for doc in docs])
-        return np.array([_summary(numbers[e - len(doc) : e], shares[e - len(doc) : e], n) for doc, e, n in zip(docs, ends, distinct)])
-
-
-def _summary(numbers: np.ndarray, shares: np.ndarray, distinct: int) -> np.ndarray:
-    """A document's features from the numbers and levels of its sentences."""
-    size = numbers[:, 0]
-    total = size.sum()
-    by_words = (shares * size[:, None]).sum(0) / total
-    grade = shares @ np.arange(LEVELS)
-    spoken = np.bincount(shares.argmax(1), minlength=LEVELS)
-    return np.concatenate(
-        [
-            spread(grade[:, None]), shares.mean(0), by_words, spoken / len(size), [spoken.argmax(), by_words.argmax(), by_words.max()],
-            spread(numbers), [np.log1p(len(size)), np.log1p(total), distinct / max(1.0, total**0.7)],
-        ]
-    )
-
-
-def spread(values: np.ndarray) -> np.ndarray:
-    """The quantiles of each column, by nearest rank."""
-    at = np.round(np.array(QUANTILES) * (len(values) - 1)).astype(int)
-    return np.sort(values, axis=0)[at].ravel()
+        total = np.add.reduceat(size, first).astype(float)
+        by_words = np.add.reduceat(shares * size[:, None], first, axis=0) / total[:, None]
+        spoken = np.bincount(doc_of * LEVELS + shares.argmax(1), minlength=len(docs) * LEVELS).reshape(-1, LEVELS)
+        n = per_doc[:, None]
+        return np.column_stack(
+            [
+                spread((shares @ np.arange(LEVELS))[:, None], doc_of, first, per_doc), np.add.reduceat(shares, first, axis=0) / n, by_words, spoken / n,
+                spoken.argmax(1), by_words.argmax(1), by_words.max(1), spread(numbers, doc_of, first, per_doc),
+                np.log1p(per_doc), np.log1p(total), distinct / np.maximum(1.0, total**0.7),
+            ]
+        )
+
+
+def spread(values: np.ndarray, doc_of: np.ndarray, first: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
+    """The quantiles of each column within each document, by nearest rank: quantile by quantile."""
+    at = first[:, None] + np.round(np.array(QUANTILES) * (per_doc[:, None] - 1)).astype(int)
+    columns = [values[np.lexsort((values[:, c], doc_of)), c][at] for c in range(values.shape[1])]
+    return np.stack(columns, axis=2).reshape(len(first), -1)
 
 
 @dataclass
