@@ -6,7 +6,8 @@ period in which the value was valid, so a change that only rewrites the value in
 run, and a value that comes back later starts a new one (gaps need no special case).
 
 Bitmaps are kept per (entity, attribute, value, day), in words of 64 snapshots, one row a word; the
-row also has the seconds of its set bits, so the log itself is not read again. Where runs begin
+row also has the seconds of its set bits, so the log itself is not read again. A day with a single
+snapshot, the usual case, is one bit and needs no aggregation. Where runs begin
 comes from the words alone: the bits that are set while the bit before is not, without the first
 bit of a word if the word before ends on the same value. Versions are numbered by counting such
 bits. Words are chained within their day and days by one summary row a day, so an attribute that
@@ -106,17 +107,22 @@ def snapshots(changes: DataFrame) -> DataFrame:
     )
 
 
-def presence(snaps: DataFrame) -> DataFrame:
+def placed(snaps: DataFrame) -> DataFrame:
+    """The snapshots with their place ``pos`` in the day, and whether they are ``alone`` in it."""
+    in_day = Window.partitionBy(*DAY).orderBy("sec")
+    pos = F.row_number().over(in_day) - 1
+    return snaps.select("*", pos.alias("pos"), ((pos == 0) & F.lead("sec").over(in_day).isNull()).alias("alone"))
+
+
+def presence(places: DataFrame) -> DataFrame:
     """The bitmaps: one row for each (entity, attribute, day), word of 64 snapshots and value.
 
     ``bits`` has a bit for each snapshot of the word that shows the value, ``seen`` their places,
     seconds and change ids in order (at most 64), ``before`` the value before the day's first
     snapshot and ``before_id`` its change (in the first word).
     """
-    place = F.row_number().over(Window.partitionBy(*DAY).orderBy("sec")) - 1
-    placed = snaps.select("*", place.alias("pos"))
     first = F.col("pos") == 0
-    return placed.groupBy(*DAY, F.floor(F.col("pos") / WORD).cast("int").alias("word"), F.col("after").alias("value")).agg(
+    return places.groupBy(*DAY, F.floor(F.col("pos") / WORD).cast("int").alias("word"), F.col("after").alias("value")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, CAST(pos % {WORD} AS INT))")).alias("bits"),
         F.array_sort(F.collect_list(F.struct((F.col("pos") % WORD).cast("int").alias("bit"), "sec", F.col("after_id").alias("id")))).alias("seen"),
         F.max(F.when(first, F.col("before"))).alias("before"),
@@ -154,8 +160,14 @@ def attribute_history(changes: DataFrame) -> DataFrame:
     that change (``with_values`` adds the texts). A null entity or field is a group of its own; a
     null value is a value. An empty log gives no rows.
     """
-    # the stored bitmaps; what follows reads them, not the log
-    bitmaps = materialize(presence(snapshots(changes)), "presence")
+    # written once and read where it is needed; what follows reads it, not the log
+    places = materialize(placed(snapshots(changes)), "snapshots")
+    # a day of one snapshot is a bitmap of one bit, and a run: there is nothing to aggregate
+    single = places.where("alone").select(
+        *DAY, F.col("after").alias("first_v"), F.col("after").alias("last_v"), "before", "before_id", F.lit(1).cast("long").alias("n"),
+        F.col("sec").alias("sec_1"), F.lit(None).cast("timestamp_ntz").alias("sec_2"), F.col("after_id").alias("only_id"),
+    )
+    bitmaps = materialize(presence(places.where("NOT alone")), "presence")
     in_day = Window.partitionBy(*DAY).orderBy("word")
     # a frame that grows with the rows, in either order, is worked out in one pass; one that shrinks is not
     sooner, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (in_day, Window.partitionBy(*DAY).orderBy(F.col("word").desc())))
@@ -164,7 +176,7 @@ def attribute_history(changes: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.size("starts")).over(sooner), F.lit(0)).alias("earlier"),
         F.last(F.expr("get(starts, 0).sec"), ignorenulls=True).over(after).alias("next_sec"),
     )
-    days = words.groupBy(*DAY).agg(
+    several = words.groupBy(*DAY).agg(
         F.max_by("first_v", -F.col("word")).alias("first_v"),
         F.max_by("last_v", "word").alias("last_v"),
         F.max("before").alias("before"),
@@ -172,7 +184,9 @@ def attribute_history(changes: DataFrame) -> DataFrame:
         F.sum(F.size("starts")).alias("n"),
         F.min(F.expr("get(starts, 0).sec")).alias("sec_1"),
         F.min(F.when(F.col("word") == 0, F.coalesce(F.expr("get(starts, 1).sec"), F.col("next_sec")))).alias("sec_2"),
+        F.lit(None).cast("long").alias("only_id"),
     )
+    days = single.unionAll(several)
     onward = Window.partitionBy(*DAY[:3]).orderBy("day")
     backward = Window.partitionBy(*DAY[:3]).orderBy(F.col("day").desc())
     earlier, later = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (onward, backward))
@@ -184,6 +198,8 @@ def attribute_history(changes: DataFrame) -> DataFrame:
         .withColumn("offset", F.coalesce(F.sum("new").over(earlier), F.lit(0)) + 1)
         .withColumn("next_start", F.last("start", ignorenulls=True).over(later))
     )
+    # read by three parts of the result
+    days = materialize(days.withColumn("alone", F.col("sec_2").isNull() & (F.col("n") == 1) & F.col("only_id").isNotNull()), "attribute-days")
     first = days.where(F.col("prev_v").isNull()).select(
         *GROUP,
         F.lit(1).alias("version_no"),
@@ -191,7 +207,10 @@ def attribute_history(changes: DataFrame) -> DataFrame:
         F.lit(None).cast("timestamp_ntz").alias("valid_from"),
         F.coalesce("start", "next_start").alias("valid_to"),
     )
-    w, d = words.alias("w"), days.select(*DAY, "same", "offset", "next_start").repartition(*DAY).alias("d")
+    lone = days.where("alone AND NOT same").select(
+        *GROUP, (F.col("offset") + 1).cast("int").alias("version_no"), F.col("only_id").alias("change_id"), F.col("sec_1").alias("valid_from"), F.col("next_start").alias("valid_to")
+    )
+    w, d = words.alias("w"), days.where("NOT alone").select(*DAY, "same", "offset", "next_start").alias("d")
     same_day = [F.col(f"w.{c}").eqNullSafe(F.col(f"d.{c}")) for c in DAY]
     number = F.col("offset") + F.col("earlier") + F.col("at") + 1 - F.col("same").cast("int")
     rest = (
@@ -206,7 +225,7 @@ def attribute_history(changes: DataFrame) -> DataFrame:
             F.coalesce(F.expr("get(starts, at + 1).sec"), "next_sec", "next_start").alias("valid_to"),
         )
     )
-    return first.unionAll(rest)
+    return first.unionAll(lone).unionAll(rest)
 
 
 def with_values(history: DataFrame, changes: DataFrame) -> DataFrame:
