@@ -19,23 +19,23 @@ ITEM_FIELDS = {"description": "description", "amount": "amount", "unit": "unit",
 KEPT_IF_NULL = ("description", "totalPrice")
 
 
-def marked(rows: DataFrame, key: str, named: DataFrame) -> DataFrame:
-    """``rows`` with ``is_named``: whether ``key`` is in the first column of ``named``."""
-    ids = named.select(F.col(named.columns[0]).alias("named_id")).where("named_id IS NOT NULL").distinct()
-    joined = rows.join(ids, F.col(key) == F.col("named_id"), "left")
-    return joined.withColumn("is_named", F.col("named_id").isNotNull()).drop("named_id")
+def marked(rows: DataFrame, key: str, named: DataFrame, flag: str = "is_named") -> DataFrame:
+    """``rows`` with ``flag``: whether ``key`` is in the first column of ``named``. A column of that name is replaced."""
+    ids = named.select(F.col(named.columns[0]).alias("__id")).where("__id IS NOT NULL").distinct()
+    joined = rows.join(ids, F.col(key) == F.col("__id"), "left")
+    return joined.withColumn(flag, F.col("__id").isNotNull()).drop("__id")
 
 
 def updated(rows: DataFrame, key: str, named: DataFrame, values: dict[str, Column]) -> DataFrame:
     """``rows`` with new values in the named ones; a value is cast to the type of its column."""
-    m = marked(rows, key, named)
-    new = [F.when(F.col("is_named"), values[c].cast(m.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns]
+    m = marked(rows, key, named, "__named")
+    new = [F.when(F.col("__named"), values[c].cast(m.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns]
     return m.select(*new)
 
 
 def without(rows: DataFrame, key: str, named: DataFrame) -> DataFrame:
     """``rows`` but those whose ``key`` is named; a null key is named by nothing."""
-    return marked(rows, key, named).where("NOT is_named").drop("is_named")
+    return marked(rows, key, named, "__named").where("NOT __named").drop("__named")
 
 
 def reprocessed_receipts(tables: dict[str, DataFrame], named: DataFrame) -> dict[str, DataFrame]:
@@ -76,7 +76,7 @@ def resumed(tables: dict[str, DataFrame], kind: str = "RATE_LIMITED") -> dict[st
     back = resumable(r, e, kind)
     uploads = back.select("upload_id").distinct()
     is_kind = F.coalesce(F.get_json_object("metadata", "$.errorType") == kind, F.lit(False)) & F.col("receipt_id").isNotNull()
-    left = marked(e, "upload_id", uploads).where(~(F.col("is_named") & is_kind)).drop("is_named")
+    left = marked(e, "upload_id", uploads, "__named").where(~(F.col("__named") & is_kind)).drop("__named")
     queue = numbered(back.select("id", "upload_id"), "upload_id", "id").select("id", "upload_id", (F.col("number") - 1).alias("delay_no"))
     return {
         "receipts": updated(r, "id", back.select("id"), {"status": F.lit("pending")}),
@@ -146,17 +146,17 @@ def reset_items(line_items: DataFrame, history: DataFrame, receipts: DataFrame,
     A line with a null is_user_added stays as it is.
     """
     firsts = originals(history, "line_item").where(F.col("field_name").isin(*ITEM_FIELDS))
-    wide = firsts.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "original"))).alias("first"))
-    joined = marked(line_items, "receipt_id", receipts).join(wide, F.col("id") == F.col("entity_id"), "left")
-    added, own = F.col("is_named") & F.col("is_user_added"), F.col("is_named") & ~F.col("is_user_added")
+    wide = firsts.groupBy(F.col("entity_id").alias("__entity")).agg(F.map_from_entries(F.collect_list(F.struct("field_name", "original"))).alias("__first"))
+    joined = marked(line_items, "receipt_id", receipts, "__named").join(wide, F.col("id") == F.col("__entity"), "left")
+    added, own = F.col("__named") & F.col("is_user_added"), F.col("__named") & ~F.col("is_user_added")
     out = []
     by_column = {c: f for f, c in ITEM_FIELDS.items()}
     for c in line_items.columns:
         if c in by_column:
             field, kind = by_column[c], line_items.schema[c].dataType
-            text = F.col("first")[field]
+            text = F.col("__first")[field]
             value = text if kind.simpleString() == "string" else F.trim(text).try_cast(kind)
-            known = F.array_contains(F.map_keys("first"), field) & ((text.isNotNull()) if field in KEPT_IF_NULL else F.lit(True))
+            known = F.array_contains(F.map_keys("__first"), field) & ((text.isNotNull()) if field in KEPT_IF_NULL else F.lit(True))
             out.append(F.when(own & known, value).otherwise(F.col(c)).alias(c))
         elif c == "deleted_at":
             out.append(F.when(added, at).when(own, F.lit(None)).otherwise(F.col(c)).alias(c))
@@ -167,16 +167,16 @@ def reset_items(line_items: DataFrame, history: DataFrame, receipts: DataFrame,
 
 def overridden(receipts: DataFrame, named: DataFrame) -> DataFrame:
     """Receipts of which the named ones are no duplicates by a user's word; ``duplicate_override`` says so."""
-    m = marked(receipts, "id", named)
-    return m.withColumn("is_duplicate", F.when(F.col("is_named"), F.lit(False)).otherwise(F.col("is_duplicate"))).withColumnRenamed("is_named", "duplicate_override")
+    m = marked(receipts, "id", named, "duplicate_override")
+    return m.withColumn("is_duplicate", F.when(F.col("duplicate_override"), F.lit(False)).otherwise(F.col("is_duplicate")))
 
 
 def backfilled_review(receipts: DataFrame, errors: DataFrame) -> DataFrame:
     """Processed receipts with a validation warning that were never reviewed, marked for it."""
     warned = errors.where("category = 'VALIDATION_WARNING'").select("receipt_id")
-    m = marked(receipts, "id", warned)
-    due = F.col("is_named") & (F.col("review_status") == "not_required") & (F.col("status") == "processed")
-    return m.withColumn("review_status", F.when(due, "needs_review").otherwise(F.col("review_status"))).drop("is_named")
+    m = marked(receipts, "id", warned, "__named")
+    due = F.col("__named") & (F.col("review_status") == "not_required") & (F.col("status") == "processed")
+    return m.withColumn("review_status", F.when(due, "needs_review").otherwise(F.col("review_status"))).drop("__named")
 
 
 def rolled_up(receipts: DataFrame) -> DataFrame:

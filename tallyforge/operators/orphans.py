@@ -32,7 +32,7 @@ HEAVY_SHARE = 1 / 2000
 #: Below this count no key is heavy: a task takes such a group without trouble.
 HEAVY_FLOOR = 5000
 #: Failing keys (about 60 bytes each) that are sent to every task; more are shuffled.
-FAILING_SENT = 500_000
+FAILING_SENT = 200_000
 #: Parts into which the rows of a heavy key are dealt where failing keys are shuffled.
 SALTS = 64
 

@@ -94,12 +94,18 @@ def upload_rows(uploads: DataFrame, receipts: DataFrame, users: DataFrame) -> Da
     return base.select("user_id", "upload_id", _line(cells).alias("line"))
 
 
-def write_lines(rows: DataFrame, users: DataFrame, columns: list[str], order: str, path: str) -> None:
-    """Text files below ``path``/user_id=..., each user's lines in order, the heading first where it is wanted."""
+def write_lines(rows: DataFrame, users: DataFrame, columns: list[str], order: str, path: str, descending: bool = False) -> None:
+    """Text files below ``path``/user_id=..., each user's lines by the number ``order``, the heading first where it is wanted.
+
+    Rows are dealt out by ranges of user and order, so a user with very many lines has several files, in order of
+    their names, and none goes through a single task.
+    """
     heads = settings_of(users).where("include_header").join(rows.select("user_id").distinct(), "user_id", "left_semi")
     heads = heads.select("user_id", F.lit(None).cast("long").alias("at"), header(columns, F.col("include_currency"), F.col("delimiter")).alias("value"))
-    body = rows.select("user_id", F.col(order).cast("long").alias("at"), F.col("line").alias("value"))
-    heads.unionAll(body).repartition("user_id").sortWithinPartitions("user_id", F.col("at").asc_nulls_first()).select("user_id", "value").write.partitionBy("user_id").text(path)
+    at = F.col(order).cast("long")
+    body = rows.select("user_id", (-at if descending else at).alias("at"), F.col("line").alias("value"))
+    by = ["user_id", F.col("at").asc_nulls_first()]
+    heads.unionAll(body).repartitionByRange(*by).sortWithinPartitions(*by).select("user_id", "value").write.partitionBy("user_id").text(path)
 
 
 def nested(children: DataFrame, parent: str, fields: dict[str, str], span: int = 10_000) -> DataFrame:

@@ -15,6 +15,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written in this process and not cleared yet.
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a new local one, remembered, where none is set."""
@@ -33,10 +36,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_tables(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote in this session, and say how many.
+
+    For when the results that read them have been saved; a result still to be read needs its tables.
+    """
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
