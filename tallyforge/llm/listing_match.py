@@ -1,7 +1,8 @@
 """Product listings describing the same item (problem 1).
 
 1. Attributes are parsed out of description and unit into canonical form; units come from the
-   conversion graph of the library. Lines with equal attributes form one class.
+   conversion graph of the library. Wordings of kinds that no list has are learned from lines of
+   one model that differ in nothing else. Lines with equal attributes form one class.
 2. Classes are compared within blocks of equal size and pack: those of near makers and one kind
    that state the same model or of which one states none, and those of one model of which one
    lacks maker or kind. Makers are near if they share a key: words of up to ``EXACT`` letters have
@@ -48,6 +49,8 @@ FIRST = ((0.9, 0.07, 0.02, 0.01), (0.98, 0.02), (0.98, 0.02), (0.98, 0.02), (0.9
 CHANCE, PRIOR, HELD = (0.002, 0.05, 0.05, 0.12, 0.002, 0.4), 0.005, 2000.0
 #: A pair is linked if it is more likely one article than two; a higher bound drops misspelt makers of lines that state little else.
 THRESHOLD = 0.5
+#: Two wordings are one kind if lines of so many models, and of so many makers, differ in them alone.
+WORDING_MODELS, WORDING_MAKERS = 3, 2
 #: Added to the rank of classes with maker and kind: a star around one that lacks either could join two articles.
 COMPLETE = 1 << 40
 
@@ -76,6 +79,42 @@ def listing_attributes(lines: DataFrame) -> DataFrame:
     return parsed.where("maker <> '' OR kind <> ''")
 
 
+def learned_wordings(parsed: DataFrame) -> DataFrame:
+    """(wording, kind): words of unlisted kinds that stand for each other, the most used one as the kind.
+
+    Lines without a listed kind that state one model, size and pack are compared with the most used
+    of them; what each has beside their common words is a pair of wordings.
+    """
+    anchor = ["model", "size", "pack"]
+    texts = parsed.where("kind = '' AND maker LIKE '% %' AND model <> ''").groupBy(*anchor, "maker").agg(F.count("*").alias("n"))
+    top = texts.groupBy(*anchor).agg(F.max_by("maker", F.struct("n", "maker")).alias("top"))
+    a, b = F.split("maker", " "), F.split("top", " ")
+    met = texts.join(top, anchor).where("maker <> top").select(
+        "model", F.array_join(F.array_intersect(a, b), " ").alias("common"), F.array_join(F.array_except(a, b), " ").alias("a"), F.array_join(F.array_except(b, a), " ").alias("b")
+    )
+    pairs = met.where("common <> '' AND a <> '' AND b <> ''").select("model", "common", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    support = pairs.groupBy("a", "b").agg(F.count_distinct("model").alias("n"), F.count_distinct("common").alias("makers"))
+    sure = support.where((F.col("n") >= WORDING_MODELS) & (F.col("makers") >= WORDING_MAKERS))
+    stars = star_clusters(sure.select("a", "b", F.col("n").alias("n_a"), F.col("n").alias("n_b")))
+    return stars.select(F.col("vertex").alias("wording"), F.col("centre").alias("kind"))
+
+
+def with_learned_kinds(parsed: DataFrame) -> DataFrame:
+    """``parsed`` with learned wordings taken out of the maker and put in as the kind, the longest that fits first."""
+    unlisted = parsed.where("kind = '' AND maker LIKE '% %'")
+    if unlisted.isEmpty():
+        return parsed
+    wordings = materialize(learned_wordings(parsed), "listing-wordings").select("kind", F.split("wording", " ").alias("ws"))
+    wordings = wordings.select("kind", "ws", F.col("ws")[0].alias("word"))
+    words = F.split("maker", " ")
+    makers = unlisted.select("maker").distinct().select("maker", words.alias("words"), F.explode(words).alias("word"))
+    fits = makers.join(wordings, "word").where((F.size(F.array_except("ws", "words")) == 0) & (F.size(F.array_except("words", "ws")) > 0))
+    best = fits.groupBy("maker").agg(F.max_by(F.struct("kind", F.array_join(F.array_except("words", "ws"), " ").alias("rest")), F.struct(F.size("ws"), "kind")).alias("l"))
+    joined = parsed.join(best.select(F.col("maker").alias("unlisted"), "l"), (F.col("kind") == "") & (F.col("maker") == F.col("unlisted")), "left")
+    kept = {"maker": F.coalesce("l.rest", "maker"), "kind": F.coalesce("l.kind", "kind")}
+    return joined.select(*(kept[c].alias(c) if c in kept else F.col(c) for c in parsed.columns))
+
+
 def differing(a: str, b: str) -> tuple[str, str]:
     """Both without what they begin and end with alike: a maker may be a whole long text."""
     start = len(os.path.commonprefix([a, b]))
@@ -238,7 +277,7 @@ def match_listings(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Lines that come again are lines of their own in the same article. No line, no row.
     """
-    parsed = materialize(listing_attributes(lines), "listings")
+    parsed = with_learned_kinds(materialize(listing_attributes(lines), "listings"))
     classes = parsed.groupBy(*FIELDS).agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
     rank = F.col("n") + F.when(F.expr("maker <> '' AND kind <> ''"), COMPLETE).otherwise(0)
     classes = materialize(classes.withColumn("rank", rank), "listing-classes")

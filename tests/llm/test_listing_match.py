@@ -123,3 +123,16 @@ def test_threshold_decides(spark):
     df = spark.createDataFrame([(i, d, "pc", "S-1") for i, d in enumerate(lines)], "id long, description string, unit string, seller_code string")
     assert len(groups(match_listings(df))) == 1
     assert len(groups(match_listings(df, threshold=0.9999999))) > 1
+
+
+def test_learned_wordings(spark):
+    """Two wordings of a kind that no list has are learned from lines of one model, and then hold for lines without a model."""
+    lines = []
+    for maker, models in (("Hukopis", ("AB101", "AB102")), ("Vrudolm", ("CD201", "CD202")), ("Kestamp", ("EF301",))):
+        for m in models:
+            lines += [f"{maker} garden hose {m} 5 m green", f"{maker} garden hose 5m grn {m}", f"water pipe {maker} {m} 5 m green"]
+    lines += ["Hukopis garden hose 7 m red", "HUKOPIS WATER PIPE 7M ROT", "Hukopis rain barrel 7 m red", "Hukopsi water pipe 7 m red"]
+    df = spark.createDataFrame([(i, d, "pc", "S-1") for i, d in enumerate(lines)], "id long, description string, unit string, seller_code string")
+    got = {tuple(r) for r in listing_pairs(match_listings(df)).collect()}
+    assert got == {p for k in range(5) for p in combinations(range(3 * k, 3 * k + 3), 2)} | {*combinations([15, 16, 18], 2)}, got
+    assert {tuple(r) for r in listing_pairs(match_listings(df.unionAll(df.selectExpr("id + 100", "description", "unit", "seller_code")))).collect()} >= got
