@@ -1,8 +1,8 @@
 """Product listings describing the same item (problem 1).
 
 1. Attributes are parsed out of description and unit into canonical form; units come from the
-   conversion graph of the library. Wordings of kinds that no list has are learned from lines of
-   one model that differ in nothing else. Lines with equal attributes form one class.
+   conversion graph of the library. Wordings of kinds are learned from lines of one model and maker
+   that differ in nothing else. Lines with equal attributes form one class.
 2. Classes are compared within blocks of equal size and pack: those of near makers and one kind
    that state the same model or of which one states none, and those of one model of which one
    lacks maker or kind. Makers are near if they share a key: words of up to ``EXACT`` letters have
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.linkage_weights import MISSING, LinkageWeights, fit
-from tallyforge.llm.listing_parts import attributes, plain
+from tallyforge.llm.listing_parts import attributes, kind_words, plain
 from tallyforge.llm.minhash import bands_for, with_bands
 from tallyforge.llm.name_variants import edit_similarity, may_be_error
 from tallyforge.llm.star_clusters import star_clusters
@@ -51,11 +51,13 @@ CHANCE, PRIOR, HELD = (0.002, 0.05, 0.05, 0.12, 0.002, 0.4), 0.005, 2000.0
 THRESHOLD = 0.5
 #: Two wordings are one kind if lines of so many models, and of so many makers, differ in them alone.
 WORDING_MODELS, WORDING_MAKERS = 3, 2
+#: Texts of more different words (whole sentences) are not split into a name and a wording; they stay as they are.
+WORDING_WORDS = 12
 #: Added to the rank of classes with maker and kind: a star around one that lacks either could join two articles.
 COMPLETE = 1 << 40
 
 
-def listing_attributes(lines: DataFrame) -> DataFrame:
+def listing_attributes(lines: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
     """(id, maker, kind, size, colour, model, pack, wording) of the lines with a seller_code.
 
     ``wording`` is the plain text, equal in copies of a line. The words of a kind that is not listed
@@ -65,9 +67,11 @@ def listing_attributes(lines: DataFrame) -> DataFrame:
     kind is left out, as nothing tells its article.
     """
 
+    listed = kind_words(kinds)
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [attributes(d, u) for d, u in zip(b["description"], b["unit"])]
+            rows = [attributes(d, u, listed) for d, u in zip(b["description"], b["unit"])]
             wording = [f"{plain(d)}|{plain(u)}" for d, u in zip(b["description"], b["unit"])]
             yield pd.DataFrame({"id": b["id"]} | {k: [r[i] for r in rows] for i, k in enumerate(FIELDS)} | {"wording": wording})
 
@@ -79,39 +83,46 @@ def listing_attributes(lines: DataFrame) -> DataFrame:
     return parsed.where("maker <> '' OR kind <> ''")
 
 
-def learned_wordings(parsed: DataFrame) -> DataFrame:
-    """(wording, kind): words of unlisted kinds that stand for each other, the most used one as the kind.
+def names_and_wordings(texts: DataFrame) -> DataFrame:
+    """(maker, name, wording): texts of 2 to ``WORDING_WORDS`` words split into a name and the rest.
 
-    Lines without a listed kind that state one model, size and pack are compared with the most used
-    of them; what each has beside their common words is a pair of wordings.
+    The name is the word that stands beside the fewest different words: a maker makes some kinds, a
+    kind has many makers, however many lines either has.
     """
-    anchor = ["model", "size", "pack"]
-    texts = parsed.where("kind = '' AND maker LIKE '% %' AND model <> ''").groupBy(*anchor, "maker").agg(F.count("*").alias("n"))
-    top = texts.groupBy(*anchor).agg(F.max_by("maker", F.struct("n", "maker")).alias("top"))
-    a, b = F.split("maker", " "), F.split("top", " ")
-    met = texts.join(top, anchor).where("maker <> top").select(
-        "model", F.array_join(F.array_intersect(a, b), " ").alias("common"), F.array_join(F.array_except(a, b), " ").alias("a"), F.array_join(F.array_except(b, a), " ").alias("b")
-    )
-    pairs = met.where("common <> '' AND a <> '' AND b <> ''").select("model", "common", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    support = pairs.groupBy("a", "b").agg(F.count_distinct("model").alias("n"), F.count_distinct("common").alias("makers"))
+    split = texts.select("maker", F.array_distinct(F.split("maker", " ")).alias("words")).where(F.size("words").between(2, WORDING_WORDS))
+    each = split.select("*", F.explode("words").alias("word"))
+    beside = each.select("word", F.explode("words").alias("other")).where("word <> other").distinct().groupBy("word").agg(F.count("*").alias("n"))
+    names = each.join(beside, "word").groupBy("maker").agg(F.min_by("word", F.struct("n", "word")).alias("name"), F.first("words").alias("words"))
+    return names.select("maker", "name", F.array_join(F.array_remove("words", F.col("name")), " ").alias("wording"))
+
+
+def learned_wordings(named: DataFrame) -> DataFrame:
+    """(wording, kind): wordings of unlisted kinds that stand for each other, the most used one as the kind.
+
+    Lines (model, size, pack, name, wording) that state one model, size, pack and name are compared
+    with the most used wording among them.
+    """
+    anchor = ["model", "size", "pack", "name"]
+    used = named.where("model <> ''").groupBy(*anchor, "wording").agg(F.count("*").alias("n"))
+    top = used.groupBy(*anchor).agg(F.max_by("wording", F.struct("n", "wording")).alias("top"))
+    met = used.join(top, anchor).where("wording <> top")
+    pairs = met.select("model", "name", F.least("wording", "top").alias("a"), F.greatest("wording", "top").alias("b"))
+    support = pairs.groupBy("a", "b").agg(F.count_distinct("model").alias("n"), F.count_distinct("name").alias("makers"))
     sure = support.where((F.col("n") >= WORDING_MODELS) & (F.col("makers") >= WORDING_MAKERS))
     stars = star_clusters(sure.select("a", "b", F.col("n").alias("n_a"), F.col("n").alias("n_b")))
     return stars.select(F.col("vertex").alias("wording"), F.col("centre").alias("kind"))
 
 
 def with_learned_kinds(parsed: DataFrame) -> DataFrame:
-    """``parsed`` with learned wordings taken out of the maker and put in as the kind, the longest that fits first."""
+    """``parsed`` with learned wordings taken out of the maker and put in as the kind."""
     unlisted = parsed.where("kind = '' AND maker LIKE '% %'")
     if unlisted.isEmpty():
         return parsed
-    wordings = materialize(learned_wordings(parsed), "listing-wordings").select("kind", F.split("wording", " ").alias("ws"))
-    wordings = wordings.select("kind", "ws", F.col("ws")[0].alias("word"))
-    words = F.split("maker", " ")
-    makers = unlisted.select("maker").distinct().select("maker", words.alias("words"), F.explode(words).alias("word"))
-    fits = makers.join(wordings, "word").where((F.size(F.array_except("ws", "words")) == 0) & (F.size(F.array_except("words", "ws")) > 0))
-    best = fits.groupBy("maker").agg(F.max_by(F.struct("kind", F.array_join(F.array_except("words", "ws"), " ").alias("rest")), F.struct(F.size("ws"), "kind")).alias("l"))
-    joined = parsed.join(best.select(F.col("maker").alias("unlisted"), "l"), (F.col("kind") == "") & (F.col("maker") == F.col("unlisted")), "left")
-    kept = {"maker": F.coalesce("l.rest", "maker"), "kind": F.coalesce("l.kind", "kind")}
+    names = materialize(names_and_wordings(unlisted.select("maker").distinct()), "listing-names")
+    named = unlisted.select("maker", "model", "size", "pack").join(names, "maker")
+    found = names.join(materialize(learned_wordings(named), "listing-wordings"), "wording").select(F.col("maker").alias("unlisted"), "name", F.col("kind").alias("learned"))
+    joined = parsed.join(found, (F.col("kind") == "") & (F.col("maker") == F.col("unlisted")), "left")
+    kept = {"maker": F.coalesce("name", "maker"), "kind": F.coalesce("learned", "kind")}
     return joined.select(*(kept[c].alias(c) if c in kept else F.col(c) for c in parsed.columns))
 
 
@@ -272,12 +283,15 @@ def posterior(weights: LinkageWeights) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.lit((1 - prior) / prior) * F.pow(F.lit(2.0), -bits))
 
 
-def match_listings(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def match_listings(lines: DataFrame, threshold: float = THRESHOLD, kinds: dict[str, str] | None = None) -> DataFrame:
     """(id, article): each catalogue line with the id of its article's cluster.
 
+    ``kinds`` may list wordings of kinds, as ``listing_parts.KINDS`` does, for tables too small to learn
+    them from: a wording is learned from three models of two makers.
+
     Lines that come again are lines of their own in the same article. No line, no row.
     """
-    parsed = with_learned_kinds(materialize(listing_attributes(lines), "listings"))
+    parsed = with_learned_kinds(materialize(listing_attributes(lines, kinds), "listings"))
     classes = parsed.groupBy(*FIELDS).agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
     rank = F.col("n") + F.when(F.expr("maker <> '' AND kind <> ''"), COMPLETE).otherwise(0)
     classes = materialize(classes.withColumn("rank", rank), "listing-classes")

@@ -1,8 +1,8 @@
 """The attributes of an article that a catalogue line states: maker, kind, size, colour, model, pack.
 
-Runs in Arrow batches. The word lists are a vocabulary of the catalogues at hand: synonyms and
-translations that no comparison of letters can tell. Words that are not listed stand with the
-maker, so lines of unlisted kinds are compared by them.
+Runs in Arrow batches. Colours and advertising are word lists of the languages of the catalogues. A
+list of kinds is only used where the caller gives one; words of other kinds stand with the maker,
+from which ``listing_match`` takes them by what it learns.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from fractions import Fraction
 
 from tallyforge.operators.unit_graph import CANONICAL, SPELLINGS, Affine, default_graph, spelling_list
 
-# kinds of article, each with the wordings that name it, in any order of the words
+# a list of kinds that may be given for tables too small to learn from: each with the wordings that name it, in any order of the words
 KINDS = {
     "coffee beans": "coffee beans|whole bean coffee|coffee bean",
     "storage box": "storage box|stackable box|box for storage",
@@ -59,8 +59,14 @@ def size_units() -> dict[str, tuple[str, Affine]]:
 
 UNITS = size_units()
 
-_KIND_WORDS = {frozenset(w.split()): kind for kind, names in KINDS.items() for w in names.split("|")}
-_WORDS_OF_KINDS = {w for words in _KIND_WORDS for w in words}
+KindWords = dict[frozenset[str], str]
+
+
+def kind_words(kinds: dict[str, str] | None) -> KindWords:
+    """The words of each listed wording, with its kind."""
+    return {frozenset(w.split()): kind for kind, names in (kinds or {}).items() for w in names.split("|")}
+
+
 _COLOUR = {w: colour for colour, words in COLOURS.items() for w in words.split()}
 _AD = re.compile(r"\*?(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in sorted(ADVERTISING, key=len, reverse=True)) + r")(?![a-z0-9])[!*]*|-?\d+ ?%")
 _NUMBER = r"\d+(?:\.\d+)?"
@@ -99,7 +105,7 @@ def _pack(text: str) -> tuple[int | None, str]:
     return (12, rest) if m else (None, text)
 
 
-def attributes(description: str | None, unit: str | None) -> tuple[str, str, str, str, str, int]:
+def attributes(description: str | None, unit: str | None, listed: KindWords) -> tuple[str, str, str, str, str, int]:
     """(maker, kind, size, colour, model, pack); empty where the texts do not state it, pack 1."""
     text = _AD.sub(" | ", plain(description))
     unit_text = plain(unit)
@@ -116,17 +122,18 @@ def attributes(description: str | None, unit: str | None) -> tuple[str, str, str
         stated = ""
     words = re.findall(r"[a-z]+", re.sub(r"\bmod\b", " ", text))
     colour = ""
-    kind_words, rest = [], []
+    of_kinds = {w for ws in listed for w in ws}
+    named, rest = [], []
     for w in words:
         if w in _COLOUR:
             colour = colour or _COLOUR[w]
-        elif w in _WORDS_OF_KINDS:
-            kind_words.append(w)
+        elif w in of_kinds:
+            named.append(w)
         else:
             rest.append(w)
-    kind = _KIND_WORDS.get(frozenset(kind_words), "")
-    if not kind and kind_words:  # words of advertising may stand among them
-        fits = [(len(ws), k) for ws, k in _KIND_WORDS.items() if ws <= set(kind_words)]
-        kind = max(fits)[1] if fits else " ".join(sorted(set(kind_words)))
+    kind = listed.get(frozenset(named), "")
+    if not kind and named:  # words of advertising may stand among them
+        fits = [(len(ws), k) for ws, k in listed.items() if ws <= set(named)]
+        kind = max(fits)[1] if fits else " ".join(sorted(set(named)))
     maker = " ".join(sorted(w for w in rest if len(w) > 2)) or " ".join(sorted(rest))
     return maker, kind, stated, colour, f"{model[1]}{model[2]}" if model else "", pack or pack_u or 1
