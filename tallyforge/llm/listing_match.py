@@ -123,7 +123,8 @@ def with_learned_kinds(parsed: DataFrame) -> DataFrame:
     found = names.join(materialize(learned_wordings(named), "listing-wordings"), "wording").select(F.col("maker").alias("unlisted"), "name", F.col("kind").alias("learned"))
     joined = parsed.join(found, (F.col("kind") == "") & (F.col("maker") == F.col("unlisted")), "left")
     kept = {"maker": F.coalesce("name", "maker"), "kind": F.coalesce("learned", "kind")}
-    return joined.select(*(kept[c].alias(c) if c in kept else F.col(c) for c in parsed.columns))
+    # read by three steps of the comparison
+    return materialize(joined.select(*(kept[c].alias(c) if c in kept else F.col(c) for c in parsed.columns)), "listing-kinds")
 
 
 def differing(a: str, b: str) -> tuple[str, str]:
